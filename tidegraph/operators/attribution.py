@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators.encode import encoded
 from tidegraph.operators.models import BoostedModel, LogisticModel, Tree
 
 FIDELITY = 1e-8
@@ -92,7 +91,7 @@ class TreeAttributor:
             rows = [(i, int(j), int(s[j])) for i, s in enumerate(sums) for j in np.flatnonzero(s)]
             yield pd.DataFrame(rows, columns=["leaf", "pattern", "n"])
 
-        found = encoded(background, model.encoder).select("features").mapInPandas(run, "leaf bigint, pattern bigint, n bigint").groupBy("leaf", "pattern").agg(F.sum("n").alias("n"))
+        found = background.select(model.features()).mapInPandas(run, "leaf bigint, pattern bigint, n bigint").groupBy("leaf", "pattern").agg(F.sum("n").alias("n"))
         counts = [np.zeros(1 << len(p.features)) for p in paths]
         for leaf, pattern, n in found.collect():
             counts[leaf][pattern] = n
@@ -104,7 +103,7 @@ class TreeAttributor:
 
     def explain(self, rows: DataFrame) -> DataFrame:
         """Adds ``base``, ``phi`` (array in the encoder's order), ``margin`` and ``score``."""
-        paths, tables, width = self.paths, self.tables, len(self.model.encoder.names)
+        paths, tables, width, used = self.paths, self.tables, len(self.model.encoder.names), np.array(self.model.used)
 
         @F.pandas_udf("array<double>")
         def phi(features: pd.Series) -> pd.Series:
@@ -113,11 +112,10 @@ class TreeAttributor:
             x = np.stack(features.to_numpy())
             out = np.zeros((len(x), width))
             for p, t in zip(paths, tables, strict=True):
-                out[:, p.features] += t[p.patterns(x)]
+                out[:, used[p.features]] += t[p.patterns(x)]
             return pd.Series(list(out))
 
-        scored = self.model.score(rows)
-        return encoded(scored, self.model.encoder).withColumn("phi", phi("features")).drop("features").withColumn("base", F.lit(self.base))
+        return self.model.score(rows).withColumn("phi", phi(self.model.features())).withColumn("base", F.lit(self.base))
 
 
 class LinearAttributor:
@@ -125,16 +123,18 @@ class LinearAttributor:
 
     def fit(self, model: LogisticModel, background: DataFrame) -> LinearAttributor:
         self.model = model
-        columns = model.encoder.columns()
-        m = background.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(str(i)) for i, c in enumerate(columns))).first()
-        self.background_rows = m["n"]
-        self.means = [float(m[str(i)]) for i in range(len(columns))]
+        self.background_rows = background.count()
+        sums = background.select(F.inline(model.encoder.entries())).groupBy("i").agg(F.sum("value").alias("s")).collect()
+        self.means = np.zeros(len(model.encoder.names))
+        for i, total in sums:
+            self.means[i] = total / self.background_rows
         self.base = model.intercept + float(np.dot(model.coefficients, self.means))
         return self
 
     def explain(self, rows: DataFrame) -> DataFrame:
-        terms = [F.lit(float(w)) * (c - F.lit(m)) for w, c, m in zip(self.model.coefficients, self.model.encoder.columns(), self.means, strict=True)]
-        return self.model.score(rows).withColumn("margin", self.model.margin()).withColumn("phi", F.array(*terms)).withColumn("base", F.lit(self.base))
+        away = F.zip_with(self.model.encoder.dense(), F.lit([float(m) for m in self.means]), lambda x, m: x - m)
+        phi = F.zip_with(away, F.lit([float(w) for w in self.model.coefficients]), lambda x, w: x * w)
+        return self.model.score(rows).withColumn("margin", self.model.margin()).withColumn("phi", phi).withColumn("base", F.lit(self.base))
 
 
 def fidelity_audit(explained: DataFrame) -> DataFrame:

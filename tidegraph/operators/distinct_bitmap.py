@@ -116,7 +116,7 @@ def estimate_distinct(
     # The base is the slice after the last full one; ids of a slice s reach the sum only if s >= base.
     last_full = [F.max(F.when((F.col("field") == f) & (F.col("filled") > limit), F.col("slice_no"))) for f in fields]
     by_slice = [
-        F.collect_list(F.when(F.col("field") == f, F.struct("slice_no", "in_slice"))) for f in fields
+        F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("slice_no", "in_slice")))) for f in fields
     ]
     grouped = counted.groupBy(*keys).agg(
         *(c.alias(f"__full_{i}") for i, c in enumerate(last_full)), *(c.alias(f"__s_{i}") for i, c in enumerate(by_slice))

@@ -7,11 +7,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators.encode import CombinedEncoder, TabularEncoder, encoded
+from tidegraph.operators.encode import CombinedEncoder, TabularEncoder
 from tidegraph.session import Scratch
 
 
@@ -37,7 +36,7 @@ class LogisticModel:
         if self.l2_strength <= 0 or self.max_iterations <= 0 or self.tolerance <= 0:
             raise ValueError("settings must be positive")
         self.encoder = (CombinedEncoder() if self.graph else TabularEncoder()).fit(train)
-        rows = encoded(balanced(train), self.encoder).select("label", "weight", array_to_vector("features").alias("x")).cache()
+        rows = self.encoder.vectors(balanced(train), ["label", "weight"]).persist()
         n = rows.count()
         # Balanced weights sum to n, so the summed-loss strength turns into strength / n for the mean loss.
         learner = LogisticRegression(
@@ -53,8 +52,7 @@ class LogisticModel:
         return self
 
     def margin(self):
-        terms = [F.lit(float(w)) * c for w, c in zip(self.coefficients, self.encoder.columns(), strict=True)]
-        return F.aggregate(F.array(*terms), F.lit(self.intercept), lambda a, x: a + x)
+        return self.encoder.linear(self.coefficients) + self.intercept
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds ``score``, the probability of label 1; expressions only."""
@@ -113,7 +111,7 @@ class BoostedModel:
             raise ValueError("boosting settings are out of range")
         balanced(validation)
         self.encoder = CombinedEncoder().fit(train)
-        rows = encoded(balanced(train), self.encoder).select("label", "weight", array_to_vector("features").alias("x"))
+        rows = self.encoder.vectors(balanced(train), ["label", "weight"])
         learner = GBTClassifier(
             featuresCol="x", labelCol="label", weightCol="weight", maxIter=self.max_trees, stepSize=self.step, maxDepth=self.depth,
             minInstancesPerNode=self.min_leaf, featureSubsetStrategy=str(self.column_share), seed=self.seed,
@@ -123,7 +121,13 @@ class BoostedModel:
         scratch = Scratch(train.sparkSession, "boosted")
         model.write().overwrite().save(f"{scratch.root}/model")
         nodes = train.sparkSession.read.parquet(f"{scratch.root}/model/data").select("treeID", "nodeData.*").toPandas()
-        self.trees = [_tree(part, float(w)) for (_, part), w in zip(nodes.groupby("treeID", sort=True), model.treeWeights, strict=True)]
+        trees = [_tree(part, float(w)) for (_, part), w in zip(nodes.groupby("treeID", sort=True), model.treeWeights, strict=True)]
+        # Trees read few of the features: only those are sent to Python, renumbered.
+        self.used = sorted({int(f) for t in trees for f in t.feature if f >= 0}) or [0]
+        place = {f: i for i, f in enumerate(self.used)}
+        for t in trees:
+            t.feature = np.array([place.get(int(f), -1) for f in t.feature], np.int64)
+        self.trees = trees
         self.kept = self._best_prefix(validation)
         return self
 
@@ -137,7 +141,7 @@ class BoostedModel:
                 n, k = prefix.shape
                 yield pd.DataFrame({"kept": np.tile(np.arange(1, k + 1), n), "margin": prefix.ravel(), "label": np.repeat(f["label"].to_numpy(), k)})
 
-        rows = encoded(validation, self.encoder).select("features", F.col("is_fraud").cast("bigint").alias("label"))
+        rows = validation.select(self.features(), F.col("is_fraud").cast("bigint").alias("label"))
         each = rows.mapInPandas(run, "kept bigint, margin double, label bigint").groupBy("kept", "margin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("tp"))
         w = Window.partitionBy("kept").orderBy(F.col("margin").desc())
         run_ = each.select("kept", "tp", F.sum("n").over(w).alias("cn"), F.sum("tp").over(w).alias("ctp"))
@@ -151,6 +155,10 @@ class BoostedModel:
         self.validation_precision = best
         return at
 
+    def features(self):
+        """The used features as an array column."""
+        return F.array(*self.encoder.pick(self.used)).alias("features")
+
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds ``margin`` (log-odds) and ``score``."""
         trees = self.trees[: self.kept]
@@ -164,7 +172,7 @@ class BoostedModel:
             x = np.stack(features.to_numpy())
             return pd.Series(2.0 * sum(t.predict(x) for t in trees))
 
-        return encoded(rows, self.encoder).withColumn("margin", margin("features")).drop("features").withColumn("score", 1.0 / (1.0 + F.exp(-F.col("margin"))))
+        return rows.withColumn("margin", margin(self.features())).withColumn("score", 1.0 / (1.0 + F.exp(-F.col("margin"))))
 
     def strongest(self, limit: int = 12) -> list[tuple[str, float]]:
         if limit <= 0:

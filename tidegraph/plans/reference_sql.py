@@ -115,11 +115,11 @@ G4 = f"WITH {PAY}, {PAIRS} SELECT * FROM proj"
 G9 = f"""WITH {PAY}, {EDGES}, {PAIRS},
 tri AS (SELECT x.u AS a, x.v AS b, y.v AS c, greatest(x.first_observed_time, y.first_observed_time, z.first_observed_time) AS born
   FROM proj x JOIN proj y ON x.u = y.u AND x.v < y.v JOIN proj z ON z.u = x.v AND z.v = y.v),
-ev AS (SELECT node, born AS at, 1 AS t, 0 AS k FROM (SELECT a AS node, born FROM tri UNION ALL SELECT b, born FROM tri UNION ALL SELECT c, born FROM tri)
+ev AS (SELECT node, born AS tm, 1 AS t, 0 AS k FROM (SELECT a AS node, born FROM tri UNION ALL SELECT b, born FROM tri UNION ALL SELECT c, born FROM tri)
   UNION ALL SELECT u, first_observed_time, 0, 1 FROM proj UNION ALL SELECT v, first_observed_time, 0, 1 FROM proj),
-agg AS (SELECT node, at, sum(t) AS t, sum(k) AS k FROM ev GROUP BY 1, 2), run AS (SELECT node, at, sum(t) OVER w AS t, sum(k) OVER w AS k FROM agg WINDOW w AS (PARTITION BY node ORDER BY at)),
-q AS (SELECT transaction_id, entity_type || '::' || entity_value AS node, transaction_time - 1 AS at FROM edges WHERE entity_type IN ({_SPEC})),
-c AS (SELECT q.transaction_id, CASE WHEN r.k >= 2 THEN 2.0 * r.t / (r.k * (r.k - 1.0)) ELSE 0.0 END AS c FROM q ASOF LEFT JOIN run r ON q.node = r.node AND q.at >= r.at)
+agg AS (SELECT node, tm, sum(t) AS t, sum(k) AS k FROM ev GROUP BY 1, 2), run AS (SELECT node, tm, sum(t) OVER w AS t, sum(k) OVER w AS k FROM agg WINDOW w AS (PARTITION BY node ORDER BY tm)),
+q AS (SELECT transaction_id, entity_type || '::' || entity_value AS node, transaction_time - 1 AS tm FROM edges WHERE entity_type IN ({_SPEC})),
+c AS (SELECT q.transaction_id, CASE WHEN r.k >= 2 THEN 2.0 * r.t / (r.k * (r.k - 1.0)) ELSE 0.0 END AS c FROM q ASOF LEFT JOIN run r ON q.node = r.node AND q.tm >= r.tm)
 SELECT p.transaction_id, round(coalesce(max(c), 0.0), 6) AS specific_max_clustering, round(coalesce(avg(c), 0.0), 6) AS specific_mean_clustering FROM pay p LEFT JOIN c USING (transaction_id) GROUP BY 1"""
 
 _RULES = f"""{SPLIT}, q AS (SELECT quantile_cont(amount, CAST(0.95 AS DOUBLE)) AS p95, quantile_cont(amount, CAST(0.99 AS DOUBLE)) AS p99 FROM sp WHERE split = 'train'),
