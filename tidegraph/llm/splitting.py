@@ -2,8 +2,8 @@
 
 A text above the limit is cut at the strongest boundary near its midpoint (paragraph, line,
 sentence, word, then any unit), and its halves again while they exceed the limit minus the
-overlap. Then every piece but the first gets the ``overlap`` units before it put in front, so no
-piece exceeds the limit. Cuts lie only between units of size, and the pieces without their
+overlap. Then every piece but the first gets the ``overlap`` units before it put in front (all of
+the piece before, should that be smaller), so no piece exceeds the limit. Cuts lie only between units of size, and the pieces without their
 overlaps join to the exact text.
 
 Sizes are the tokenizer-free sizes of ``sizes.py``; ``Splitter`` also takes unit offsets of any
