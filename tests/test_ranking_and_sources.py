@@ -258,3 +258,31 @@ def test_stream_windows(spark, tmp_path):
     q = stream_activity(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "e"))).writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.event_type, r.n, r.total) for r in spark.table("activity").collect()] == [("a", 1, 2.0)]
+
+
+def test_views_against_brute_force(spark):
+    from helpers import nodes, random_rows
+
+    rows = random_rows(np.random.default_rng(33), 80, values=3, times=15)
+    df = canonical(spark, rows).drop("is_fraud")
+    chosen = [r["transaction_id"] for r in rows[::7]]
+    ids = spark.createDataFrame([(i,) for i in chosen + ["absent"]], "transaction_id string")
+    got = {}
+    for r in connection_view(df, ids, neighbours=4).collect():
+        got.setdefault(r.selected_transaction_id, {})[r.neighbour_rank] = (r.transaction_id, r.shared_entities)
+    summary = {r.selected_transaction_id: r for r in connection_summary(df, ids, neighbours=4).collect()}
+    assert set(summary) == set(chosen)
+    for r in rows[::7]:
+        near = [(len(nodes(r) & nodes(x)), x["transaction_time"], x["transaction_id"]) for x in rows if x["transaction_time"] < r["transaction_time"] and nodes(r) & nodes(x)]
+        best = sorted(near, key=lambda x: (-x[0], -x[1], x[2]))[:4]
+        assert [got.get(r["transaction_id"], {})[k + 1] for k in range(len(best))] == [(i, n) for n, _, i in best]
+        assert summary[r["transaction_id"]].historical_neighbour_count == len(near)
+
+
+def test_counted_quantiles(spark):
+    from tidegraph.operators.slices import counted_quantiles, quantiles
+
+    df = spark.createDataFrame([(float(v),) for v in (5, 1, 1, 9, 2, 2, 7)] + [(None,)], "v double")
+    shares = (0.0, 0.1, 0.5, 0.9, 0.95, 1.0)
+    assert counted_quantiles(df, "v", *shares) == pytest.approx(quantiles(df, "v", *shares))
+    assert counted_quantiles(df.limit(0), "v", 0.5) == [None] == quantiles(df.limit(0), "v", 0.5)

@@ -23,7 +23,8 @@ def _bucket(time: str, seconds: int) -> Column:
     return F.floor(F.col(time) / F.lit(seconds)).cast("bigint")
 
 
-def _bucket_offsets(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+def bucket_offsets(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``(*keys, __bucket, __before_<sum>)``: a key's sums over its earlier ``__bucket``s."""
     totals = rows.groupBy(*keys, "__bucket").agg(*(F.sum(s).alias(s) for s in sums))
     earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*keys, "__bucket", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"__before_{s}") for s in sums))
@@ -35,7 +36,7 @@ def strictly_earlier(rows: DataFrame, keys: Sequence[str], time: str, sums: Sequ
     frame = Window.partitionBy(*keys, "__bucket").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     others = [c for c in rows.columns if c not in sums and c not in keys]
     inside = placed.select(*keys, "__bucket", *others, *(F.coalesce(F.sum(s).over(frame), F.lit(0)).alias(s) for s in sums))
-    joined = inside.join(_bucket_offsets(placed, keys, sums), [*keys, "__bucket"])
+    joined = inside.join(bucket_offsets(placed, keys, sums), [*keys, "__bucket"])
     return joined.select(*keys, *others, *((F.col(s) + F.col(f"__before_{s}")).alias(s) for s in sums))
 
 
@@ -52,7 +53,7 @@ def sums_until(
     rows = a.unionByName(b).withColumn("__bucket", _bucket(time, bucket_seconds))
     frame = Window.partitionBy(*keys, "__bucket").orderBy(time, "__kind").rangeBetween(Window.unboundedPreceding, 0)
     inside = rows.select(*keys, "__bucket", time, "__kind", *extra, *(F.sum(s).over(frame).alias(s) for s in sums)).filter("__kind = 1")
-    joined = inside.join(_bucket_offsets(rows, keys, sums), [*keys, "__bucket"])
+    joined = inside.join(bucket_offsets(rows, keys, sums), [*keys, "__bucket"])
     return joined.select(*keys, time, *extra, *((F.col(s) + F.col(f"__before_{s}")).alias(s) for s in sums))
 
 

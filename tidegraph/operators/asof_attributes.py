@@ -70,13 +70,19 @@ def asof_matches(
     return hit.filter(inside).drop("__level", "__at")
 
 
-def validity_of_versions(facts: DataFrame, key: str, known_at: str, tie: str) -> DataFrame:
+def validity_of_versions(facts: DataFrame, key: str, known_at: str, tie: str, *, bucket: int = 86_400) -> DataFrame:
     """Adds ``valid_from`` and ``valid_to``: a version holds from when it is known until the next is.
 
     Precedence among versions of one ``key`` known at the same time is the largest ``tie``; the
     others get an empty interval. Versions with a NULL key or time are left out. Exact repeats
-    (same key, time and tie) are one version.
+    (same key, time and tie) are one version. The next version is looked up inside a time bucket
+    of the key, and beyond it in the first of the key's next bucket, so that a key with very many
+    versions is spread over its buckets.
     """
-    w = Window.partitionBy(key).orderBy(known_at, tie)
     rows = facts.filter(F.col(key).isNotNull() & F.col(known_at).isNotNull()).dropDuplicates([key, known_at, tie])
-    return rows.withColumn("valid_from", F.col(known_at)).withColumn("valid_to", F.lead(known_at).over(w))
+    placed = rows.withColumn("__bucket", F.floor(F.col(known_at) / F.lit(bucket)).cast("bigint"))
+    firsts = placed.groupBy(key, "__bucket").agg(F.min(known_at).alias("__first"))
+    following = firsts.select(key, "__bucket", F.lead("__first").over(Window.partitionBy(key).orderBy("__bucket")).alias("__next"))
+    inside = F.lead(known_at).over(Window.partitionBy(key, "__bucket").orderBy(known_at, tie))
+    joined = placed.withColumn("valid_to", inside).join(following, [key, "__bucket"])
+    return joined.select(*rows.columns, F.col(known_at).alias("valid_from"), F.coalesce("valid_to", "__next").alias("valid_to"))

@@ -37,18 +37,30 @@ def global_running(df: DataFrame, order: Sequence[Column], *, position: str = "p
     )
 
 
-def values_at_positions(df: DataFrame, column: str, positions: Sequence[int]) -> list[int]:
+def bucket_counts(df: DataFrame, column: str) -> list[tuple[int, int, int]]:
+    """``(bucket, rows, largest value)`` per coarse bucket of a bigint column, in order.
+
+    Bounded by the range of the column over the bucket width, not by the rows.
+    """
+    found = df.groupBy(_bucket(column).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("m")).collect()
+    return sorted((r["b"], r["n"], r["m"]) for r in found)
+
+
+def _bucket(column: str) -> Column:
+    return F.floor(F.col(column) / F.lit(BUCKET_SECONDS)).cast("bigint")
+
+
+def values_at_positions(df: DataFrame, column: str, positions: Sequence[int], coarse: Sequence[tuple[int, int, int]] | None = None) -> list[int]:
     """The values of a bigint column at 0-based positions of its ascending order, exactly.
 
-    Two passes of counting: per coarse bucket, then per value of the buckets hit. Neither sorts the
-    rows, and both results are bounded by the range of the column over the bucket width.
+    Two passes of counting: per coarse bucket (which a caller may pass in), then per value of the
+    buckets hit. Neither sorts the rows.
     """
-    bucket = F.floor(F.col(column) / F.lit(BUCKET_SECONDS)).cast("bigint")
-    coarse = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())
+    coarse = bucket_counts(df, column) if coarse is None else coarse
     found: dict[int, tuple[int, int]] = {}
     for p in positions:
         before = 0
-        for b, n in coarse:
+        for b, n, _ in coarse:
             if p < before + n:
                 found[p] = (b, before)
                 break
@@ -56,7 +68,7 @@ def values_at_positions(df: DataFrame, column: str, positions: Sequence[int]) ->
         else:
             raise ValueError("position beyond the table")
     hit = sorted({b for b, _ in found.values()})
-    fine = sorted((r[0], r[1]) for r in df.filter(bucket.isin(hit)).groupBy(column).count().collect())
+    fine = sorted((r[0], r[1]) for r in df.filter(_bucket(column).isin(hit)).groupBy(column).count().collect())
     out = []
     for p in positions:
         b, before = found[p]

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.operators.ordering import global_running
+from tidegraph.session import Scratch
+
+#: Distinct values up to which an exact percentile is merged in one task (some 100 MB of counts).
+DISTINCT_IN_ONE_TASK = 2_000_000
 BANDS = ("at_or_below_train_median", "train_median_to_p90", "above_train_p90")
 
 
@@ -15,13 +21,31 @@ def band(c: str, median: float, ninetieth: float) -> Column:
 
 
 def quantiles(rows: DataFrame, column: str, *shares: float) -> list[float]:
-    """Exact quantiles with linear interpolation.
+    """Exact quantiles with linear interpolation between neighbouring values; NULLs are left out.
 
-    Spark's exact percentile counts distinct values map-side, so what reaches the one final task
-    are value counts, not rows.
+    Few distinct values go through the built-in exact percentile, whose partial states are value
+    counts. Beyond ``DISTINCT_IN_ONE_TASK`` the counted values are put in a distributed total
+    order and the values at the wanted positions are picked from it.
     """
-    found = rows.agg(*(F.percentile(column, s).alias(str(i)) for i, s in enumerate(shares))).first()
-    return [float(x) for x in found]
+    if rows.agg(F.approx_count_distinct(column)).first()[0] <= DISTINCT_IN_ONE_TASK:
+        found = rows.agg(*(F.percentile(column, s).alias(str(i)) for i, s in enumerate(shares))).first()
+        return [None if x is None else float(x) for x in found]
+    return counted_quantiles(rows, column, *shares)
+
+
+def counted_quantiles(rows: DataFrame, column: str, *shares: float) -> list[float]:
+    """The same out of a total order of the counted values."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = Scratch(rows.sparkSession, "quantiles").table(global_running(counts, [F.col("v")], sums={"upto": "n"}), "run")
+    total = run.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
+    if not total:
+        return [None] * len(shares)
+    places = [(total - 1) * s for s in shares]
+    wanted = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
+    hit = F.exists(F.lit(wanted), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))
+    found = sorted((r["upto"], r["v"]) for r in run.filter(hit).select("upto", "v").collect())
+    at = lambda w: next(v for upto, v in found if w < upto)
+    return [at(math.floor(p)) + (at(math.ceil(p)) - at(math.floor(p))) * (p - math.floor(p)) for p in places]
 
 
 def slice_families(train: DataFrame, *, graph: bool = True) -> dict[str, tuple[Column, tuple[str, ...] | None]]:

@@ -7,38 +7,41 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.ordering import values_at_positions
+from tidegraph.operators.ordering import bucket_counts, values_at_positions
 
 
-def split_boundaries(rows: DataFrame, train_fraction: float, validation_fraction: float) -> tuple[int, int]:
-    """(last train time, last validation time) by row position in time order."""
+def split_boundaries(rows: DataFrame, train_fraction: float, validation_fraction: float) -> tuple[int, int, int]:
+    """(last train time, last validation time, last time) by row position in time order."""
     if not 0 < train_fraction < 1 or not 0 < validation_fraction < 1 or train_fraction + validation_fraction >= 1:
         raise ValueError("fractions must lie in (0, 1) and sum to less than 1")
-    n = rows.count()
+    coarse = bucket_counts(rows, "transaction_time")
+    n = sum(c for _, c, _ in coarse)
     if not n:
         raise ValueError("cannot split an empty table")
     train = max(0, min(n - 1, math.ceil(n * train_fraction) - 1))
     validation = max(train, min(n - 1, math.ceil(n * (train_fraction + validation_fraction)) - 1))
-    return tuple(values_at_positions(rows, "transaction_time", [train, validation]))
+    return (*values_at_positions(rows, "transaction_time", [train, validation], coarse), coarse[-1][2])
 
 
 def assign_splits(
     rows: DataFrame, *, train_fraction: float = 0.60, validation_fraction: float = 0.20, purge_seconds: int = 86_400
 ) -> DataFrame:
-    """Adds ``split``; raises if train, validation or test would be empty."""
+    """Adds ``split``; raises if train, validation or test would be empty.
+
+    The train end and validation end are times of rows, so validation has rows iff its end lies
+    beyond the first purge, and test iff the last time lies beyond the second.
+    """
     if purge_seconds < 0:
         raise ValueError("purge_seconds must not be negative")
-    train_end, validation_end = split_boundaries(rows, train_fraction, validation_fraction)
+    train_end, validation_end, last = split_boundaries(rows, train_fraction, validation_fraction)
+    if validation_end <= train_end + purge_seconds or last <= validation_end + purge_seconds:
+        raise ValueError("the split left train, validation or test empty; use more time or a shorter purge")
     t = F.col("transaction_time")
-    label = (
+    return rows.withColumn(
+        "split",
         F.when(t <= train_end, "train")
-        .when((t > train_end) & (t <= train_end + purge_seconds), "purge_train_validation")
-        .when((t > train_end + purge_seconds) & (t <= validation_end), "validation")
-        .when((t > validation_end) & (t <= validation_end + purge_seconds), "purge_validation_test")
-        .otherwise("test")
+        .when(t <= train_end + purge_seconds, "purge_train_validation")
+        .when(t <= validation_end, "validation")
+        .when(t <= validation_end + purge_seconds, "purge_validation_test")
+        .otherwise("test"),
     )
-    out = rows.withColumn("split", label)
-    present = {r[0] for r in out.select("split").distinct().collect()}
-    if not {"train", "validation", "test"} <= present:
-        raise ValueError("the split left train, validation or test empty; use more time or a shorter purge")
-    return out

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.operators.asof import entity_edges
+from tidegraph.operators.asof import BUCKET_SECONDS, bucket_offsets, entity_edges, strictly_earlier, subset_keys
 from tidegraph.schema import SPECIFIC_TYPES, TARGET_NAMES
+from tidegraph.session import Scratch
 
 NEIGHBOURS = 20
 
@@ -65,46 +66,71 @@ def require_target_free(df: DataFrame) -> None:
         raise ValueError("targets in map keys of view data")
 
 
-def earlier_sharers(rows: DataFrame, selected: DataFrame) -> DataFrame:
-    """``(selected_transaction_id, transaction_id, transaction_time, shared_entities)`` for all selected ids.
+def _sharers(rows: DataFrame, selected: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """(counts, best sharers) of every selected transaction.
 
-    Transactions strictly before a selected one that share a specific entity with it, with the
-    names of what they share. ``selected`` is a set of ids, such as the alerts of a capacity; the
-    edge table is reduced to their entities before the join on the entity.
+    Counts are ``(transaction_id, found)``, the distinct strictly earlier transactions sharing a
+    specific entity, by inclusion and exclusion over entity subsets. A transaction among the best
+    ``neighbours`` shares some subset S and nothing more, and fewer than ``neighbours`` later ones
+    share all of S; so the latest ``neighbours`` of each subset are candidates enough. They are
+    picked by position: a subset's rows are numbered in time order, and a selected row with p
+    strictly earlier ones takes the positions up to p by an equi-join. No pair beyond these
+    candidates is made, even for an entity that a third of all rows share.
     """
-    edges = entity_edges(rows, SPECIFIC_TYPES)
-    mine = edges.join(selected.select("transaction_id").distinct(), "transaction_id", "left_semi").select(
-        F.col("transaction_id").alias("selected_transaction_id"), F.col("transaction_time").alias("selected_time"), "entity_type", "entity_value"
+    scratch = Scratch(rows.sparkSession, "views")
+    ids = selected.select("transaction_id").distinct()
+    columns = list(SPECIFIC_TYPES)
+    asked = rows.join(ids, "transaction_id", "left_semi")
+    spread = subset_keys(rows, columns, ["transaction_id", "transaction_time"])
+    wanted = subset_keys(asked, columns, []).select("k1", "k2").distinct()
+    spread = scratch.table(spread.join(wanted, ["k1", "k2"], "left_semi").withColumn("__n", F.lit(1).cast("bigint")), "spread")
+    earlier = strictly_earlier(spread, ["k1", "k2"], "transaction_time", ["__n"])
+    mine = scratch.table(earlier.join(ids, "transaction_id", "left_semi"), "mine")
+    counts = mine.groupBy("transaction_id").agg(F.sum(F.col("sign") * F.col("__n")).alias("found"))
+    placed = spread.withColumn("__bucket", F.floor(F.col("transaction_time") / F.lit(BUCKET_SECONDS)).cast("bigint"))
+    w = Window.partitionBy("k1", "k2", "__bucket").orderBy("transaction_time", F.col("transaction_id").desc())
+    inside = placed.select("k1", "k2", "__bucket", F.col("transaction_id").alias("other"), F.row_number().over(w).alias("__p"))
+    offsets = bucket_offsets(placed, ["k1", "k2"], ["__n"])
+    numbered = inside.join(offsets, ["k1", "k2", "__bucket"]).select("k1", "k2", "other", (F.col("__p") + F.col("__before___n")).alias("pos"))
+    places = mine.filter(F.col("__n") > 0).select("k1", "k2", "transaction_id", F.explode(F.sequence(F.greatest(F.col("__n") - (neighbours - 1), F.lit(1)), F.col("__n"))).alias("pos"))
+    pairs = places.join(numbered, ["k1", "k2", "pos"]).select("transaction_id", "other").distinct()
+    left = asked.select("transaction_id", *(F.col(c).alias(f"__{c}") for c in columns))
+    right = rows.select(F.col("transaction_id").alias("other"), "transaction_time", *columns)
+    same = sum((F.coalesce((F.col(c) == F.col(f"__{c}")).cast("bigint"), F.lit(0)) for c in columns[1:]), F.coalesce((F.col(columns[0]) == F.col(f"__{columns[0]}")).cast("bigint"), F.lit(0)))
+    shared = pairs.join(left, "transaction_id").join(right, "other").select(
+        F.col("transaction_id").alias("selected_transaction_id"), F.col("other").alias("transaction_id"), "transaction_time", same.cast("bigint").alias("shared_entities")
     )
-    hit = mine.join(edges, ["entity_type", "entity_value"]).filter(F.col("transaction_time") < F.col("selected_time"))
-    return hit.groupBy("selected_transaction_id", "transaction_id", "transaction_time").agg(F.count(F.lit(1)).alias("shared_entities"))
+    order = Window.partitionBy("selected_transaction_id").orderBy(F.col("shared_entities").desc(), F.col("transaction_time").desc(), "transaction_id")
+    return counts, shared.withColumn("neighbour_rank", F.row_number().over(order)).filter(F.col("neighbour_rank") <= neighbours)
 
 
 def connection_view(rows: DataFrame, selected: DataFrame, *, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """The ``neighbours`` best sharers per selected transaction: most shared, then latest, then id."""
+    """The ``neighbours`` best sharers per selected transaction: most shared, then latest, then id.
+
+    ``(selected_transaction_id, transaction_id, transaction_time, shared_entities, neighbour_rank)``
+    of strictly earlier transactions; ``selected`` is a set of ids, such as the alerts of a capacity.
+    """
     if neighbours <= 0:
         raise ValueError("neighbours must be positive")
     require_target_free(rows)
-    w = Window.partitionBy("selected_transaction_id").orderBy(F.col("shared_entities").desc(), F.col("transaction_time").desc(), "transaction_id")
-    return earlier_sharers(rows, selected).withColumn("neighbour_rank", F.row_number().over(w)).filter(F.col("neighbour_rank") <= neighbours)
+    return _sharers(rows, selected, neighbours)[1]
 
 
 def connection_summary(rows: DataFrame, selected: DataFrame, *, neighbours: int = NEIGHBOURS) -> DataFrame:
     """One row per selected transaction about its view: counts found, shown, nodes, edges."""
+    if neighbours <= 0:
+        raise ValueError("neighbours must be positive")
     require_target_free(rows)
     ids = selected.select("transaction_id").distinct()
-    w = Window.partitionBy("selected_transaction_id").orderBy(F.col("shared_entities").desc(), F.col("transaction_time").desc(), "transaction_id")
-    seen = earlier_sharers(rows, ids).withColumn("r", F.row_number().over(w))
-    shown = F.col("r") <= neighbours
-    per = seen.groupBy(F.col("selected_transaction_id").alias("transaction_id")).agg(
-        F.count(F.lit(1)).alias("found"), F.count_if(shown).alias("shown"), F.coalesce(F.sum(F.when(shown, F.col("shared_entities"))), F.lit(0)).alias("links"),
-        F.max("transaction_time").alias("latest"),
-    )
+    counts, best = _sharers(rows, ids, neighbours)
+    shown = best.groupBy(F.col("selected_transaction_id").alias("transaction_id")).agg(
+        F.count(F.lit(1)).alias("shown"), F.sum("shared_entities").alias("links"), F.max("transaction_time").alias("latest")
+    )
     base = rows.join(ids, "transaction_id", "left_semi").select(
         "transaction_id", "transaction_time", F.size(F.array_compact(F.array(*SPECIFIC_TYPES))).cast("bigint").alias("available")
     )
     z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return base.join(per, "transaction_id", "left").select(
+    return base.join(counts, "transaction_id", "left").join(shown, "transaction_id", "left").select(
         F.col("transaction_id").alias("selected_transaction_id"), F.col("transaction_time").alias("selected_transaction_time"), F.col("available").alias("available_specific_entities"),
         z("found").alias("historical_neighbour_count"), z("shown").alias("displayed_historical_neighbours"), (z("found") > z("shown")).alias("truncated"),
         (F.lit(1) + F.col("available") + z("shown")).alias("node_count"), (F.col("available") + z("links")).alias("edge_count"),
