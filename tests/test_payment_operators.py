@@ -20,7 +20,7 @@ from tidegraph.operators.contraction import connected_labels, link_groups, permu
 from tidegraph.operators.current import current_rows
 from tidegraph.operators.entity_features import entity_entries, feature_table, merge_entries, sparse_vectors, type_dictionary
 from tidegraph.operators.keyed_totals import heavy_keys, keyed_totals
-from tidegraph.operators.rolling import advance_day, correct_state, daily_totals, expand_days, latest_version, rolling_state
+from tidegraph.operators.rolling import advance_day, correct_state, daily_corrections, daily_totals, expand_days, latest_version, rolling_state
 from tidegraph.session import Scratch
 
 
@@ -229,11 +229,22 @@ def test_advance_and_correct(spark):
     change = spark.createDataFrame([("a", 6, -20, 0), ("b", 5, 7, 1)], daily.schema)
     fixed = {("a", 0): (100, 1), ("a", 6): (30, 1), ("a", 12): (5, 1), ("b", 3): (10, 2), ("b", 5): (7, 1), ("b", 12): (1, 1)}
     corrected = correct_state(daily, change, 2)
-    got = {(r.entity, r.day_no): [r.cents_7, r.n_7, r.cents_30, r.n_30] for r in corrected.collect()}
+    got = {(r.entity, r.day_no): [r.cents_7, r.n_7, r.cents_30, r.n_30] for r in corrected.filter("day_no <= 12").collect()}
     assert got == {k: v for k, v in brute_rolling(fixed, (7, 30)).items() if k[1] >= {"a": 6, "b": 5}[k[0]]}
-    both = expand_days(rolling_state(daily)).withColumn("version", F.lit(1)).unionByName(corrected)
-    final = {(r.entity, r.day_no): [r.cents_7, r.n_7, r.cents_30, r.n_30] for r in latest_version(both).collect()}
-    assert final == brute_rolling(fixed, (7, 30))
+    both = expand_days(rolling_state(daily)).withColumn("version", F.lit(1)).unionByName(corrected, allowMissingColumns=True)
+    final = {(r.entity, r.day_no): [r.cents_7, r.n_7, r.cents_30, r.n_30] for r in latest_version(both).collect() if r.n_30 and r.day_no <= 12}
+    assert final == {k: v for k, v in brute_rolling(fixed, (7, 30)).items() if v[3]}
+
+
+def test_moved_payments_leave_nothing_behind(spark):
+    old = spark.createDataFrame([("a", 2, 100, 1), ("a", 40, 5, 1), ("b", 9, 3, 1)], "entity string, day_no bigint, cents bigint, n bigint")
+    new = spark.createDataFrame([("a", 4, 100, 1), ("a", 40, 5, 1), ("c", 1, 8, 1)], old.schema)
+    change = daily_corrections(old, new)
+    assert change.count() == 4
+    both = expand_days(rolling_state(old, horizon=60)).withColumn("version", F.lit(1)).unionByName(correct_state(old, change, 2, horizon=60), allowMissingColumns=True)
+    final = {(r.entity, r.day_no): [r.cents_7, r.n_7, r.cents_30, r.n_30] for r in latest_version(both).collect() if r.n_30}
+    exact = {(e, d): (c, n) for e, d, c, n in (tuple(r) for r in new.collect())}
+    assert final == {k: v for k, v in brute_rolling(exact, (7, 30), 60).items() if v[3]}
 
 
 # --- entity features ---------------------------------------------------------------------------------

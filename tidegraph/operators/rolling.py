@@ -95,14 +95,21 @@ def advance_day(state: DataFrame, daily: DataFrame, day_no: int, windows: Sequen
     )
 
 
+def daily_corrections(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Signed ``(entity, day_no, cents, n)`` by which ``new`` daily totals differ from ``old``."""
+    signed = old.select("entity", "day_no", (-F.col("cents")).alias("cents"), (-F.col("n")).alias("n")).unionByName(new.select("entity", "day_no", "cents", "n"))
+    return signed.groupBy("entity", "day_no").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).filter("cents <> 0 OR n <> 0")
+
+
 def correct_state(
     old_daily: DataFrame, corrections: DataFrame, version: int, windows: Sequence[int] = WINDOWS, *, horizon: int | None = None
 ) -> DataFrame:
     """Day rows of version ``version`` for the days that ``corrections`` change.
 
     ``corrections`` are signed ``(entity, day_no, cents, n)`` differences. Only corrected entities
-    are read, and only their days ``day_no .. day_no + max(windows) - 1`` are returned; days before
-    an entity's first and after its last (or ``horizon``) have no state.
+    are read, and exactly the days ``day_no .. day_no + max(windows) - 1`` (up to ``horizon``) are
+    returned; where nothing is left in the windows the row has zeros and replaces the old one. A
+    day without any row means zeros, so days that no correction reaches stay valid.
     """
     reach = max(windows)
     touched = corrections.select("entity").distinct()
@@ -113,7 +120,10 @@ def correct_state(
     )
     days = expand_days(rolling_state(merged, windows, horizon=horizon), windows)
     affected = corrections.select("entity", F.explode(F.sequence("day_no", F.col("day_no") + (reach - 1))).alias("day_no")).distinct()
-    return days.join(affected, ["entity", "day_no"], "left_semi").withColumn("version", F.lit(version))
+    if horizon is not None:
+        affected = affected.filter(F.col("day_no") <= horizon)
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in _state_columns(windows)}
+    return affected.join(days, ["entity", "day_no"], "left").withColumns({**zero, "version": F.lit(version)})
 
 
 def latest_version(versions: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from tidegraph.operators.distinct_bitmap import cube_sketches, distinct_sketch,
 from tidegraph.operators.entity_features import entity_entries, feature_table, sparse_vectors, type_dictionary
 from tidegraph.operators.keyed_totals import heavy_keys, keyed_totals
 from tidegraph.operators.quantile_sketch import quantile_sketch, sketch_quantiles
-from tidegraph.operators.rolling import daily_totals, expand_days, rolling_state
+from tidegraph.operators.current import current_rows
+from tidegraph.operators.rolling import correct_state, daily_corrections, daily_totals, expand_days, latest_version, rolling_state
 from tidegraph.plans import payment_sql as sql
 from tidegraph.session import Scratch, broadcast_if_small
 from tidegraph.sources.tables import current_transactions, table
@@ -119,6 +120,25 @@ def p4_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_corrected_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The rolling totals up to the last day of the data, kept as versions.
+
+    Version 1 is the state that the deliveries before June 2024 give; version 2 recomputes only the
+    card days that later deliveries (new, late, changed or moved payments) reach.
+    """
+    scratch = Scratch(spark, "p4")
+    first = table(spark, d, "transactions").select("transaction_id", "transaction_time", "amount", "card_id", "raw_ingested_at", "raw_delivery_id")
+    first = current_rows(first.filter("raw_ingested_at < timestamp_ntz'2024-06-01 00:00:00'")).filter(timed() & paid())
+    keyed = first.select(normal_form("card_id").alias("card"), day_number().alias("day"), cents().alias("c"))
+    old = scratch.table(daily_totals(keyed, "card", "day", "c"), "old")
+    new = scratch.table(_p4_daily(spark, d), "new")
+    horizon = new.agg(F.coalesce(F.max("day_no"), F.lit(0))).first()[0]
+    before = expand_days(rolling_state(old, horizon=horizon)).drop("first_day", "last_day").withColumn("version", F.lit(1))
+    fixed = correct_state(old, scratch.table(daily_corrections(old, new), "corrections"), 2, horizon=horizon).drop("first_day", "last_day")
+    valid = latest_version(before.unionByName(fixed)).filter("n_30 > 0")
+    return valid.select(F.col("entity").alias("card_id"), "day_no", "cents_7", "n_7", "cents_30", "n_30")
+
+
 # --- p5 entity features ---------------------------------------------------------------------------
 
 
@@ -201,7 +221,7 @@ def p7_label_history(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_distinct_cube, p2_found, p3_found, p3_percentiles, p4_found, p4_rolling_totals, p5_found, p5_entity_features,
+        p1_found, p1_distinct_cube, p2_found, p3_found, p3_percentiles, p4_found, p4_rolling_totals, p4_corrected_totals, p5_found, p5_entity_features,
         p5_sparse_entries, p6_found, p6_key_totals, p7_found, p7_label_history,
     )
 }
@@ -212,6 +232,7 @@ ORACLE: dict[str, str] = {
     "p3_found": sql.P3_FOUND,
     "p4_found": sql.P4_FOUND,
     "p4_rolling_totals": sql.P4_ROLLING,
+    "p4_corrected_totals": sql.P4_CORRECTED,
     "p5_found": sql.P5_FOUND,
     "p5_sparse_entries": sql.P5_ENTRIES,
     "p6_found": sql.P6_FOUND,
