@@ -116,6 +116,10 @@ def test_link_groups(spark):
     # Equal values in different fields (x, b) do not link.
     assert got == {"t3": "t1", "t1": "t1", "t2": "t1", "t9": "t9", "t5": "t4", "t4": "t4", "t8": "t8"}
     assert link_groups(df.limit(0), "id", ["label", "vertex", "u"]).count() == 0
+    odd = spark.createDataFrame([(None, "a"), ("t2", "a"), ("t2", "a"), (None, "z"), (None, None)], "id string, label string")
+    assert sorted(map(str, link_groups(odd, "id", ["label"]).collect())) == sorted(
+        ["Row(id=None, group_id='t2')", "Row(id='t2', group_id='t2')", "Row(id='t2', group_id='t2')", "Row(id=None, group_id=None)", "Row(id=None, group_id=None)"]
+    )
     with pytest.raises(ValueError):
         link_groups(df, "id", ["id"])
 
@@ -182,6 +186,8 @@ def test_sketch_edges(spark):
     assert (one.n, one.q_0) == (10, 4.0)
     with pytest.raises(ValueError):
         qs.quantile_sketch(empty, ["k"], "v", k=5)
+    with pytest.raises(ValueError):
+        qs.quantile_sketch(empty.toDF("level", "v"), ["level"], "v")
 
 
 # --- rolling totals ----------------------------------------------------------------------------------
@@ -311,6 +317,8 @@ def test_asof_matches(spark):
     want = {(i, k) for i, c, t in events for d, k, a, b in facts if c is not None and c == d and t is not None and a is not None and a <= t and (b is None or t < b)}
     assert got == want
     assert asof_matches(e.limit(0), f, "card", "level", "valid_from", "valid_to").count() == 0
+    both = asof_matches(e.withColumn("valid_from", F.lit("x")).withColumn("note", F.lit(1)), f.withColumn("note", F.lit(2)), "card", "level", "valid_from", "valid_to", low=12, high=20)
+    assert {(r.eid, r.fid) for r in both.collect()} == want and {"fact_valid_from", "note", "fact_note"} <= set(both.columns)
 
 
 def test_validity_of_versions(spark):

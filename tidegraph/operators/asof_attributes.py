@@ -54,9 +54,13 @@ def asof_matches(
     """Every (event, fact) with equal entity and ``valid_from <= event_time < valid_to``.
 
     NULL ``valid_to`` means still valid. Events with a NULL entity or time and facts with a NULL
-    entity or start match nothing. Times must lie in [0, 2**high). Facts' other columns must not
-    clash with the events' columns. Only events of entities that have facts are expanded.
+    entity or start match nothing. Times must lie in [0, 2**high). The result has all columns of
+    both; a facts' column that the events have, too, is named ``fact_<column>``. Only events of
+    entities that have facts are expanded.
     """
+    clash = {c: f"fact_{c}" for c in facts.columns if c != entity and c in events.columns}
+    facts = facts.withColumnsRenamed(clash)
+    valid_from, valid_to = clash.get(valid_from, valid_from), clash.get(valid_to, valid_to)
     end = F.least(F.coalesce(F.col(valid_to), F.lit((1 << high) - 1)), F.lit((1 << high) - 1)).cast("bigint")
     start = F.greatest(F.col(valid_from), F.lit(0)).cast("bigint")
     keyed = facts.filter(F.col(entity).isNotNull() & F.col(valid_from).isNotNull())

@@ -100,7 +100,9 @@ def link_groups(
 
     Two records are linked by an equal non-NULL value in the same one of ``link_fields``. The
     group's identifier is the smallest ``record_id`` in it; a record without any value is its own
-    group. ``record_id`` must be unique and not NULL. Extra columns are ignored.
+    group. Every row comes back once: repeated ids are separate rows, and a row with a NULL id
+    links like any other and gets its group's smallest id (NULL if there is none). Extra columns
+    are ignored, so their names do not matter.
 
     The graph that is contracted has the field values as vertices; a record is not a vertex but
     ties its first value to its others, so a value shared by a third of all records costs one

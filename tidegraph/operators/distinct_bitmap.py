@@ -7,8 +7,8 @@ groups combine with the built-in ``bit_or`` aggregate inside Spark's hash aggreg
 
 Estimate: slices from the first unsaturated one on are linear-counted, summed and scaled by the
 probability of reaching them. With ``bits`` = 1,024 the relative standard error is at most
-``relative_error()`` = 3.1 % at any cardinality up to about ``bits * 2**28`` and well below 1 %
-under 100 identifiers.
+``relative_error()`` = 3.0 % at any cardinality up to about ``bits * 2**27`` (simulated: 1.4 % up to
+1,000 identifiers, at most 2.8 % beyond).
 """
 
 from __future__ import annotations

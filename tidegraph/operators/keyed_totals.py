@@ -35,6 +35,6 @@ def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
     """
     whole = totals.groupBy("field_name").agg(F.sum("n").alias("n_field"))
     joined = totals.join(F.broadcast(whole), "field_name")
-    return joined.filter(F.col("key_value").isNotNull() & (F.col("n") >= F.col("n_field") * F.lit(share))).withColumn(
+    return joined.filter(F.col("key_value").isNotNull() & (F.col("n") >= F.ceil(F.col("n_field") * F.lit(share) - F.lit(1e-6)))).withColumn(
         "share", F.col("n") / F.col("n_field")
     )

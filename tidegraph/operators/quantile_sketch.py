@@ -187,6 +187,8 @@ def quantile_sketch(df: DataFrame, keys: Sequence[str], value: str, k: int = DEF
     if k < 4 or k % 2:
         raise ValueError("k must be even and at least 4")
     names = list(keys)
+    if {f.name for f in SKETCH_FIELDS} & set(names):
+        raise ValueError("rename keys called level, state or items")
     chosen = df.select(*names, F.col(value).cast("double").alias("__value")).filter(F.col("__value").isNotNull() & ~F.isnan("__value"))
     schema = T.StructType([*(chosen.schema[c] for c in names), *SKETCH_FIELDS])
 

@@ -20,6 +20,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS = 100_000
 
 _own_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cores: str = "8", *, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -65,6 +66,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        _written.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table; its lineage ends here."""
@@ -74,8 +76,7 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
 
     def release(self) -> None:
         """Let the context cleaner delete shuffle files of steps whose results are written."""
@@ -83,6 +84,20 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    Results are lazy and read them, so call this once the results have been written elsewhere.
+    """
+    for folder in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, folder)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only if it has at most ``limit`` rows; otherwise leave the join to the planner."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
