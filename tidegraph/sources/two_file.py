@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegraph.functions.normal import trimmed
 from tidegraph.operators.attach import one_to_one_left
 from tidegraph.operators.quality import validate_transactions
 from tidegraph.schema import CANONICAL_COLUMNS
@@ -44,7 +45,7 @@ def pruned_csv(spark: SparkSession, path: str | Path, wanted: Sequence[str], max
 
 def key_part(c: Column) -> Column:
     """A key's part: trimmed, lower-cased, whole numbers without fraction; NULL if empty."""
-    text = F.lower(F.trim(c.cast("string")))
+    text = F.lower(trimmed(c.cast("string")))
     whole = F.regexp_extract(text, r"^(-?\d+)\.0+$", 1)
     return F.nullif(F.when(whole != "", whole).otherwise(text), F.lit(""))
 
@@ -73,7 +74,7 @@ def load_two_file(spark: SparkSession, folder: str | Path, *, max_rows: int | No
     identity = pruned_csv(spark, folder / IDENTITY_FILE, IDENTITY_COLUMNS)
     both = one_to_one_left(txns, identity, "TransactionID", reduce_first=True)
     col = lambda c: F.col(c) if c in both.columns else F.lit(None).cast("string")
-    domain = lambda c: F.lower(F.trim(col(c)))
+    domain = lambda c: F.lower(trimmed(col(c)))
     shaped = both.select(
         F.concat(F.lit("ieee:"), F.col("TransactionID")).alias("transaction_id"), F.col("TransactionDT").alias("transaction_time"), F.col("TransactionAmt").alias("amount"),
         F.coalesce(col("ProductCD"), F.lit("unknown")).alias("product_code"), entity_key("card", *map(col, CARD_PARTS)).alias("card_id"),
