@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions.normal import WHITESPACE, cents, day_number, normal_form, paid, timed
 from tidegraph.operators import distinct_bitmap as db
 from tidegraph.operators import quantile_sketch as qs
-from tidegraph.operators.asof_attributes import asof_matches, dyadic_nodes, enclosing_nodes, validity_of_versions
+from tidegraph.operators.asof_attributes import asof_matches, asof_totals, dyadic_nodes, enclosing_nodes, validity_of_versions
 from tidegraph.operators.contraction import connected_labels, link_groups, permute, unpermute
 from tidegraph.operators.current import current_rows
 from tidegraph.operators.entity_features import entity_entries, feature_table, merge_entries, sparse_vectors, type_dictionary
@@ -321,6 +321,21 @@ def test_asof_matches(spark):
     assert {(r.eid, r.fid) for r in both.collect()} == want and {"fact_valid_from", "note", "fact_note"} <= set(both.columns)
 
 
+def test_asof_totals(spark):
+    rng = np.random.default_rng(10)
+    facts = [(f"c{rng.integers(3)}", i, int(rng.integers(900)), None if rng.random() < 0.3 else int(rng.integers(900))) for i in range(60)] + [(None, 9, 1, 2), ("c1", 9, None, 3)]
+    events = [(i, f"c{rng.integers(5)}", int(rng.integers(1_000))) for i in range(90)] + [(90, "c1", 5), (91, "c1", 5), (92, None, 4), (93, "c1", None)]
+    f = spark.createDataFrame(facts, "card string, l int, a bigint, b bigint")
+    e = spark.createDataFrame(events, "eid int, card string, n bigint")
+    got = {(r.card, r.n): (r.n_valid, r.l) for r in asof_totals(e, f, "card", "n", "a", "b", "l", high=11).collect()}
+    want = {}
+    for _, c, t in events:
+        valid = [k for d, k, a, b in facts if c is not None and t is not None and d == c and a is not None and a <= t and (b is None or t < b)]
+        if valid:
+            want[c, t] = (len(valid), max(valid))
+    assert got == want
+
+
 def test_validity_of_versions(spark):
     rows = [("s", 1, 10), ("s", 2, 10), ("s", 3, 20), ("s", 3, 20), ("s", 4, None), (None, 5, 1), ("u", 6, 0)]
     df = spark.createDataFrame(rows, "k string, rid int, known bigint")

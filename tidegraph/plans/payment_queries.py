@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.normal import cents, day_number, normal_form, paid, timed
-from tidegraph.operators.asof_attributes import asof_matches, validity_of_versions
+from tidegraph.operators.asof_attributes import asof_matches, asof_totals, validity_of_versions
 from tidegraph.operators.contraction import link_groups
 from tidegraph.operators.distinct_bitmap import cube_sketches, distinct_sketch, estimate_distinct
 from tidegraph.operators.entity_features import entity_entries, feature_table, sparse_vectors, type_dictionary
@@ -189,8 +189,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 # --- p7 labels as known ---------------------------------------------------------------------------
 
 
-def _p7_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(timed current transactions with card, pairs of them with the reports known of earlier ones)."""
+def _p7_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(timed current transactions with card, validity intervals of fraud reports per card)."""
     scratch = Scratch(spark, "p7")
     cur = current_transactions(spark, d, ["transaction_time", "card_id"]).filter(timed())
     cur = cur.select("transaction_id", "transaction_time", normal_form("card_id").alias("card")).filter("card IS NOT NULL")
@@ -202,19 +202,21 @@ def _p7_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     on = cur.select(F.col("transaction_id").alias("sid"), F.col("transaction_time").alias("s_time"), "card").join(said, "sid")
     # The report speaks to later transactions only, so the interval also starts after S itself.
     facts = on.select("card", "report_id", "known_time", F.greatest("valid_from", F.col("s_time") + 1).alias("valid_from"), "valid_to")
-    return cur, asof_matches(cur, facts, "card", "transaction_time", "valid_from", "valid_to")
+    return cur, facts
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p7_pairs(spark, d)[1].select("transaction_id", "report_id")
+    cur, facts = _p7_facts(spark, d)
+    return asof_matches(cur, facts, "card", "transaction_time", "valid_from", "valid_to").select("transaction_id", "report_id")
 
 
 def p7_label_history(spark: SparkSession, d: str) -> DataFrame:
     """Per timed transaction: how many earlier frauds of its card were known, and when the last became known."""
-    cur, pairs = _p7_pairs(spark, d)
-    known = pairs.groupBy("transaction_id").agg(F.count("report_id").alias("known_frauds"), F.max("known_time").alias("last_known_time"))
-    return cur.select("transaction_id").join(known, "transaction_id", "left").select(
-        "transaction_id", F.coalesce("known_frauds", F.lit(0)).cast("bigint").alias("known_frauds"), "last_known_time"
+    cur, facts = _p7_facts(spark, d)
+    facts = Scratch(spark, "p7").table(facts, "facts")
+    known = asof_totals(cur, facts, "card", "transaction_time", "valid_from", "valid_to", "known_time", high=24)
+    return cur.join(known, ["card", "transaction_time"], "left").select(
+        "transaction_id", F.coalesce("n_valid", F.lit(0)).cast("bigint").alias("known_frauds"), F.col("known_time").alias("last_known_time")
     )
 
 
