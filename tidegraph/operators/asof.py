@@ -24,10 +24,16 @@ def _bucket(time: str, seconds: int) -> Column:
 
 
 def bucket_offsets(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """``(*keys, __bucket, __before_<sum>)``: a key's sums over its earlier ``__bucket``s."""
+    """``(*keys, __bucket, __before_<sum>)``: a key's sums over its earlier ``__bucket``s, where not all are 0."""
     totals = rows.groupBy(*keys, "__bucket").agg(*(F.sum(s).alias(s) for s in sums))
     earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*keys, "__bucket", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"__before_{s}") for s in sums))
+    before = totals.select(*keys, "__bucket", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"__before_{s}") for s in sums))
+    # Most keys live in one bucket: their zeros need not be joined back.
+    return before.filter(" OR ".join(f"__before_{s} <> 0" for s in sums))
+
+
+def _with_offset(s: str) -> Column:
+    return (F.col(s) + F.coalesce(F.col(f"__before_{s}"), F.lit(0))).alias(s)
 
 
 def strictly_earlier(rows: DataFrame, keys: Sequence[str], time: str, sums: Sequence[str], *, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -36,8 +42,8 @@ def strictly_earlier(rows: DataFrame, keys: Sequence[str], time: str, sums: Sequ
     frame = Window.partitionBy(*keys, "__bucket").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     others = [c for c in rows.columns if c not in sums and c not in keys]
     inside = placed.select(*keys, "__bucket", *others, *(F.coalesce(F.sum(s).over(frame), F.lit(0)).alias(s) for s in sums))
-    joined = inside.join(bucket_offsets(placed, keys, sums), [*keys, "__bucket"])
-    return joined.select(*keys, *others, *((F.col(s) + F.col(f"__before_{s}")).alias(s) for s in sums))
+    joined = inside.join(bucket_offsets(placed, keys, sums), [*keys, "__bucket"], "left")
+    return joined.select(*keys, *others, *map(_with_offset, sums))
 
 
 def sums_until(
@@ -53,8 +59,8 @@ def sums_until(
     rows = a.unionByName(b).withColumn("__bucket", _bucket(time, bucket_seconds))
     frame = Window.partitionBy(*keys, "__bucket").orderBy(time, "__kind").rangeBetween(Window.unboundedPreceding, 0)
     inside = rows.select(*keys, "__bucket", time, "__kind", *extra, *(F.sum(s).over(frame).alias(s) for s in sums)).filter("__kind = 1")
-    joined = inside.join(bucket_offsets(rows, keys, sums), [*keys, "__bucket"])
-    return joined.select(*keys, time, *extra, *((F.col(s) + F.col(f"__before_{s}")).alias(s) for s in sums))
+    joined = inside.join(bucket_offsets(rows, keys, sums), [*keys, "__bucket"], "left")
+    return joined.select(*keys, time, *extra, *map(_with_offset, sums))
 
 
 def entity_edges(rows: DataFrame, types: Mapping[str, str] = ENTITY_TYPES, keep: Sequence[str] = ("transaction_id", "transaction_time")) -> DataFrame:
@@ -101,19 +107,24 @@ def subset_keys(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) ->
     exclusion, the sum over subsets of sign * (rows equal on the whole subset). A subset's values
     are identified by two independent 64-bit hashes.
     """
+    hashed = rows.select(
+        *keep,
+        *(F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"__a{i}") for i, c in enumerate(columns)),
+        *(F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c), F.lit(i + 1))).alias(f"__b{i}") for i, c in enumerate(columns)),
+    )
     each = []
     for size in range(1, len(columns) + 1):
-        for subset in combinations(columns, size):
-            present = F.col(subset[0]).isNotNull()
-            for c in subset[1:]:
-                present = present & F.col(c).isNotNull()
-            name = "|".join(subset)
+        for subset in combinations(range(len(columns)), size):
+            present = F.col(f"__a{subset[0]}").isNotNull()
+            for i in subset[1:]:
+                present = present & F.col(f"__a{i}").isNotNull()
+            mask = sum(1 << i for i in subset)
             key = F.struct(
-                F.xxhash64(F.lit(name), *subset).alias("k1"), F.xxhash64(F.lit(name[::-1]), *reversed(subset)).alias("k2"),
+                F.xxhash64(F.lit(mask), *(F.col(f"__a{i}") for i in subset)).alias("k1"), F.xxhash64(*(F.col(f"__b{i}") for i in subset), F.lit(mask)).alias("k2"),
                 F.lit(1 if size % 2 else -1).cast("bigint").alias("sign"),
             )
             each.append(F.when(present, key))
-    return rows.select(*keep, F.explode(F.array_compact(F.array(*each))).alias("__k")).select(*keep, "__k.*")
+    return hashed.select(*keep, F.explode(F.array_compact(F.array(*each))).alias("__k")).select(*keep, "__k.*")
 
 
 def shared_transactions(rows: DataFrame, types: Mapping[str, str] = SPECIFIC_TYPES, name: str = "specific_shared_transaction_count") -> DataFrame:
@@ -123,7 +134,7 @@ def shared_transactions(rows: DataFrame, types: Mapping[str, str] = SPECIFIC_TYP
     """
     spread = subset_keys(rows, list(types), ["transaction_id", "transaction_time"]).withColumn("__n", F.lit(1).cast("bigint"))
     counted = strictly_earlier(spread, ["k1", "k2"], "transaction_time", ["__n"])
-    shared = counted.groupBy("transaction_id").agg(F.sum(F.col("sign") * F.col("__n")).alias(name))
+    shared = counted.filter("__n <> 0").groupBy("transaction_id").agg(F.sum(F.col("sign") * F.col("__n")).alias(name))
     return rows.select("transaction_id").join(shared, "transaction_id", "left").select("transaction_id", F.coalesce(name, F.lit(0)).alias(name))
 
 
@@ -147,7 +158,7 @@ def matured_labels(rows: DataFrame, *, delay: int = 86_400, eligible_split: str
     )
     lookups = subset_keys(rows, columns, ["transaction_id", "transaction_time"]).withColumn("transaction_time", F.col("transaction_time") - max(delay, 1))
     found = sums_until(events, lookups, ["k1", "k2"], "transaction_time", ["labels", "frauds"])
-    per = found.groupBy("transaction_id").agg(F.sum(F.col("sign") * F.col("labels")).alias("n"), F.sum(F.col("sign") * F.col("frauds")).alias("f"))
+    per = found.filter("labels <> 0").groupBy("transaction_id").agg(F.sum(F.col("sign") * F.col("labels")).alias("n"), F.sum(F.col("sign") * F.col("frauds")).alias("f"))
     joined = rows.select("transaction_id", "transaction_time").join(per, "transaction_id", "left")
     n, f = F.coalesce("n", F.lit(0)), F.coalesce("f", F.lit(0))
     return joined.select(

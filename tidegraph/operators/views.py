@@ -91,7 +91,7 @@ def _sharers(rows: DataFrame, selected: DataFrame, neighbours: int) -> tuple[Dat
     w = Window.partitionBy("k1", "k2", "__bucket").orderBy("transaction_time", F.col("transaction_id").desc())
     inside = placed.select("k1", "k2", "__bucket", F.col("transaction_id").alias("other"), F.row_number().over(w).alias("__p"))
     offsets = bucket_offsets(placed, ["k1", "k2"], ["__n"])
-    numbered = inside.join(offsets, ["k1", "k2", "__bucket"]).select("k1", "k2", "other", (F.col("__p") + F.col("__before___n")).alias("pos"))
+    numbered = inside.join(offsets, ["k1", "k2", "__bucket"], "left").select("k1", "k2", "other", (F.col("__p") + F.coalesce("__before___n", F.lit(0))).alias("pos"))
     places = mine.filter(F.col("__n") > 0).select("k1", "k2", "transaction_id", F.explode(F.sequence(F.greatest(F.col("__n") - (neighbours - 1), F.lit(1)), F.col("__n"))).alias("pos"))
     pairs = places.join(numbered, ["k1", "k2", "pos"]).select("transaction_id", "other").distinct()
     left = asked.select("transaction_id", *(F.col(c).alias(f"__{c}") for c in columns))
