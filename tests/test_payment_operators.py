@@ -295,8 +295,7 @@ def test_map_side_combining_is_planned(spark):
 
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 300), st.integers(0, 300))
-def test_dyadic_cover(a, b):
-    spark = __import__("pyspark").sql.SparkSession.getActiveSession()
+def test_dyadic_cover(spark, a, b):
     nodes = spark.range(1).select(dyadic_nodes(F.lit(a).cast("bigint"), F.lit(b).cast("bigint"), 0, 9).alias("n")).first()["n"]
     covered = Counter(x for n in nodes for x in range(n["node"] << n["level"], (n["node"] + 1) << n["level"]))
     assert covered == Counter(range(a, b))

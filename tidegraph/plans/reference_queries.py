@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions.normal import normal_form
 from tidegraph.operators import ranking
 from tidegraph.operators.asof import degree_features, matured_labels, shared_transactions
 from tidegraph.operators.attach import attach_features, one_to_one_left
@@ -25,7 +26,7 @@ from tidegraph.operators.temporal_split import assign_splits
 from tidegraph.operators.views import connection_summary, connection_view, masked_entities
 from tidegraph.plans import reference_sql as sql
 from tidegraph.plans.pipeline import builder_audit
-from tidegraph.schema import CANONICAL_COLUMNS, ENTITY_TYPES, SPECIFIC_TYPES
+from tidegraph.schema import CANONICAL_COLUMNS, ENTITY_TYPES, LABEL_FEATURES, MODEL_GRAPH_FEATURES, SPECIFIC_TYPES
 from tidegraph.session import Scratch
 from tidegraph.sources.canonical import canonical_payments
 from tidegraph.sources.sinks import manifest
@@ -54,8 +55,6 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def v1_validation(spark: SparkSession, d: str) -> DataFrame:
     cur = current_transactions(spark, d, CANONICAL_COLUMNS)
-    from tidegraph.functions.normal import normal_form
-
     return violations(cur.withColumns({c: normal_form(c) for c in ENTITY_TYPES}))
 
 
@@ -297,8 +296,6 @@ def g13_masked_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def _modelled(spark: SparkSession, d: str) -> DataFrame:
     """Split rows with the delivered graph features and matured labels (each transaction once, clean numbers)."""
-    from tidegraph.schema import LABEL_FEATURES, MODEL_GRAPH_FEATURES
-
     scratch = Scratch(spark, "modelled")
     rows = scratch.table(_split(spark, d), "rows")
     given = [c for c in MODEL_GRAPH_FEATURES if c not in LABEL_FEATURES]
