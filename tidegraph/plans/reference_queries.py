@@ -25,7 +25,7 @@ from tidegraph.operators.slices import quantiles, slice_families, slice_summary
 from tidegraph.operators.temporal_split import assign_splits
 from tidegraph.operators.views import connection_summary, connection_view, masked_entities
 from tidegraph.plans import reference_sql as sql
-from tidegraph.plans.pipeline import builder_audit
+from tidegraph.plans.pipeline import Settings, builder_audit
 from tidegraph.schema import CANONICAL_COLUMNS, ENTITY_TYPES, LABEL_FEATURES, MODEL_GRAPH_FEATURES, SPECIFIC_TYPES
 from tidegraph.session import Scratch
 from tidegraph.sources.canonical import canonical_payments
@@ -34,8 +34,6 @@ from tidegraph.sources.tables import current_transactions, table
 from tidegraph.sources.two_file import entity_key
 from tidegraph.streaming.degrees import stream_activity
 
-REFRESH_BATCHES = 500
-
 
 def _pay(spark: SparkSession, d: str) -> DataFrame:
     """The canonical payments, written once per query that reads them more than once."""
@@ -170,7 +168,7 @@ def g9_clustering_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g10_pagerank_asof(spark: SparkSession, d: str) -> DataFrame:
-    return pagerank_features(_pay(spark, d), refresh_batches=REFRESH_BATCHES)
+    return pagerank_features(_pay(spark, d), refresh_batches=Settings().refresh_batches)
 
 
 def g11_builder_audit(spark: SparkSession, d: str) -> DataFrame:
