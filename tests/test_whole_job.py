@@ -10,8 +10,10 @@ from helpers import canonical, random_rows
 
 import __spark_entry__ as entry
 from tidegraph.operators.asof import entity_edges
+from tidegraph.operators.models import BoostedModel
 from tidegraph.operators.ordering import time_batches
 from tidegraph.operators.projection import node_name, pagerank_snapshots
+from tidegraph.plans import reference_queries
 from tidegraph.schema import SPECIFIC_TYPES
 from tidegraph.sources.canonical import canonical_payments
 
@@ -47,3 +49,28 @@ def test_asked_snapshots_are_those_of_all_nodes(spark, task_edges):
     asked = spark.createDataFrame(wanted, "snapshot_no bigint, node string")
     got = {(r.snapshot_no, r.node): r.score for r in pagerank_snapshots(df, refresh_batches=5, task_edges=task_edges, asked=asked).collect()}
     assert got == pytest.approx({k: scores[k] for k in wanted if k in scores}, abs=1e-9)
+
+
+class Fitted(Exception):
+    pass
+
+
+def settings_at_fit(spark, monkeypatch, model, query: str, *names: str) -> list:
+    """The settings of ``model`` that a query fits with; nothing is fitted."""
+    seen = []
+
+    def fit(self, *_):
+        seen.extend(getattr(self, n) for n in names)
+        raise Fitted
+
+    monkeypatch.setattr(model, "fit", fit)
+    rows = spark.createDataFrame([], "split string")
+    monkeypatch.setattr(reference_queries, "_modelled", lambda *_: rows)
+    with pytest.raises(Fitted):
+        entry.queries()[query](spark, "")
+    return seen
+
+
+@pytest.mark.parametrize("query", ["m9_boosted_scores", "m16_alert_reasons"])
+def test_boosted_queries_search_all_prefixes_of_the_operator(spark, monkeypatch, query):
+    assert settings_at_fit(spark, monkeypatch, BoostedModel, query, "max_trees") == [BoostedModel.max_trees]

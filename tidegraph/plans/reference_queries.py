@@ -311,7 +311,7 @@ def m7_logistic_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def m9_boosted_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _modelled(spark, d)
-    model = BoostedModel(max_trees=10).fit(rows.filter("split = 'train'"), rows.filter("split = 'validation'"))
+    model = BoostedModel().fit(rows.filter("split = 'train'"), rows.filter("split = 'validation'"))
     return model.score(rows.filter("split = 'test'")).select("transaction_id", "margin", "score")
 
 
@@ -324,7 +324,7 @@ def m13_linear_attribution(spark: SparkSession, d: str) -> DataFrame:
 def m16_alert_reasons(spark: SparkSession, d: str) -> DataFrame:
     rows = _modelled(spark, d)
     train = rows.filter("split = 'train'")
-    model = BoostedModel(max_trees=10).fit(train, rows.filter("split = 'validation'"))
+    model = BoostedModel().fit(train, rows.filter("split = 'validation'"))
     explained = Scratch(spark, "explained").table(TreeAttributor().fit(model, train).explain(rows.filter("split = 'test'")), "explained")
     return ReasonBuilder().fit(train).alerts(explained, model.encoder.names)
 
