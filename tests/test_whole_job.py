@@ -10,7 +10,7 @@ from helpers import canonical, random_rows
 
 import __spark_entry__ as entry
 from tidegraph.operators.asof import entity_edges
-from tidegraph.operators.models import BoostedModel
+from tidegraph.operators.models import BoostedModel, LogisticModel
 from tidegraph.operators.ordering import time_batches
 from tidegraph.operators.projection import node_name, pagerank_snapshots
 from tidegraph.plans import reference_queries
@@ -74,3 +74,16 @@ def settings_at_fit(spark, monkeypatch, model, query: str, *names: str) -> list:
 @pytest.mark.parametrize("query", ["m9_boosted_scores", "m16_alert_reasons"])
 def test_boosted_queries_search_all_prefixes_of_the_operator(spark, monkeypatch, query):
     assert settings_at_fit(spark, monkeypatch, BoostedModel, query, "max_trees") == [BoostedModel.max_trees]
+
+
+@pytest.mark.parametrize(("query", "graph"), [("m7_logistic_scores", True), ("m13_linear_attribution", False), ("a12_global_importance", True)])
+def test_logistic_queries_use_the_operators_bound_and_refuse_unconverged(spark, monkeypatch, query, graph):
+    assert settings_at_fit(spark, monkeypatch, LogisticModel, query, "graph", "max_iterations", "tolerance") == [graph, 5_000, 1e-8]
+
+    def stopped(self, _):
+        self.converged, self.iterations = False, self.max_iterations
+        return self
+
+    monkeypatch.setattr(LogisticModel, "fit", stopped)
+    with pytest.raises(RuntimeError, match="did not converge"):
+        entry.queries()[query](spark, "")
