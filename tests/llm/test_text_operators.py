@@ -277,3 +277,13 @@ def test_classes_cover_unicode():
         assert table[ord(c)] == sizes.WORD and unicodedata.category(c)[0] in "LN"
     for c in (" ", "\xa0", "\x85", "\n"):
         assert table[ord(c)] == sizes.SPACE
+
+
+def test_units_after_more_leading_whitespace_than_a_window(monkeypatch):
+    import tidegraph.llm.splitting as sp
+
+    text = " " * 300 + "One two three. Four five six seven eight nine ten eleven twelve.\n\nThirteen " * 6
+    whole = units_of(text)
+    monkeypatch.setattr(sp, "WINDOW", 64)
+    parts = units_of(text)
+    assert parts.starts.tolist() == whole.starts.tolist() and parts.strength.tolist() == whole.strength.tolist()

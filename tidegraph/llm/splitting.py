@@ -70,7 +70,7 @@ def units_of(text: str) -> Units:
         if not final and len(part.starts) < 8 and len(part.starts) > 0 and width < len(text):
             width *= 2
             continue
-        skip = 2 if starts else 0
+        skip = 2 if any(map(len, starts)) else 0
         keep = len(part.starts) if final else max(skip, len(part.starts) - 1)
         starts.append(part.starts[skip:keep] + at)
         strength.append(part.strength[skip:keep])
