@@ -10,10 +10,11 @@ from helpers import canonical, random_rows
 
 import __spark_entry__ as entry
 from tidegraph.operators.asof import entity_edges
+from tidegraph.operators.asof_attributes import asof_totals
 from tidegraph.operators.models import BoostedModel, LogisticModel
 from tidegraph.operators.ordering import time_batches
 from tidegraph.operators.projection import node_name, pagerank_snapshots
-from tidegraph.plans import reference_queries
+from tidegraph.plans import payment_queries, reference_queries
 from tidegraph.schema import SPECIFIC_TYPES
 from tidegraph.sources.canonical import canonical_payments
 
@@ -87,3 +88,14 @@ def test_logistic_queries_use_the_operators_bound_and_refuse_unconverged(spark,
     monkeypatch.setattr(LogisticModel, "fit", stopped)
     with pytest.raises(RuntimeError, match="did not converge"):
         entry.queries()[query](spark, "")
+
+
+@pytest.mark.parametrize("late", [2**24 - 1, 2**24 + 5, 2**31 + 5])
+def test_label_history_beyond_194_days(spark, monkeypatch, late):
+    facts = spark.createDataFrame([("c", 1, 50, 50, None)], "card string, report_id bigint, known_time bigint, valid_from bigint, valid_to bigint")
+    events = lambda t: spark.createDataFrame([("a", 60, "c"), ("b", t, "c")], "transaction_id string, transaction_time bigint, card string")
+    monkeypatch.setattr(payment_queries, "_p7_facts", lambda *_: (events(late), facts))
+    got = {r.transaction_id: (r.known_frauds, r.last_known_time) for r in entry.queries()["p7_label_history"](spark, "").collect()}
+    assert got == {"a": (1, 50), "b": (1, 50)}
+    with pytest.raises(Exception, match="outside"):
+        asof_totals(events(late), facts, "card", "transaction_time", "valid_from", "valid_to", "known_time", high=24).collect()

@@ -82,9 +82,11 @@ def asof_totals(
     The number of facts valid at that time and the largest ``latest`` among them; only times with a
     valid fact have a row. Intervals are decomposed exactly (finest node one second) and facts are
     added up per node before the join, so an entity with a large share of events and facts makes
-    no pairs: an event meets at most ``high + 1`` rows.
+    no pairs: an event meets at most ``high + 1`` rows. Times of
+    events with facts must lie in [0, 2**high - 1); another raises.
     """
     top = F.lit((1 << high) - 1)
+    in_range = F.col("t").between(0, (1 << high) - 2)
     end = F.least(F.coalesce(F.col(valid_to), top), top).cast("bigint")
     start = F.greatest(F.col(valid_from), F.lit(0)).cast("bigint")
     keyed = facts.filter(F.col(entity).isNotNull() & F.col(valid_from).isNotNull())
@@ -92,7 +94,8 @@ def asof_totals(
     summed = nodes.groupBy("e", F.col("x.level").alias("level"), F.col("x.node").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("l"))
     asked = events.filter(F.col(entity).isNotNull() & F.col(event_time).isNotNull()).select(F.col(entity).alias("e"), F.col(event_time).alias("t"))
     asked = asked.join(keyed.select(F.col(entity).alias("e")).distinct(), "e", "left_semi").distinct()
-    spread = asked.select("e", "t", F.explode(enclosing_nodes(F.col("t").cast("bigint"), 0, high)).alias("x")).select("e", "t", "x.level", "x.node")
+    spread = asked.withColumn("at", F.when(in_range, F.col("t").cast("bigint")).otherwise(F.raise_error(F.lit(f"{event_time} outside [0, 2**{high} - 1)"))))
+    spread = spread.select("e", "t", F.explode(enclosing_nodes(F.col("at"), 0, high)).alias("x")).select("e", "t", "x.level", "x.node")
     return spread.join(summed, ["e", "level", "node"]).groupBy(F.col("e").alias(entity), F.col("t").alias(event_time)).agg(F.sum("n").alias("n_valid"), F.max("l").alias(latest))
 
 

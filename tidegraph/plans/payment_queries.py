@@ -214,7 +214,8 @@ def p7_label_history(spark: SparkSession, d: str) -> DataFrame:
     """Per timed transaction: how many earlier frauds of its card were known, and when the last became known."""
     cur, facts = _p7_facts(spark, d)
     facts = Scratch(spark, "p7").table(facts, "facts")
-    known = asof_totals(cur, facts, "card", "transaction_time", "valid_from", "valid_to", "known_time", high=24)
+    last = cur.agg(F.coalesce(F.max("transaction_time"), F.lit(0))).first()[0]
+    known = asof_totals(cur, facts, "card", "transaction_time", "valid_from", "valid_to", "known_time", high=(int(last) + 1).bit_length())
     return cur.join(known, ["card", "transaction_time"], "left").select(
         "transaction_id", F.coalesce("n_valid", F.lit(0)).cast("bigint").alias("known_frauds"), F.col("known_time").alias("last_known_time")
     )
