@@ -108,18 +108,22 @@ class Splitter:
         if self.overlap < 0 or self.limit - self.overlap < 1:
             raise ValueError("overlap must be from 0 to limit - 1")
 
-    def pieces(self, text: str, units: Units | None = None) -> list[tuple[int, int, int, int, str]]:
-        """``(start, core_start, end, size, boundary)`` per piece, in characters and units.
+    def pieces(self, text: str, units: Units | None = None) -> list[tuple[int, int, int, int, str, int, int]]:
+        """``(start, core_start, end, size, boundary, paragraph, paragraph size)`` per piece, in characters and units.
 
         ``text[core_start:end]`` of all pieces join to the text; ``text[start:core_start]`` repeats
-        the overlap. ``boundary`` names what the piece begins at ("start" for the first).
+        the overlap. ``boundary`` names what the piece begins at ("start" for the first), and the
+        paragraph (numbered from 1; 0 in a text without units) is the one its core begins in.
         """
         units = units or units_of(text)
         edges = [0, *bisect(units.strength, self.limit, self.overlap), len(units.starts)]
+        number = np.cumsum(units.strength == 4)
+        sizes = np.bincount(number) if len(number) else np.zeros(1, np.int64)
         out = []
         for i in range(len(edges) - 1):
             a, b = edges[i], edges[i + 1]
             front = max(0, a - self.overlap) if i else 0
+            at = int(number[a]) if len(number) else -1
             out.append(
                 (
                     int(units.starts[front]) if i else 0,
@@ -127,39 +131,32 @@ class Splitter:
                     int(units.starts[b]) if b < len(units.starts) else len(text),
                     b - front,
                     BOUNDARIES[units.strength[a]] if i else "start",
+                    at + 1,
+                    int(sizes[at]),
                 )
             )
         return out
 
-    def cut_paragraphs(self, text: str) -> list[tuple[int, int]]:
-        """``(paragraph number from 1, its size)`` of the paragraphs that a cut goes through."""
-        units = units_of(text)
-        cuts = np.array(bisect(units.strength, self.limit, self.overlap), np.int64)
-        if not len(cuts):
-            return []
-        number = np.cumsum(units.strength == 4)
-        inside = np.unique(number[cuts][units.strength[cuts] < 4])
-        sizes = np.bincount(number)
-        return [(int(p) + 1, int(sizes[p])) for p in inside]
-
 
 def split_documents(df: DataFrame, doc_id: str, text: str, splitter: Splitter = Splitter()) -> DataFrame:
-    """``(doc_id, piece_no, start, core_start, end, size, boundary, piece)`` of every document.
+    """``(doc_id, piece_no, start, core_start, end, size, boundary, paragraph_no, paragraph_size, piece)`` of every document.
 
     Offsets count characters (code points). A NULL text has no piece; an empty or blank one has one
     piece of size 0. Repeated ids are split separately. Documents stay in their partition: no shuffle.
     """
     chosen = df.select(F.col(doc_id), F.col(text).alias("__text")).filter("__text IS NOT NULL")
-    longs = ("piece_no", "start", "core_start", "end", "size")
-    schema = T.StructType([chosen.schema[doc_id], *(T.StructField(c, T.LongType()) for c in longs), T.StructField("boundary", T.StringType()), T.StructField("piece", T.StringType())])
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    schema = T.StructType(
+        [chosen.schema[doc_id], *longs("piece_no", "start", "core_start", "end", "size"), T.StructField("boundary", T.StringType()), *longs("paragraph_no", "paragraph_size"), T.StructField("piece", T.StringType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows, chars = b.column(0), [], 0
             for i, x in enumerate(b.column(1)):
                 t = x.as_py()
-                for no, (start, core, end, size, boundary) in enumerate(splitter.pieces(t)):
-                    rows.append((i, no, start, core, end, size, boundary, t[start:end]))
+                for no, (start, core, end, *rest) in enumerate(splitter.pieces(t)):
+                    rows.append((i, no, start, core, end, *rest, t[start:end]))
                     chars += end - start
                     if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
                         yield _batch(ids, rows, schema.names)
@@ -170,19 +167,13 @@ def split_documents(df: DataFrame, doc_id: str, text: str, splitter: Splitter =
     return chosen.mapInArrow(run, schema)
 
 
-def cut_paragraphs(df: DataFrame, doc_id: str, text: str, splitter: Splitter = Splitter()) -> DataFrame:
-    """``(doc_id, paragraph_no, size)`` of every paragraph that the splitter cuts; NULL texts have none."""
-    chosen = df.select(F.col(doc_id), F.col(text).alias("__text")).filter("__text IS NOT NULL")
-    schema = T.StructType([chosen.schema[doc_id], T.StructField("paragraph_no", T.LongType()), T.StructField("size", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # A unit takes at least one character, so a text not longer than the limit is not cut.
-            rows = [(i, p, n) for i, x in enumerate(b.column(1)) if len(t := x.as_py()) > splitter.limit for p, n in splitter.cut_paragraphs(t)]
-            if rows:
-                yield _batch(b.column(0), rows, schema.names)
+def cut_paragraphs(pieces: DataFrame, doc_id: str) -> DataFrame:
+    """``(doc_id, paragraph_no, paragraph_size)`` of every paragraph that a cut went through, out of the pieces.
 
-    return chosen.mapInArrow(run, schema)
+    Only paragraphs with a piece that begins inside them are left, so the distinct rows are few.
+    """
+    inside = pieces.filter(~F.col("boundary").isin("start", "paragraph"))
+    return inside.select(doc_id, "paragraph_no", "paragraph_size").distinct()
 
 
 def _batch(ids: pa.Array, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
