@@ -13,11 +13,12 @@ for the data at hand that it does not (with a second, independent hash) or takes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.operators.skew import fair_join, frequent_keys
 from tidegraph.session import Scratch
 
 LOW = 0xFFFFFFFF
@@ -57,17 +58,17 @@ def connected_labels(edges: DataFrame, scratch: Scratch, *, seed: int = 11, max_
         # Both directions once; the map-side half of the minimum sees a hub's edges first, so a
         # vertex that holds a third of the edges still sends one row per partition.
         both = live.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        hooked = both.groupBy("u").agg(F.min(permute(F.col("v"), key)).alias("best"))
-        hooks = hooked.select(F.col("u").alias("vertex"), F.least("best", permute(F.col("u"), key)).alias("label"))
+        hooked = both.groupBy("u").agg(F.min(permute(F.col("v"), key)).alias("best"), F.count(F.lit(1)).alias("n"))
         name = f"map-{number}"
-        hooks = scratch.table(hooks, name)
+        hooks = scratch.table(hooked.select(F.col("u").alias("vertex"), F.least("best", permute(F.col("u"), key)).alias("label"), "n"), name)
         mappings.append(name)
-        left = live.join(hooks, live["u"] == hooks["vertex"]).select(F.col("label").alias("u"), "v")
-        moved = left.join(hooks, left["v"] == hooks["vertex"]).select("u", F.col("label").alias("v"))
+        # The counts came with the hooks: a hub's edges are spread over several tasks in both joins.
+        hubs, labels = frequent_keys(hooks, "vertex"), hooks.select("vertex", "label")
+        left = fair_join(live.withColumnRenamed("u", "vertex"), labels, "vertex", F.col("v"), hubs).select(F.col("label").alias("u"), "v")
+        moved = fair_join(left.withColumnRenamed("v", "vertex"), labels, "vertex", F.col("u"), hubs).select("u", F.col("label").alias("v"))
         number += 1
         live = scratch.table(_oriented(moved.filter("u <> v")), f"edges-{number}")
         scratch.drop(f"edges-{number - 1}")
-        scratch.release()
     if not live.isEmpty():
         raise RuntimeError(f"not contracted after {max_rounds} rounds")
     if not mappings:
@@ -79,7 +80,10 @@ def connected_labels(edges: DataFrame, scratch: Scratch, *, seed: int = 11, max_
             labels = step
         else:
             up = labels.select(F.col("vertex").alias("label"), F.col("label").alias("top"))
-            labels = step.join(up, "label", "left").select("vertex", F.coalesce("top", "label").alias("label"))
+            # Labels that many vertices hook to are counted, too; every label has one row of its own.
+            many = frequent_keys(step.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
+            met = fair_join(step, up, "label", F.col("vertex"), many, "left")
+            labels = met.select("vertex", F.coalesce("top", "label").alias("label"))
     return labels
 
 
@@ -88,14 +92,25 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def vertex_label(kind: str, value: Column, seed: int) -> Column:
-    """The 64-bit label of a value of one kind; NULL for NULL."""
-    return F.when(value.isNotNull(), F.xxhash64(F.lit(f"{seed}:{kind}"), value))
+def encode_vertices(records: DataFrame, values: Mapping[str, Column], keep: Sequence[Column], scratch: Scratch, *, seed: int = 11, attempts: int = 5) -> tuple[DataFrame, int]:
+    """(table, seed): ``keep`` and for each kind i of ``values`` its 64-bit label ``__v{i}``, NULL for NULL.
 
-
-def link_groups(
-    records: DataFrame, record_id: str, link_fields: Sequence[str], *, seed: int = 11, group_column: str = "group_id", attempts: int = 5
-) -> DataFrame:
+    Values of different kinds are different vertices. The labels are proved for the data at hand:
+    with a second, independent hash no label has two values, or another seed is taken.
+    """
+    kinds = list(values.items())
+    for salt in range(seed, seed + attempts):
+        labels = [F.when(v.isNotNull(), F.xxhash64(F.lit(f"{salt}:{k}"), v)).alias(f"__v{i}") for i, (k, v) in enumerate(kinds)]
+        checks = [F.when(v.isNotNull(), F.xxhash64(v, F.lit(k), F.lit(~salt))).alias(f"__c{i}") for i, (k, v) in enumerate(kinds)]
+        base = scratch.table(records.select(*keep, *labels, *checks), f"records-{salt}")
+        each = F.array(*(F.struct(F.col(f"__v{i}").alias("v"), F.col(f"__c{i}").alias("c")) for i in range(len(kinds))))
+        pairs = base.select(F.inline(each)).filter("v IS NOT NULL")
+        if pairs.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").isEmpty():
+            return base.drop(*(f"__c{i}" for i in range(len(kinds)))), salt
+    raise RuntimeError("no seed without label collisions was found")
+
+
+def link_groups(records: DataFrame, record_id: str, link_fields: Sequence[str], *, seed: int = 11, group_column: str = "group_id") -> DataFrame:
     """Rows ``(record_id, group_id)``: one identifier for all records linked directly or indirectly.
 
     Two records are linked by an equal non-NULL value in the same one of ``link_fields``. The
@@ -106,35 +121,22 @@ def link_groups(
 
     The graph that is contracted has the field values as vertices; a record is not a vertex but
     ties its first value to its others, so a value shared by a third of all records costs one
-    vertex and its repeated edges vanish in the map-side distinct.
+    vertex, its repeated edges vanish in the map-side distinct, and the records that share it are
+    spread over salts when they get their group.
     """
     if record_id in link_fields or group_column == record_id:
         raise ValueError("record_id, link_fields and group_column must differ")
     scratch = Scratch(records.sparkSession, "link-groups")
-    for attempt in range(attempts):
-        salt = seed + attempt
-        labels = [vertex_label(f, F.col(f), salt).alias(f"__v{i}") for i, f in enumerate(link_fields)]
-        # Not NULL for records with a value: identities of labels are checked with a second hash.
-        checks = [F.when(F.col(f).isNotNull(), F.xxhash64(F.col(f), F.lit(f), F.lit(~salt))).alias(f"__c{i}") for i, f in enumerate(link_fields)]
-        n = len(link_fields)
-        both = records.select(F.col(record_id).alias("__id"), *labels, *checks)
-        base = scratch.table(both, f"records-{attempt}")
-        pairs = base.select(F.explode(F.array(*(F.struct(F.col(f"__v{i}").alias("v"), F.col(f"__c{i}").alias("c")) for i in range(n)))).alias("p")).select("p.v", "p.c").filter("v IS NOT NULL")
-        clash = pairs.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        if clash.isEmpty():
-            break
-    else:
-        raise RuntimeError("no seed without label collisions was found")
+    n = len(link_fields)
+    base, salt = encode_vertices(records, {f: F.col(f) for f in link_fields}, [F.col(record_id).alias("__id")], scratch, seed=seed)
     first = F.coalesce(*(F.col(f"__v{i}") for i in range(n)))
     ties = base.select(first.alias("u"), F.explode(F.array(*(F.col(f"__v{i}") for i in range(n)))).alias("v")).filter("u <> v")
     labels = connected_labels(ties, scratch, seed=salt)
     owners = base.select("__id", first.alias("vertex"))
-    least = owners.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.min("__id").alias("least_id"))
-    placed = least.join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("label"), "least_id")
+    least = owners.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.min("__id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+    placed = least.join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("label"), "least_id", "n")
     placed = scratch.table(placed, "placed")
-    named = placed.groupBy("label").agg(F.min("least_id").alias("__group"))
-    by_vertex = placed.join(named, "label").select("vertex", "__group")
-    scratch.release()
-    return owners.join(by_vertex, "vertex", "left").select(
-        F.col("__id").alias(record_id), F.coalesce("__group", "__id").alias(group_column)
-    )
+    named = scratch.table(placed.groupBy("label").agg(F.min("least_id").alias("__group"), F.count(F.lit(1)).alias("n")), "named")
+    by_vertex = fair_join(placed.select("vertex", "label"), named.drop("n"), "label", F.col("vertex"), frequent_keys(named, "label")).select("vertex", "__group")
+    found = fair_join(owners, by_vertex, "vertex", F.col("__id"), frequent_keys(placed, "vertex"), "left")
+    return found.select(F.col("__id").alias(record_id), F.coalesce("__group", "__id").alias(group_column))

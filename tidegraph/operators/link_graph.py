@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.normal import clean_entity
 from tidegraph.operators.asof import entity_edges
-from tidegraph.operators.contraction import connected_labels
+from tidegraph.operators.contraction import connected_labels, encode_vertices
 from tidegraph.schema import ENTITY_TYPES, TARGET_NAMES, GraphBuildError
 from tidegraph.session import Scratch
 
@@ -71,17 +71,13 @@ def type_counts(rows: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _node_label(kind, value):
-    return F.xxhash64(kind, value)
-
-
 def node_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(label, nodes, transactions)`` per connected component of transactions and entities.
 
-    The graph is contracted on its nodes' 64-bit labels.
+    The graph is contracted on its nodes' 64-bit labels, which are proved to be distinct.
     """
-    ends = edges.select(_node_label(F.lit("transaction"), F.col("transaction_id")).alias("u"), _node_label(F.col("entity_type"), F.col("entity_value")).alias("v"))
-    ends = scratch.table(ends, "ends")
+    kinds = {"transaction": F.col("transaction_id"), "entity": F.concat_ws("::", "entity_type", "entity_value")}
+    ends = encode_vertices(edges, kinds, [], scratch)[0].toDF("u", "v")
     labels = connected_labels(ends, scratch)
     txns = ends.select(F.col("u").alias("vertex")).distinct().withColumn("is_txn", F.lit(1))
     per = labels.join(txns, "vertex", "left")

@@ -7,17 +7,19 @@ executor never loses an intermediate result.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 #: Largest side, in rows, that an operator broadcasts after having counted it.
 BROADCAST_ROWS = 100_000
+#: And in bytes of its texts and numbers.
+BROADCAST_BYTES = 32 << 20
 
 _own_folders: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -78,10 +80,11 @@ class Scratch:
         """Delete a table that no later step reads."""
         _delete(self.spark, f"{self.root}/{name}")
 
-    def release(self) -> None:
-        """Let the context cleaner delete shuffle files of steps whose results are written."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on whatever file system the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -98,6 +101,9 @@ def clear_scratch(spark: SparkSession) -> None:
         _delete(spark, folder)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``limit`` rows; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only if it has at most ``limit`` rows of ``limit_bytes`` in all; otherwise leave the join to the planner."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in texts), F.lit(16 * len(df.columns)))
+    size = df.select(width.cast("bigint").alias("w")).limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= limit and size["b"] <= limit_bytes else df
