@@ -10,7 +10,6 @@ from helpers import canonical, random_rows
 
 import __spark_entry__ as entry
 from tidegraph.operators.asof import entity_edges
-from tidegraph.operators.asof_attributes import asof_totals
 from tidegraph.operators.models import BoostedModel, LogisticModel
 from tidegraph.operators.ordering import time_batches
 from tidegraph.operators.projection import node_name, pagerank_snapshots
@@ -97,5 +96,3 @@ def test_label_history_beyond_194_days(spark, monkeypatch, late):
     monkeypatch.setattr(payment_queries, "_p7_facts", lambda *_: (events(late), facts))
     got = {r.transaction_id: (r.known_frauds, r.last_known_time) for r in entry.queries()["p7_label_history"](spark, "").collect()}
     assert got == {"a": (1, 50), "b": (1, 50)}
-    with pytest.raises(Exception, match="outside"):
-        asof_totals(events(late), facts, "card", "transaction_time", "valid_from", "valid_to", "known_time", high=24).collect()

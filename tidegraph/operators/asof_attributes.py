@@ -3,9 +3,13 @@
 A validity interval [start, end) is cut into maximal aligned dyadic nodes ``(level, index)``, each
 covering ``[index * 2**level, (index + 1) * 2**level)``; there are at most two per level. An event
 has exactly one enclosing node per level, so interval containment becomes an equi-join on
-``(entity, level, index)`` that Spark hashes and, where one node is hot, splits. The nodes at the
-two ends are rounded outwards to the finest level ``low``; the exact half-open test after the join
-removes what the rounding added.
+``(entity, level, index)`` that Spark hashes. Only event times can match, so intervals - open ones
+too - are first clipped to the events' own first and last time, whatever these are, and levels
+count from that first time. Events are expanded only to the levels that a fact of their entity
+uses. Entities with a large share of the events are counted first and spread over salts.
+
+With a finest level above 0 the nodes at the two ends are rounded outwards, and the exact half-open
+test after the join removes what the rounding added.
 """
 
 from __future__ import annotations
@@ -13,18 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Finest and coarsest level: nodes of about 18 hours up to the whole 64-year range of 31 bits.
-LOW, HIGH = 16, 31
+from tidegraph.operators.skew import SALT, SALTS, fair_join, frequent_keys
+from tidegraph.session import Scratch, broadcast_if_small
+
+#: Finest level where matches are tested exactly: nodes of about 18 hours.
+LOW = 16
+NODES = "array<struct<level:int,node:bigint>>"
 
 
-def dyadic_nodes(start: Column, end: Column, low: int = LOW, high: int = HIGH) -> Column:
+def dyadic_nodes(start: Column, end: Column, low: int, high: int) -> Column:
     """Array of ``struct(level, node)`` covering [start, end), both ends not negative and below 2**high.
 
     An empty interval has no nodes. Computed level by level: at level l the interval in units of
     2**l is [a, b); an odd a gives node a, an odd b gives node b - 1, and the rest goes up a level.
     """
     a, b = F.shiftright(start, low), F.shiftright(end + F.lit((1 << low) - 1), low)
-    start_acc = F.struct(a.alias("a"), b.alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+    start_acc = F.struct(a.alias("a"), b.alias("b"), F.array().cast(NODES).alias("nodes"))
 
     def step(acc, level):
         odd_a = (acc["a"] < acc["b"]) & (acc["a"].bitwiseAND(F.lit(1)) == 1)
@@ -32,71 +40,102 @@ def dyadic_nodes(start: Column, end: Column, low: int = LOW, high: int = HIGH) -
         odd_b = (a1 < acc["b"]) & (acc["b"].bitwiseAND(F.lit(1)) == 1)
         b1 = F.when(odd_b, acc["b"] - 1).otherwise(acc["b"])
         one = lambda hit, at: F.when(hit, F.array(F.struct(level.alias("level"), at.alias("node")))).otherwise(
-            F.array().cast("array<struct<level:int,node:bigint>>")
+            F.array().cast(NODES)
         )
         nodes = F.concat(acc["nodes"], one(odd_a, acc["a"]), one(odd_b, acc["b"] - 1))
         return F.struct(F.shiftright(a1, 1).alias("a"), F.shiftright(b1, 1).alias("b"), nodes.alias("nodes"))
 
     walked = F.aggregate(F.sequence(F.lit(low), F.lit(high)), start_acc, step, lambda acc: acc["nodes"])
-    return F.when(start < end, walked).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+    return F.when(start < end, walked).otherwise(F.array().cast(NODES))
+
+
+def enclosing_nodes(at: Column, levels: Column, low: int, high: int) -> Column:
+    """Array of the ``struct(level, node)`` that contain time ``at``, one for each level from ``low`` to ``high`` whose bit is set."""
+    used = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda level: F.call_function("shiftright", levels, level).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(used, lambda level: F.struct(level.alias("level"), F.call_function("shiftright", at, level).alias("node")))
+
+
+def _span(events: DataFrame, time: str) -> tuple[int, int]:
+    """The events' first time and the level of one node that covers them all."""
+    r = events.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
+    if r["a"] is None:
+        return 0, 0
+    return int(r["a"]), (int(r["b"]) - int(r["a"]) + 1).bit_length()
+
+
+def _clipped_nodes(facts: DataFrame, valid_from: str, valid_to: str, origin: int, high: int, low: int) -> Column:
+    """The nodes of a fact's interval, times counted from ``origin`` and clipped to ``[0, 2**high)``."""
+    inside = lambda c: F.least(F.greatest(c, F.lit(origin)), F.lit(origin + (1 << high))) - F.lit(origin)
+    return dyadic_nodes(inside(F.col(valid_from).cast("bigint")), inside(F.coalesce(F.col(valid_to).cast("bigint"), F.lit(origin + (1 << high)))), low, high)
+
+
+def _heap(node: Column, high: int) -> Column:
+    """A node as one number, as in a heap: the one of level ``high`` is 1, its halves are 2 and 3."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(high) - node["level"]) + node["node"]
+
+
+def _of_entities(events: DataFrame, entities: DataFrame, time: str) -> DataFrame:
+    """Events of the distinct entities ``__e``; beyond a counted size the entities are not broadcast."""
+    small = broadcast_if_small(entities)
+    if small is not entities:
+        return events.join(small, "__e", "left_semi")
+    counts = Scratch(events.sparkSession, "asof").table(events.groupBy("__e").agg(F.count(F.lit(1)).alias("n")), "counts")
+    return fair_join(events, entities, "__e", F.col(time), frequent_keys(counts, "__e"))
 
 
-def enclosing_nodes(at: Column, low: int = LOW, high: int = HIGH) -> Column:
-    """Array of the ``struct(level, node)`` that contain time ``at``, one per level."""
-    return F.transform(
-        F.sequence(F.lit(low), F.lit(high)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", at, level).alias("node"))
-    )
+def _meet(few: DataFrame, nodes: DataFrame, time: str, origin: int, low: int, high: int) -> DataFrame:
+    """Events ``(__e, ...)``, a written table, joined with nodes ``(__e, __x, ...)`` on entity and enclosing node."""
+    hot = frequent_keys(few.groupBy("__e").agg(F.count(F.lit(1)).alias("n")), "__e")
+    on = ["__e"]
+    if hot is not None:
+        on = ["__e", SALT]
+        salts = F.coalesce(SALTS, F.lit(1))
+        few = few.join(F.broadcast(hot), "__e", "left").withColumn(SALT, F.pmod(F.xxhash64(time), salts).cast("int")).drop(SALTS)
+        nodes = nodes.join(F.broadcast(hot), "__e", "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), salts - 1))).drop(SALTS)
+    levels = nodes.groupBy(*on).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__x.level"))).alias("__levels"))
+    placed = few.join(levels, on).withColumn("__node", F.explode(enclosing_nodes(F.col(time).cast("bigint") - origin, F.col("__levels"), low, high)))
+    seen = placed.select(*few.columns, _heap(F.col("__node"), high).alias("__node"))
+    return seen.join(nodes.withColumn("__node", _heap(F.col("__x"), high)).drop("__x"), [*on, "__node"]).drop(SALT, "__node")
 
 
-def asof_matches(
-    events: DataFrame, facts: DataFrame, entity: str, event_time: str, valid_from: str, valid_to: str, *, low: int = LOW, high: int = HIGH
-) -> DataFrame:
+def asof_matches(events: DataFrame, facts: DataFrame, entity: str, event_time: str, valid_from: str, valid_to: str, *, low: int = LOW) -> DataFrame:
     """Every (event, fact) with equal entity and ``valid_from <= event_time < valid_to``.
 
     NULL ``valid_to`` means still valid. Events with a NULL entity or time and facts with a NULL
-    entity or start match nothing. Times must lie in [0, 2**high). The result has all columns of
-    both; a facts' column that the events have, too, is named ``fact_<column>``. Only events of
-    entities that have facts are expanded.
+    entity or start match nothing. Times are any integers. The result has all columns of both; a
+    facts' column that the events have, too, is named ``fact_<column>``. Both tables are read
+    several times and should be written ones. No event or no fact: empty result.
     """
     clash = {c: f"fact_{c}" for c in facts.columns if c != entity and c in events.columns}
     facts = facts.withColumnsRenamed(clash)
     valid_from, valid_to = clash.get(valid_from, valid_from), clash.get(valid_to, valid_to)
-    end = F.least(F.coalesce(F.col(valid_to), F.lit((1 << high) - 1)), F.lit((1 << high) - 1)).cast("bigint")
-    start = F.greatest(F.col(valid_from), F.lit(0)).cast("bigint")
-    keyed = facts.filter(F.col(entity).isNotNull() & F.col(valid_from).isNotNull())
-    spread = keyed.withColumn("__node", F.explode(dyadic_nodes(start, end, low, high)))
-    spread = spread.select("*", F.col("__node.level").alias("__level"), F.col("__node.node").alias("__at")).drop("__node")
-    few = events.filter(F.col(entity).isNotNull() & F.col(event_time).isNotNull()).join(keyed.select(entity).distinct(), entity, "left_semi")
-    seen = few.withColumn("__node", F.explode(enclosing_nodes(F.col(event_time).cast("bigint"), low, high)))
-    seen = seen.select("*", F.col("__node.level").alias("__level"), F.col("__node.node").alias("__at")).drop("__node")
-    hit = seen.join(spread, [entity, "__level", "__at"])
+    asked = events.filter(F.col(entity).isNotNull() & F.col(event_time).isNotNull()).withColumnRenamed(entity, "__e")
+    origin, high = _span(asked, event_time)
+    keyed = facts.filter(F.col(entity).isNotNull() & F.col(valid_from).isNotNull()).withColumnRenamed(entity, "__e")
+    low = min(low, high)
+    spread = keyed.withColumn("__x", F.explode(_clipped_nodes(keyed, valid_from, valid_to, origin, high, low)))
+    few = Scratch(events.sparkSession, "asof").table(_of_entities(asked, keyed.select("__e").distinct(), event_time), "few")
+    hit = _meet(few, spread, event_time, origin, low, high)
     inside = (F.col(event_time) >= F.col(valid_from)) & (F.col(valid_to).isNull() | (F.col(event_time) < F.col(valid_to)))
-    return hit.filter(inside).drop("__level", "__at")
+    return hit.filter(inside).withColumnRenamed("__e", entity).select(*events.columns, *(c for c in facts.columns if c != entity))
 
 
-def asof_totals(
-    events: DataFrame, facts: DataFrame, entity: str, event_time: str, valid_from: str, valid_to: str, latest: str, *, high: int = HIGH
-) -> DataFrame:
+def asof_totals(events: DataFrame, facts: DataFrame, entity: str, event_time: str, valid_from: str, valid_to: str, latest: str) -> DataFrame:
     """``(entity, event_time, n_valid, latest)`` per distinct entity and time of the events.
 
     The number of facts valid at that time and the largest ``latest`` among them; only times with a
     valid fact have a row. Intervals are decomposed exactly (finest node one second) and facts are
     added up per node before the join, so an entity with a large share of events and facts makes
-    no pairs: an event meets at most ``high + 1`` rows. Times of
-    events with facts must lie in [0, 2**high - 1); another raises.
+    no pairs: an event meets at most one row per level. Times are any integers; both tables are
+    read several times and should be written ones.
     """
-    top = F.lit((1 << high) - 1)
-    in_range = F.col("t").between(0, (1 << high) - 2)
-    end = F.least(F.coalesce(F.col(valid_to), top), top).cast("bigint")
-    start = F.greatest(F.col(valid_from), F.lit(0)).cast("bigint")
-    keyed = facts.filter(F.col(entity).isNotNull() & F.col(valid_from).isNotNull())
-    nodes = keyed.select(F.col(entity).alias("e"), F.col(latest).alias("l"), F.explode(dyadic_nodes(start, end, 0, high)).alias("x"))
-    summed = nodes.groupBy("e", F.col("x.level").alias("level"), F.col("x.node").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("l"))
-    asked = events.filter(F.col(entity).isNotNull() & F.col(event_time).isNotNull()).select(F.col(entity).alias("e"), F.col(event_time).alias("t"))
-    asked = asked.join(keyed.select(F.col(entity).alias("e")).distinct(), "e", "left_semi").distinct()
-    spread = asked.withColumn("at", F.when(in_range, F.col("t").cast("bigint")).otherwise(F.raise_error(F.lit(f"{event_time} outside [0, 2**{high} - 1)"))))
-    spread = spread.select("e", "t", F.explode(enclosing_nodes(F.col("at"), 0, high)).alias("x")).select("e", "t", "x.level", "x.node")
-    return spread.join(summed, ["e", "level", "node"]).groupBy(F.col("e").alias(entity), F.col("t").alias(event_time)).agg(F.sum("n").alias("n_valid"), F.max("l").alias(latest))
+    asked = events.filter(F.col(entity).isNotNull() & F.col(event_time).isNotNull()).select(F.col(entity).alias("__e"), F.col(event_time).alias("t"))
+    origin, high = _span(asked, "t")
+    keyed = facts.filter(F.col(entity).isNotNull() & F.col(valid_from).isNotNull()).withColumnRenamed(entity, "__e")
+    nodes = keyed.select("__e", F.col(latest).alias("l"), F.explode(_clipped_nodes(keyed, valid_from, valid_to, origin, high, 0)).alias("__x"))
+    summed = nodes.groupBy("__e", "__x").agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("l"))
+    few = Scratch(events.sparkSession, "asof").table(_of_entities(asked, keyed.select("__e").distinct(), "t").distinct(), "few")
+    return _meet(few, summed, "t", origin, 0, high).groupBy(F.col("__e").alias(entity), F.col("t").alias(event_time)).agg(F.sum("n").alias("n_valid"), F.max("l").alias(latest))
 
 
 def validity_of_versions(facts: DataFrame, key: str, known_at: str, tie: str, *, bucket: int = 86_400) -> DataFrame:
