@@ -16,10 +16,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.session import Scratch
+
 SKETCH_COLUMNS = ("field", "slot", "bits")
 
 
@@ -87,27 +90,35 @@ def cube_sketches(sketches: DataFrame, keys: Sequence[str], level: str = "groupi
     """Sketches of every combination of ``keys`` from those of all of them.
 
     ``level`` has bit i (from the left) set where key i is rolled up, as SQL's grouping_id. The
-    input is expanded once per combination and combined map-side before the shuffle.
+    lattice is rolled up key by key: every combination is merged from the smallest (counted) of the
+    written combinations that have one key more, so the finest sketches are read once per key only.
     """
     plain = list(keys)
-    sets = [[k for i, k in enumerate(plain) if not mask >> (len(plain) - 1 - i) & 1] for mask in range(1 << len(plain))]
-    rows = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(mask).alias(level), *((F.col(k) if k in kept else F.lit(None)).cast(sketches.schema[k].dataType).alias(k) for k in plain))
-                for mask, kept in enumerate(sets)
-            )
-        )
-    ).alias("__g")
-    wide = sketches.select(rows, "field", "slot", "bits").select("__g.*", "field", "slot", "bits")
-    return merge_sketches(wide, [level, *plain])
+    scratch = Scratch(sketches.sparkSession, "cube")
+    done: dict[int, tuple[DataFrame, int]] = {}
+    for mask in sorted(range(1 << len(plain)), key=lambda m: (m.bit_count(), m)):
+        kept = [k for i, k in enumerate(plain) if not mask >> (len(plain) - 1 - i) & 1]
+        parents = [done[mask & ~(1 << i)] for i in range(len(plain)) if mask >> i & 1]
+        merged = merge_sketches(min(parents, key=lambda p: p[1])[0], kept) if parents else sketches.select(*plain, *SKETCH_COLUMNS)
+        written = scratch.table(merged, f"level-{mask}")
+        done[mask] = (written, written.count())
+    out = [
+        t.select(F.lit(mask).alias(level), *((F.col(k) if k in t.columns else F.lit(None)).cast(sketches.schema[k].dataType).alias(k) for k in plain), *SKETCH_COLUMNS)
+        for mask, (t, _) in done.items()
+    ]
+    return reduce(DataFrame.unionByName, out)
 
 
 def estimate_distinct(
     sketches: DataFrame, keys: Sequence[str], fields: Sequence[str], shape: BitmapShape = BitmapShape()
 ) -> DataFrame:
-    """One row per group with a double column ``n_<field>`` per field (0.0 for a field without values)."""
-    per_slice = sketches.groupBy(*keys, "field", F.floor(F.col("slot") / F.lit(shape.words)).cast("int").alias("slice_no")).agg(
+    """One row per group with a double column ``n_<field>`` per field (0.0 for a field without values).
+
+    Merged sketches have at most ``slices * words`` rows per group and field, so groups are brought
+    together once, and both steps of the estimate run where they are.
+    """
+    gathered = sketches.repartition(*keys) if keys else sketches
+    per_slice = gathered.groupBy(*keys, "field", F.floor(F.col("slot") / F.lit(shape.words)).cast("int").alias("slice_no")).agg(
         F.sum(F.bit_count("bits")).alias("filled")
     )
     limit = int(shape.bits * shape.full_at)
