@@ -12,16 +12,23 @@ the state of D-1 plus the arrivals of D minus what expires, the amounts of day D
 * ``correct_state`` recomputes only the days that a late or changed amount can reach and writes
   them with a higher version; ``latest_version`` reads the valid rows.
 
+``maintain_state`` runs all three: a back-fill up to some days before the end, one ``advance_day``
+per remaining day, and corrections by what was delivered since. A ``VersionedState`` is what the
+queries read.
+
 Amounts are whole cents, so sums are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.session import Scratch
+
 WINDOWS = (7, 30)
 
 
@@ -107,26 +114,78 @@ def correct_state(
     """Day rows of version ``version`` for the days that ``corrections`` change.
 
     ``corrections`` are signed ``(entity, day_no, cents, n)`` differences. Only corrected entities
-    are read, and exactly the days ``day_no .. day_no + max(windows) - 1`` (up to ``horizon``) are
-    returned; where nothing is left in the windows the row has zeros and replaces the old one. A
-    day without any row means zeros, so days that no correction reaches stay valid.
+    are read. Returned are the days ``day_no .. day_no + max(windows) - 1`` of every correction (up
+    to ``horizon``), and the days from an entity's first to its former first day (to ``horizon`` if
+    it is new), which had no row so far; where nothing is in the windows the row has zeros and
+    replaces the old one. Days that no correction reaches stay valid.
     """
     reach = max(windows)
     touched = corrections.select("entity").distinct()
+    former = old_daily.join(touched, "entity", "left_semi").select("entity", "day_no", "cents", "n")
     merged = (
-        old_daily.join(touched, "entity", "left_semi").select("entity", "day_no", "cents", "n")
-        .unionByName(corrections.select("entity", "day_no", "cents", "n"))
+        former.unionByName(corrections.select("entity", "day_no", "cents", "n"))
         .groupBy("entity", "day_no").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).filter("n > 0")
     )
     days = expand_days(rolling_state(merged, windows, horizon=horizon), windows)
-    affected = corrections.select("entity", F.explode(F.sequence("day_no", F.col("day_no") + (reach - 1))).alias("day_no")).distinct()
+    reached = corrections.select("entity", F.explode(F.sequence("day_no", F.col("day_no") + (reach - 1))).alias("day_no"))
+    first = merged.groupBy("entity").agg(F.min("day_no").alias("a"), F.max("day_no").alias("z"))
+    before = first.join(former.groupBy("entity").agg(F.min("day_no").alias("b")), "entity", "left")
+    last = F.coalesce(F.col("b") - 1, F.col("z") if horizon is None else F.lit(horizon).cast("bigint"))
+    new_days = before.select("entity", "a", last.alias("y")).filter("a <= y").select("entity", F.explode(F.sequence("a", "y")).alias("day_no"))
+    affected = reached.unionByName(new_days).distinct()
     if horizon is not None:
         affected = affected.filter(F.col("day_no") <= horizon)
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in _state_columns(windows)}
-    return affected.join(days, ["entity", "day_no"], "left").withColumns({**zero, "version": F.lit(version)})
+    return affected.join(days, ["entity", "day_no"], "left").withColumns({**zero, "version": F.lit(version)}).select("entity", "day_no", *_state_columns(windows), "version")
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
     """Of several versions of an entity's day, the newest."""
     w = Window.partitionBy("entity", "day_no").orderBy(F.col("version").desc())
     return versions.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+@dataclass
+class VersionedState:
+    """Version 1 (``runs`` of the back-fill, ``advanced`` days) and the days that version 2, ``fixed``, replaces."""
+
+    runs: DataFrame
+    advanced: DataFrame
+    fixed: DataFrame
+    windows: Sequence[int] = WINDOWS
+
+    def _columns(self) -> list[str]:
+        return ["entity", "day_no", *_state_columns(self.windows), "version"]
+
+    def where(self, condition: str) -> DataFrame:
+        """The valid day rows that meet a condition on the state's columns; runs are expanded after it."""
+        runs = expand_days(self.runs.filter(condition), self.windows).withColumn("version", F.lit(1)).select(self._columns())
+        former = runs.unionByName(self.advanced.filter(condition))
+        return former.join(self.fixed.select("entity", "day_no"), ["entity", "day_no"], "left_anti").unionByName(self.fixed.filter(condition))
+
+    def rows(self) -> DataFrame:
+        """The valid row of every entity and day from its first day on; only corrected entities are compared by version."""
+        touched = self.fixed.select("entity").distinct()
+        parts = []
+        for how in ("left_anti", "left_semi"):
+            runs = expand_days(self.runs.join(touched, "entity", how), self.windows).withColumn("version", F.lit(1)).select(self._columns())
+            parts.append(runs.unionByName(self.advanced.join(touched, "entity", how).select(self._columns())))
+        return parts[0].unionByName(latest_version(parts[1].unionByName(self.fixed)))
+
+
+def maintain_state(old: DataFrame, new: DataFrame, scratch: Scratch, *, horizon: int, days_advanced: int = 7, windows: Sequence[int] = WINDOWS) -> VersionedState:
+    """The state up to day ``horizon``: version 1 from the daily totals ``old``, corrected to ``new``.
+
+    All days but the last ``days_advanced`` are back-filled; each of the others joins the state of
+    the day before with its arrivals and the expiring days.
+    """
+    columns = ["entity", "day_no", *_state_columns(windows), "version"]
+    start = horizon - days_advanced
+    runs = scratch.table(rolling_state(old.filter(F.col("day_no") <= start), windows, horizon=start), "runs")
+    state = runs.filter(F.col("day_to") == start).select("entity", *_state_columns(windows))
+    advanced = old.sparkSession.createDataFrame([], runs.select("entity", F.col("day_from").alias("day_no"), *_state_columns(windows), F.lit(1).alias("version")).schema)
+    for day in range(start + 1, horizon + 1):
+        state = scratch.table(advance_day(state, old, day, windows), f"day-{day}")
+        advanced = advanced.unionByName(state.select("entity", F.lit(day).cast("bigint").alias("day_no"), *_state_columns(windows), F.lit(1).alias("version")))
+    fixed = scratch.table(correct_state(old, daily_corrections(old, new), 2, windows, horizon=horizon), "fixed")
+    return VersionedState(runs, advanced.select(columns), fixed, windows)
