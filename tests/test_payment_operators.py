@@ -18,9 +18,9 @@ from tidegraph.operators import quantile_sketch as qs
 from tidegraph.operators.asof_attributes import asof_matches, asof_totals, dyadic_nodes, enclosing_nodes, validity_of_versions
 from tidegraph.operators.contraction import connected_labels, link_groups, permute, unpermute
 from tidegraph.operators.current import current_rows
-from tidegraph.operators.entity_features import entity_entries, feature_table, merge_entries, sparse_vectors, type_dictionary
+from tidegraph.operators.entity_features import TypeDictionary, entity_entries, feature_table, merge_entries, sparse_vectors, with_type_names
 from tidegraph.operators.keyed_totals import heavy_keys, keyed_totals
-from tidegraph.operators.rolling import advance_day, correct_state, daily_corrections, daily_totals, expand_days, latest_version, rolling_state
+from tidegraph.operators.rolling import advance_day, correct_state, daily_corrections, daily_totals, expand_days, latest_version, maintain_state, rolling_state
 from tidegraph.session import Scratch
 
 
@@ -253,23 +253,59 @@ def test_moved_payments_leave_nothing_behind(spark):
     assert final == {k: v for k, v in brute_rolling(exact, (7, 30), 60).items() if v[3]}
 
 
+def test_maintained_state_is_the_window_form(spark):
+    rng = np.random.default_rng(16)
+    made = lambda n: {(f"c{rng.integers(6)}", int(rng.integers(70))): (int(rng.integers(1, 900)), int(rng.integers(1, 4))) for _ in range(n)}
+    old = made(50)
+    new = {k: v for k, v in old.items() if rng.random() < 0.8} | made(25) | {("late", 3): (5, 1), ("late", 60): (7, 1)}
+    frame = lambda x: spark.createDataFrame([(*k, *v) for k, v in x.items()], "entity string, day_no bigint, cents bigint, n bigint")
+    state = maintain_state(frame(old), frame(new), Scratch(spark, "t"), horizon=72, days_advanced=5)
+    first = {e: min(d for x, d in new if x == e) for e, _ in new}
+    values = lambda r: [r.cents_7, r.n_7, r.cents_30, r.n_30]
+    got = {(r.entity, r.day_no): values(r) for r in state.rows().collect() if r.day_no >= first.get(r.entity, 99)}
+    want = brute_rolling(new, (7, 30), 72)
+    assert got == want
+    hot = state.where("cents_30 >= 900")
+    assert {(r.entity, r.day_no): values(r) for r in hot.collect()} == {k: v for k, v in want.items() if v[2] >= 900}
+    nothing = maintain_state(frame(old).limit(0), frame(old).limit(0), Scratch(spark, "t"), horizon=0)
+    assert nothing.rows().count() == 0
+
+
 # --- entity features ---------------------------------------------------------------------------------
 
 
-def test_entity_features(spark):
+def test_entity_features(spark, tmp_path):
     rows = [("c1", "x", 5, 100), ("c1", "x", 9, 50), ("c1", None, 7, 1), ("c2", "y", None, None), (None, "x", 1, 1), ("c2", "y", 3, 2), ("c3", "z", 1, 1)]
     df = spark.createDataFrame(rows, "entity string, type_no string, last_time bigint, cents bigint")
-    types = type_dictionary(df, "type_no")
-    assert types == ["x", "y", "z"]
+    book = TypeDictionary(spark, str(tmp_path / "types"))
+    assert book.read().count() == 0
+    types = book.extend(df.select(F.col("type_no").alias("event_type")))
+    assert {(r.type_no, r.event_type, r.version) for r in types.collect()} == {(0, "x", 1), (1, "y", 1), (2, "z", 1)}
     entries = entity_entries(df, "entity", "type_no", "last_time", "cents", types)
     merged = merge_entries(entries.unionByName(entries))
     assert {(r.entity, r.type_no, r.n, r.cents, r.last_time) for r in merged.collect()} == {("c1", 0, 4, 300, 9), ("c1", -1, 2, 2, 7), ("c2", 1, 4, 4, 3), ("c3", 2, 2, 2, 1)}
     table = {r.entity: r for r in feature_table(sparse_vectors(entries), types).collect()}
     assert (table["c1"].n_0, table["c1"].total_0, table["c1"].last_0, table["c1"].n_1, table["c1"].last_1, table["c1"].n_all) == (2, 1.5, 9, 0, None, 3)
+    assert (table["c2"].n_1, table["c2"].total_1, table["c2"].last_1, table["c2"].n_2, table["c2"].total_all) == (2, 0.02, 3, 0, 0.02)
     assert feature_table(sparse_vectors(entries.limit(0)), types).count() == 0
-    assert entity_entries(df, "entity", "type_no", "last_time", "cents", []).count() == 1
-    with pytest.raises(ValueError):
-        type_dictionary(df, "type_no", limit=2)
+    empty = TypeDictionary(spark, str(tmp_path / "none")).extend(df.limit(0).select(F.col("type_no").alias("event_type")))
+    assert entity_entries(df, "entity", "type_no", "last_time", "cents", empty).count() == 1
+    assert feature_table(sparse_vectors(entries.limit(0)), empty).columns == ["entity", "n_all", "total_all", "last_time_all"]
+
+
+def test_days_with_different_types_merge(spark, tmp_path):
+    events = lambda rows: spark.createDataFrame(rows, "e string, t string, at bigint, c bigint")
+    days = [events([("c1", "pay", 1, 10)]), events([("c1", "auth", 2, 3), ("c1", "pay", 3, 5), ("c2", "auth", 4, 1)]), events([("c2", "pay", 9, 2)])]
+    book, parts = TypeDictionary(spark, str(tmp_path / "types")), []
+    for day in days:
+        types = book.extend(day.select(F.col("t").alias("event_type")))
+        parts.append(entity_entries(day, "e", "t", "at", "c", types))
+    assert {r.event_type: (r.type_no, r.version) for r in types.collect()} == {"pay": (0, 1), "auth": (1, 2)}
+    merged = merge_entries(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    got = {(r.entity, r.event_type): (r.n, r.cents, r.last_time) for r in with_type_names(merged, types).collect()}
+    assert got == {("c1", "pay"): (2, 15, 3), ("c1", "auth"): (1, 3, 2), ("c2", "auth"): (1, 1, 4), ("c2", "pay"): (1, 2, 9)}
+    with pytest.raises(Exception, match="lacks"):
+        feature_table(sparse_vectors(merged), types.filter("version = 1")).collect()
 
 
 # --- heavy keys --------------------------------------------------------------------------------------
@@ -302,8 +338,8 @@ def test_dyadic_cover(spark, a, b):
 
 
 def test_enclosing_nodes(spark):
-    got = spark.range(1).select(enclosing_nodes(F.lit(13).cast("bigint"), 1, 3).alias("n")).first()["n"]
-    assert [(n["level"], n["node"]) for n in got] == [(1, 6), (2, 3), (3, 1)]
+    got = spark.range(1).select(enclosing_nodes(F.lit(13).cast("bigint"), F.lit(0b11010).cast("bigint"), 1, 3).alias("n")).first()["n"]
+    assert [(n["level"], n["node"]) for n in got] == [(1, 6), (3, 1)]
 
 
 def test_asof_matches(spark):
@@ -312,11 +348,11 @@ def test_asof_matches(spark):
     events = [(i, f"c{rng.integers(6)}", int(rng.integers(400_000))) for i in range(80)] + [(90, None, 5), (91, "c1", None), (92, "c1", facts[0][2])]
     f = spark.createDataFrame(facts, "card string, fid int, valid_from bigint, valid_to bigint")
     e = spark.createDataFrame(events, "eid int, card string, level bigint")
-    got = {(r.eid, r.fid) for r in asof_matches(e, f, "card", "level", "valid_from", "valid_to", low=12, high=20).collect()}
+    got = {(r.eid, r.fid) for r in asof_matches(e, f, "card", "level", "valid_from", "valid_to", low=12).collect()}
     want = {(i, k) for i, c, t in events for d, k, a, b in facts if c is not None and c == d and t is not None and a is not None and a <= t and (b is None or t < b)}
     assert got == want
     assert asof_matches(e.limit(0), f, "card", "level", "valid_from", "valid_to").count() == 0
-    both = asof_matches(e.withColumn("valid_from", F.lit("x")).withColumn("note", F.lit(1)), f.withColumn("note", F.lit(2)), "card", "level", "valid_from", "valid_to", low=12, high=20)
+    both = asof_matches(e.withColumn("valid_from", F.lit("x")).withColumn("note", F.lit(1)), f.withColumn("note", F.lit(2)), "card", "level", "valid_from", "valid_to", low=12)
     assert {(r.eid, r.fid) for r in both.collect()} == want and {"fact_valid_from", "note", "fact_note"} <= set(both.columns)
 
 
@@ -326,7 +362,7 @@ def test_asof_totals(spark):
     events = [(i, f"c{rng.integers(5)}", int(rng.integers(1_000))) for i in range(90)] + [(90, "c1", 5), (91, "c1", 5), (92, None, 4), (93, "c1", None)]
     f = spark.createDataFrame(facts, "card string, l int, a bigint, b bigint")
     e = spark.createDataFrame(events, "eid int, card string, n bigint")
-    got = {(r.card, r.n): (r.n_valid, r.l) for r in asof_totals(e, f, "card", "n", "a", "b", "l", high=11).collect()}
+    got = {(r.card, r.n): (r.n_valid, r.l) for r in asof_totals(e, f, "card", "n", "a", "b", "l").collect()}
     want = {}
     for _, c, t in events:
         valid = [k for d, k, a, b in facts if c is not None and t is not None and d == c and a is not None and a <= t and (b is None or t < b)]
@@ -335,6 +371,18 @@ def test_asof_totals(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("shift", [0, -5_000, 2**24, 2**31 + 5, 2**40])
+def test_asof_any_times_and_one_entity_with_most_events(spark, shift):
+    facts = [("hot", k, shift + 40 * k, None if k % 3 else shift + 40 * k + 700) for k in range(20)] + [("c", 50, shift - 9_000, shift + 3), ("c", 51, shift + 10**7, None)]
+    events = [(i, "hot", shift + i) for i in range(900)] + [(1_000 + i, f"c{i}", shift) for i in range(60)] + [(2_000, "c", shift), (2_001, "c", shift + 3)]
+    f = spark.createDataFrame(facts, "card string, fid bigint, a bigint, b bigint")
+    e = spark.createDataFrame(events, "eid int, card string, t bigint")
+    want = {(i, k) for i, c, t in events for d, k, a, b in facts if c == d and a <= t and (b is None or t < b)}
+    assert {(r.eid, r.fid) for r in asof_matches(e, f, "card", "t", "a", "b", low=4).collect()} == want
+    totals = {(r.card, r.t): (r.n_valid, r.fid) for r in asof_totals(e, f, "card", "t", "a", "b", "fid").collect()}
+    assert totals == {(c, t): (len(v), max(v)) for i, c, t in events if (v := [k for j, k in want if j == i])}
+
+
 def test_validity_of_versions(spark):
     rows = [("s", 1, 10), ("s", 2, 10), ("s", 3, 20), ("s", 3, 20), ("s", 4, None), (None, 5, 1), ("u", 6, 0)]
     df = spark.createDataFrame(rows, "k string, rid int, known bigint")

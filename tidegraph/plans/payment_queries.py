@@ -11,11 +11,11 @@ from tidegraph.functions.normal import cents, day_number, normal_form, paid, tim
 from tidegraph.operators.asof_attributes import asof_matches, asof_totals, validity_of_versions
 from tidegraph.operators.contraction import link_groups
 from tidegraph.operators.distinct_bitmap import cube_sketches, distinct_sketch, estimate_distinct
-from tidegraph.operators.entity_features import entity_entries, feature_table, sparse_vectors, type_dictionary
+from tidegraph.operators.entity_features import TypeDictionary, entity_entries, feature_table, sparse_vectors, with_type_names
 from tidegraph.operators.keyed_totals import heavy_keys, keyed_totals
 from tidegraph.operators.quantile_sketch import quantile_sketch, sketch_quantiles
-from tidegraph.operators.current import current_rows
-from tidegraph.operators.rolling import correct_state, daily_corrections, daily_totals, expand_days, latest_version, rolling_state
+from tidegraph.operators.current import DELIVERY_ORDER
+from tidegraph.operators.rolling import VersionedState, maintain_state
 from tidegraph.plans import payment_sql as sql
 from tidegraph.session import Scratch, broadcast_if_small
 from tidegraph.sources.tables import current_transactions, table
@@ -99,20 +99,49 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 # --- p4 rolling totals ----------------------------------------------------------------------------
 
 
-def _p4_daily(spark: SparkSession, d: str) -> DataFrame:
-    cur = current_transactions(spark, d, ["transaction_time", "amount", "card_id"]).filter(timed() & paid())
-    return daily_totals(cur.select(normal_form("card_id").alias("card"), day_number().alias("day"), cents().alias("c")), "card", "day", "c")
+def _p4_state(spark: SparkSession, d: str) -> tuple[VersionedState, DataFrame, int]:
+    """(state, ``(entity, first_day, last_day)``, last day of the data).
+
+    Version 1 is what the deliveries up to a week before the last one gave; version 2 recomputes the
+    card days that the later deliveries (new, late, changed or moved payments) reach. Both versions'
+    daily totals come out of one pass: per transaction the current delivery then and now.
+    """
+    scratch = Scratch(spark, "p4")
+    sent = table(spark, d, "transactions").select("transaction_id", "transaction_time", "amount", "card_id", *DELIVERY_ORDER).filter("transaction_id IS NOT NULL")
+    cut = sent.agg(F.max("raw_ingested_at") - F.expr("INTERVAL 7 DAYS")).first()[0]
+    row = F.struct(*DELIVERY_ORDER, "transaction_time", "amount", "card_id")
+    then = F.max(F.when(F.col("raw_ingested_at") <= F.lit(None if cut is None else str(cut)).cast("timestamp_ntz"), row))
+    both = sent.groupBy("transaction_id").agg(F.max(row).alias("now"), then.alias("then"))
+    same = F.col("then.raw_delivery_id").eqNullSafe(F.col("now.raw_delivery_id"))
+    each = F.array_compact(F.array(
+        F.struct(F.col("now").alias("r"), same.alias("is_old"), F.lit(True).alias("is_new")),
+        F.when(~same & F.col("then").isNotNull(), F.struct(F.col("then").alias("r"), F.lit(True).alias("is_old"), F.lit(False).alias("is_new"))),
+    ))
+    flat = both.select(F.inline(each)).select("r.transaction_time", "r.amount", "r.card_id", "is_old", "is_new").filter(timed() & paid())
+    keyed = flat.select(normal_form("card_id").alias("entity"), day_number().alias("day_no"), cents().alias("c"), "is_old", "is_new").filter("entity IS NOT NULL")
+    sums = [
+        x.alias(f"{name}_{flag}")
+        for flag in ("is_old", "is_new")
+        for name, x in (("cents", F.coalesce(F.sum(F.when(F.col(flag), F.col("c"))), F.lit(0))), ("n", F.count_if(flag)))
+    ]
+    daily = scratch.table(keyed.groupBy("entity", "day_no").agg(*sums), "daily")
+    of = lambda flag: daily.select("entity", "day_no", F.col(f"cents_{flag}").alias("cents"), F.col(f"n_{flag}").alias("n")).filter("n > 0")
+    old, new = of("is_old"), of("is_new")
+    horizon = new.agg(F.coalesce(F.max("day_no"), F.lit(0))).first()[0]
+    spans = new.groupBy("entity").agg(F.min("day_no").alias("first_day"), F.max("day_no").alias("last_day"))
+    return maintain_state(old, new, scratch, horizon=horizon), spans, horizon
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = rolling_state(_p4_daily(spark, d))
-    hot = runs.filter("day_to >= first_day + 29 AND cents_30 >= 150000 AND cents_7 * 5 >= cents_30 * 4")
-    return expand_days(hot).filter("day_no >= first_day + 29").select(F.col("entity").alias("card_id"), "day_no")
+    state, spans, _ = _p4_state(spark, d)
+    hot = state.where("cents_30 >= 150000 AND cents_7 * 5 >= cents_30 * 4").join(spans, "entity")
+    return hot.filter("day_no BETWEEN first_day + 29 AND last_day").select(F.col("entity").alias("card_id"), "day_no")
 
 
 def p4_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals and averages of the last 7 and 30 days per card and day, from its first to its last day."""
-    days = expand_days(rolling_state(_p4_daily(spark, d)))
+    state, spans, _ = _p4_state(spark, d)
+    days = state.rows().join(spans, "entity").filter("day_no BETWEEN first_day AND last_day")
     mean = lambda w: F.round(F.try_divide(F.col(f"cents_{w}") / 100.0, F.col(f"n_{w}")), 6).alias(f"mean_{w}")
     return days.select(
         F.col("entity").alias("card_id"), "day_no", (F.col("cents_7") / 100.0).alias("total_7"), "n_7",
@@ -121,30 +150,19 @@ def p4_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_corrected_totals(spark: SparkSession, d: str) -> DataFrame:
-    """The rolling totals up to the last day of the data, kept as versions.
-
-    Version 1 is the state that the deliveries before June 2024 give; version 2 recomputes only the
-    card days that later deliveries (new, late, changed or moved payments) reach.
-    """
-    scratch = Scratch(spark, "p4")
-    first = table(spark, d, "transactions").select("transaction_id", "transaction_time", "amount", "card_id", "raw_ingested_at", "raw_delivery_id")
-    first = current_rows(first.filter("raw_ingested_at < timestamp_ntz'2024-06-01 00:00:00'")).filter(timed() & paid())
-    keyed = first.select(normal_form("card_id").alias("card"), day_number().alias("day"), cents().alias("c"))
-    old = scratch.table(daily_totals(keyed, "card", "day", "c"), "old")
-    new = scratch.table(_p4_daily(spark, d), "new")
-    horizon = new.agg(F.coalesce(F.max("day_no"), F.lit(0))).first()[0]
-    before = expand_days(rolling_state(old, horizon=horizon)).drop("first_day", "last_day").withColumn("version", F.lit(1))
-    fixed = correct_state(old, scratch.table(daily_corrections(old, new), "corrections"), 2, horizon=horizon).drop("first_day", "last_day")
-    valid = latest_version(before.unionByName(fixed)).filter("n_30 > 0")
-    return valid.select(F.col("entity").alias("card_id"), "day_no", "cents_7", "n_7", "cents_30", "n_30")
+    """The rolling totals of every card and day, with or without a payment, up to the last day of the data."""
+    state, spans, _ = _p4_state(spark, d)
+    days = state.rows().join(spans.select("entity", "first_day"), "entity").filter("day_no >= first_day")
+    return days.select(F.col("entity").alias("card_id"), "day_no", "cents_7", "n_7", "cents_30", "n_30")
 
 
 # --- p5 entity features ---------------------------------------------------------------------------
 
 
-def _p5_entries(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    kinds = table(spark, d, "transactions").select(normal_form("raw_event_type").alias("e"))
-    types = type_dictionary(kinds, "e")
+def _p5_entries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, dictionary); a daily job would keep the dictionary's folder and extend it."""
+    kinds = table(spark, d, "transactions").select(normal_form("raw_event_type").alias("event_type"))
+    types = TypeDictionary(spark, Scratch(spark, "p5").root + "/types").extend(kinds)
     cur = current_transactions(spark, d, ["transaction_time", "amount", "card_id", "raw_event_type"]).filter(timed() & paid())
     rows = cur.select(normal_form("card_id").alias("card"), normal_form("raw_event_type").alias("e"), "transaction_time", cents().alias("c"))
     return entity_entries(rows, "card", "e", "transaction_time", "c", types), types
@@ -154,7 +172,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     entries, types = _p5_entries(spark, d)
     each = sparse_vectors(entries).select("entity", "cents_all", "last_time_all", F.inline("entries"))
     hit = each.filter("type_no >= 0 AND n >= 5 AND cents * 2 >= cents_all AND last_time <= last_time_all - 2592000")
-    return hit.select(F.col("entity").alias("card_id"), F.element_at(F.lit(types), F.col("type_no") + 1).alias("event_type"))
+    return with_type_names(hit, types).select(F.col("entity").alias("card_id"), "event_type")
 
 
 def p5_entity_features(spark: SparkSession, d: str) -> DataFrame:
@@ -167,8 +185,7 @@ def p5_sparse_entries(spark: SparkSession, d: str) -> DataFrame:
     """The same features as one row per card and event type that occurs."""
     entries, types = _p5_entries(spark, d)
     each = sparse_vectors(entries).select("entity", F.inline("entries"))
-    name = F.when(F.col("type_no") >= 0, F.element_at(F.lit(types), F.greatest(F.col("type_no"), F.lit(0)) + 1))
-    return each.select(F.col("entity").alias("card_id"), name.alias("event_type"), "n", "cents", "last_time")
+    return with_type_names(each, types).select(F.col("entity").alias("card_id"), "event_type", "n", "cents", "last_time")
 
 
 # --- p6 heavy keys --------------------------------------------------------------------------------
@@ -202,7 +219,7 @@ def _p7_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     on = cur.select(F.col("transaction_id").alias("sid"), F.col("transaction_time").alias("s_time"), "card").join(said, "sid")
     # The report speaks to later transactions only, so the interval also starts after S itself.
     facts = on.select("card", "report_id", "known_time", F.greatest("valid_from", F.col("s_time") + 1).alias("valid_from"), "valid_to")
-    return cur, facts
+    return cur, scratch.table(facts, "facts")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -213,9 +230,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_label_history(spark: SparkSession, d: str) -> DataFrame:
     """Per timed transaction: how many earlier frauds of its card were known, and when the last became known."""
     cur, facts = _p7_facts(spark, d)
-    facts = Scratch(spark, "p7").table(facts, "facts")
-    last = cur.agg(F.coalesce(F.max("transaction_time"), F.lit(0))).first()[0]
-    known = asof_totals(cur, facts, "card", "transaction_time", "valid_from", "valid_to", "known_time", high=(int(last) + 1).bit_length())
+    known = asof_totals(cur, facts, "card", "transaction_time", "valid_from", "valid_to", "known_time")
     return cur.join(known, ["card", "transaction_time"], "left").select(
         "transaction_id", F.coalesce("n_valid", F.lit(0)).cast("bigint").alias("known_frauds"), F.col("known_time").alias("last_known_time")
     )

@@ -86,7 +86,7 @@ P4_FOUND = f"WITH {_P4_BASE} SELECT card AS card_id, d AS day_no FROM roll WHERE
 P4_ROLLING = f"""WITH {_P4_BASE} SELECT card AS card_id, d AS day_no, c7 / 100.0 AS total_7, n7 AS n_7, c30 / 100.0 AS total_30, n30 AS n_30,
 round(CASE WHEN n7 > 0 THEN c7 / 100.0 / n7 END, 6) AS mean_7, round(CASE WHEN n30 > 0 THEN c30 / 100.0 / n30 END, 6) AS mean_30 FROM roll"""
 
-P4_CORRECTED = f"""WITH {_P4_BASE.replace("max(d) AS d1", "(SELECT max(d) FROM daily) AS d1")} SELECT card AS card_id, d AS day_no, c7 AS cents_7, n7 AS n_7, c30 AS cents_30, n30 AS n_30 FROM roll WHERE n30 > 0"""
+P4_CORRECTED = f"""WITH {_P4_BASE.replace("max(d) AS d1", "(SELECT max(d) FROM daily) AS d1")} SELECT card AS card_id, d AS day_no, c7 AS cents_7, n7 AS n_7, c30 AS cents_30, n30 AS n_30 FROM roll"""
 
 P5_FOUND = f"""
 WITH cur AS ({current("transaction_time", "amount", nf("card_id") + " AS card", nf("raw_event_type") + " AS e")}),
