@@ -92,10 +92,10 @@ def test_labels_outside_the_pool_do_not_matter(data):
     assert sorted(matured_labels(split).collect()) == sorted(matured_labels(flipped).collect())
 
 
-@pytest.mark.parametrize("block_rows", [1_000_000, 17])
-def test_components(data, block_rows):
+@pytest.mark.parametrize("segment_rows", [1_000_000, 17, 4])
+def test_components(data, segment_rows):
     rows, df = data
-    got = by_id(component_features(df, block_rows=block_rows))
+    got = by_id(component_features(df, segment_rows=segment_rows))
     for r in rows:
         earlier = [x for x in rows if x["transaction_time"] < r["transaction_time"] and nodes(x)]
         root = components([(("t", x["transaction_id"]), ("e", n)) for x in earlier for n in nodes(x)])
