@@ -5,12 +5,17 @@ from __future__ import annotations
 import argparse
 import json
 
+from tidegraph.operators.models import BoostedModel
 from tidegraph.plans import workflow
 from tidegraph.plans.pipeline import Settings
 from tidegraph.session import clear_scratch, local_session
 from tidegraph.sources.synthetic import load_source
 
 
+# The settings of a run that its command line offers; names and defaults are those of Settings.
+OFFERED = ("seed", "train_fraction", "validation_fraction", "purge_seconds", "refresh_batches")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidegraph")
     p.add_argument("stage", choices=("prepare", "features", "evaluate", "explain"))
@@ -19,21 +24,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--raw-dir", default="data/raw")
     p.add_argument("--max-rows", type=int)
     p.add_argument("--synthetic-rows", type=int, default=500)
-    p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--train-fraction", type=float, default=0.60)
-    p.add_argument("--validation-fraction", type=float, default=0.20)
-    p.add_argument("--purge-seconds", type=int, default=86_400)
-    p.add_argument("--refresh-batches", type=int, default=25)
-    p.add_argument("--trees", type=int, default=40)
+    p.add_argument("--trees", type=int, default=BoostedModel.max_trees)
     p.add_argument("--model", choices=("graph_boosted", "graph_logistic"), default="graph_boosted")
+    for name in OFFERED:
+        default = getattr(Settings, name)
+        p.add_argument("--" + name.replace("_", "-"), type=type(default), default=default)
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    settings = Settings(
-        seed=a.seed, train_fraction=a.train_fraction, validation_fraction=a.validation_fraction, purge_seconds=a.purge_seconds, refresh_batches=a.refresh_batches
-    )
+    settings = Settings(**{name: getattr(a, name) for name in OFFERED})
     spark = local_session()
     if a.stage == "prepare":
         source = load_source(spark, a.mode, a.raw_dir, n_rows=a.synthetic_rows, seed=a.seed, max_rows=a.max_rows)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.operators.quality import entity_profile, quality_profile, split_profile
+from tidegraph.session import path_exists
 
 
 def content_checksum(df: DataFrame) -> str:
@@ -44,13 +46,34 @@ def write_table(df: DataFrame, path: str, *, csv: bool = False) -> None:
     (df.write.mode("overwrite").option("header", True).csv(path) if csv else df.write.mode("overwrite").parquet(path))
 
 
+def write_text(text: str, path: str | Path) -> None:
+    """A small file on whatever file system the path names."""
+    spark = SparkSession.active()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(path: str | Path) -> str:
+    spark = SparkSession.active()
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    stream = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(source)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def write_json(value: Any, path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str), encoding="utf-8")
+    """A small document; tables go through ``write_table``."""
+    write_text(json.dumps(value, indent=2, sort_keys=True, default=str), path)
 
 
 def read_json(path: str | Path) -> Any:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(read_text(path))
 
 
 def markdown_table(df: DataFrame, limit: int = 1_000) -> str:
@@ -67,3 +90,37 @@ def quality_report(df: DataFrame) -> str:
     """The quality profile, splits and entities of a prepared table as Markdown."""
     parts = [("Profile", quality_profile(df)), ("Splits", split_profile(df).orderBy("min_transaction_time")), ("Entities", entity_profile(df).orderBy("entity_column"))]
     return "\n\n".join(f"## {title}\n\n{markdown_table(part)}" for title, part in parts) + "\n"
+
+
+def evaluation_report(metrics: dict[str, Any]) -> str:
+    """The models' figures, slices and worst cases of an evaluation (``workflow.evaluate``) as Markdown."""
+    show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+    line = lambda cells: "| " + " | ".join(map(show, cells)) + " |"
+    out = ["## Models", "", line(["model", "validation PR-AUC", "test PR-AUC", "alerts at matched recall", "alert reduction"]), "|" + "---|" * 5]
+    out += [line([n, m["validation_pr_auc"], m["test"]["pr_auc"], m["matched_recall"]["alert_count"], m["alert_reduction"]]) for n, m in metrics["models"].items()]
+    out += ["", f"Chosen on validation: {metrics['selected']}"]
+    for title in ("slices", "worst_cases"):
+        rows = metrics[title]
+        if rows:
+            out += ["", f"## {title.replace('_', ' ').capitalize()}", "", line(rows[0]), "|" + "---|" * len(rows[0])] + [line(r.values()) for r in rows]
+    return "\n".join(out) + "\n"
+
+
+def alert_report(summary: dict[str, Any], alerts: DataFrame, limit: int = 20) -> str:
+    """The alert artifact's gates, reason counts and first alerts as Markdown, with its note."""
+    top = alerts.filter(F.col("rank") <= limit).orderBy("rank").select("rank", "transaction_id", "risk_score", "recommended_action", F.array_join("reasons.code", ", ").alias("reasons"))
+    gates = "\n".join(f"- {name}: {'pass' if ok else 'FAIL'}" for name, ok in sorted(summary["gates"].items()))
+    codes = "\n".join(f"- {code}: {n}" for code, n in sorted(summary["reason_code_counts"].items()))
+    return f"## Gates ({summary['status']})\n\n{gates}\n\n## Reasons\n\n{codes}\n\n## First alerts\n\n{markdown_table(top, limit)}\n\n{summary['disclaimer']}\n"
+
+
+def evidence_snapshot(folder: str, files: tuple[str, ...] = ("manifest.json", "feature_audit.json", "metrics.json", "alerts.json")) -> dict[str, Any]:
+    """Status and SHA-256 of a run's documents: what is there, what is missing, and whether every audit passed."""
+    spark, found = SparkSession.active(), {}
+    for f in files:
+        if path_exists(spark, f"{folder}/{f}"):
+            text = read_text(f"{folder}/{f}")
+            found[f] = {"sha256": hashlib.sha256(text.encode("utf-8")).hexdigest(), "status": json.loads(text).get("status")}
+    missing = [f for f in files if f not in found]
+    passed = not missing and all(x["status"] in (None, "PASS") for x in found.values())
+    return {"status": "PASS" if passed else "FAIL", "missing": missing, "documents": found}

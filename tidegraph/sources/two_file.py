@@ -13,6 +13,7 @@ from tidegraph.functions.normal import trimmed
 from tidegraph.operators.attach import one_to_one_left
 from tidegraph.operators.quality import validate_transactions
 from tidegraph.schema import CANONICAL_COLUMNS
+from tidegraph.session import path_exists
 
 # File names and columns of the external format.
 TRANSACTION_FILE, IDENTITY_FILE = "train_transaction.csv", "train_identity.csv"
@@ -23,8 +24,8 @@ IDENTITY_COLUMNS = ("TransactionID", *DEVICE_PARTS)
 REQUIRED = ("TransactionID", "isFraud", "TransactionDT", "TransactionAmt")
 
 
-def files_available(folder: str | Path) -> bool:
-    return all((Path(folder) / f).is_file() for f in (TRANSACTION_FILE, IDENTITY_FILE))
+def files_available(spark: SparkSession, folder: str | Path) -> bool:
+    return all(path_exists(spark, f"{folder}/{f}") for f in (TRANSACTION_FILE, IDENTITY_FILE))
 
 
 def pruned_csv(spark: SparkSession, path: str | Path, wanted: Sequence[str], max_rows: int | None = None) -> DataFrame:
@@ -63,15 +64,14 @@ def load_two_file(spark: SparkSession, folder: str | Path, *, max_rows: int | No
     A missing recipient domain still gives a recipient key per product, as the source format has
     it; ``strict_recipient`` leaves it NULL instead. Source columns are kept with prefix ``raw_``.
     """
-    folder = Path(folder)
-    absent = [f for f in (TRANSACTION_FILE, IDENTITY_FILE) if not (folder / f).is_file()]
+    absent = [f for f in (TRANSACTION_FILE, IDENTITY_FILE) if not path_exists(spark, f"{folder}/{f}")]
     if absent:
         raise FileNotFoundError(", ".join(absent))
-    txns = pruned_csv(spark, folder / TRANSACTION_FILE, TRANSACTION_COLUMNS, max_rows)
+    txns = pruned_csv(spark, f"{folder}/{TRANSACTION_FILE}", TRANSACTION_COLUMNS, max_rows)
     lacking = sorted(set(REQUIRED) - set(txns.columns))
     if lacking:
         raise ValueError(f"transaction file lacks {', '.join(lacking)}")
-    identity = pruned_csv(spark, folder / IDENTITY_FILE, IDENTITY_COLUMNS)
+    identity = pruned_csv(spark, f"{folder}/{IDENTITY_FILE}", IDENTITY_COLUMNS)
     both = one_to_one_left(txns, identity, "TransactionID", reduce_first=True)
     col = lambda c: F.col(c) if c in both.columns else F.lit(None).cast("string")
     domain = lambda c: F.lower(trimmed(col(c)))
