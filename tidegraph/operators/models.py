@@ -6,11 +6,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators.encode import CombinedEncoder, TabularEncoder
+from tidegraph.operators.ordering import global_running
 from tidegraph.session import Scratch
 
 
@@ -60,6 +62,16 @@ class LogisticModel:
             raise RuntimeError("fit first")
         return rows.withColumn("score", 1.0 / (1.0 + F.exp(-self.margin())))
 
+    def slope(self, rows: DataFrame) -> float:
+        """Largest entry of the gradient of the penalised mean loss: 0 at the optimum."""
+        scored = self.score(balanced(rows))
+        gap = (F.col("score") - F.col("label")) * F.col("weight")
+        size = scored.agg(F.sum("weight").alias("w"), F.sum(gap).alias("g"), F.count(F.lit(1)).alias("n")).first()
+        sums = np.zeros(len(self.coefficients))
+        for i, g in scored.select(gap.alias("gap"), F.inline(self.encoder.entries())).groupBy("i").agg(F.sum(F.col("gap") * F.col("value"))).collect():
+            sums[i] = g
+        return float(max(np.abs(sums / size["w"] + self.l2_strength / size["n"] * self.coefficients).max(), abs(size["g"] / size["w"])))
+
     def weighted_loss(self, rows: DataFrame) -> float:
         p = F.greatest(F.least(F.col("score"), F.lit(1 - 1e-15)), F.lit(1e-15))
         loss = F.when(F.col("label") == 1, -F.ln(p)).otherwise(-F.ln(1 - p))
@@ -95,11 +107,16 @@ class Tree:
 
 @dataclass
 class BoostedModel:
-    """Boosted trees on all features; the number of trees kept maximises validation average precision."""
+    """Boosted trees on all features; the number of trees kept maximises validation average precision.
+
+    Up to ``max_trees`` are grown; the search ends when ``patience`` further trees bring no gain. A
+    tree depends only on those before it, so trees are grown in doubling stages, and no more of them
+    than the search looks at or a stage holds. Leaves are bounded by ``depth``: growth is level-wise.
+    """
 
-    max_trees: int = 40
-    step: float = 0.1
-    depth: int = 5
+    max_trees: int = 400
+    step: float = 0.03
+    depth: int = 4
     min_leaf: int = 15
     column_share: float = 0.9
     patience: int = 40
@@ -112,15 +129,27 @@ class BoostedModel:
         balanced(validation)
         self.encoder = CombinedEncoder().fit(train)
         rows = self.encoder.vectors(balanced(train), ["label", "weight"])
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        grown, self.trees = min(2 * self.patience, self.max_trees), []
+        while True:
+            self._grow(rows, grown)
+            self.kept, ended = self._best_prefix(validation)
+            if ended or grown == self.max_trees:
+                break
+            grown = min(2 * grown, self.max_trees)
+        rows.unpersist()
+        return self
+
+    def _grow(self, rows: DataFrame, count: int) -> None:
         learner = GBTClassifier(
-            featuresCol="x", labelCol="label", weightCol="weight", maxIter=self.max_trees, stepSize=self.step, maxDepth=self.depth,
+            featuresCol="x", labelCol="label", weightCol="weight", maxIter=count, stepSize=self.step, maxDepth=self.depth,
             minInstancesPerNode=self.min_leaf, featureSubsetStrategy=str(self.column_share), seed=self.seed,
         )
         model = learner.fit(rows)
         self.importances = np.array(model.featureImportances.toArray())
-        scratch = Scratch(train.sparkSession, "boosted")
+        scratch = Scratch(rows.sparkSession, "boosted")
         model.write().overwrite().save(f"{scratch.root}/model")
-        nodes = train.sparkSession.read.parquet(f"{scratch.root}/model/data").select("treeID", "nodeData.*").toPandas()
+        nodes = rows.sparkSession.read.parquet(f"{scratch.root}/model/data").select("treeID", "nodeData.*").toPandas()
         trees = [_tree(part, float(w)) for (_, part), w in zip(nodes.groupby("treeID", sort=True), model.treeWeights, strict=True)]
         # Trees read few of the features: only those are sent to Python, renumbered.
         self.used = sorted({int(f) for t in trees for f in t.feature if f >= 0}) or [0]
@@ -128,10 +157,9 @@ class BoostedModel:
         for t in trees:
             t.feature = np.array([place.get(int(f), -1) for f in t.feature], np.int64)
         self.trees = trees
-        self.kept = self._best_prefix(validation)
-        return self
 
-    def _best_prefix(self, validation: DataFrame) -> int:
+    def _best_prefix(self, validation: DataFrame) -> tuple[int, bool]:
+        """(trees kept, whether patience ended the search): average precision of every prefix in one total order."""
         trees = self.trees
 
         def run(frames):
@@ -143,17 +171,21 @@ class BoostedModel:
 
         rows = validation.select(self.features(), F.col("is_fraud").cast("bigint").alias("label"))
         each = rows.mapInPandas(run, "kept bigint, margin double, label bigint").groupBy("kept", "margin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("tp"))
-        w = Window.partitionBy("kept").orderBy(F.col("margin").desc())
-        run_ = each.select("kept", "tp", F.sum("n").over(w).alias("cn"), F.sum("tp").over(w).alias("ctp"))
-        precision = {r["kept"]: r["ap"] for r in run_.groupBy("kept").agg((F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.sum("tp")).alias("ap")).collect()}
-        best, at = -1.0, 1
+        run_ = global_running(each, [F.col("kept"), F.col("margin").desc()], sums={"cn": "n", "ctp": "tp"})
+        size = validation.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_fraud").cast("bigint")).alias("p")).first()
+        # Every prefix ranks the same rows, so those of the prefixes before are whole multiples.
+        cn, ctp = F.col("cn") - (F.col("kept") - 1) * size["n"], F.col("ctp") - (F.col("kept") - 1) * size["p"]
+        found = run_.groupBy("kept").agg((F.sum(F.col("tp") * ctp / cn) / F.sum("tp")).alias("ap")).collect()
+        precision = {r["kept"]: r["ap"] for r in found}
+        best, at, ended = -1.0, 1, False
         for k in sorted(precision):
             if precision[k] > best + 1e-12:
                 best, at = precision[k], k
             elif k - at >= self.patience:
+                ended = True
                 break
         self.validation_precision = best
-        return at
+        return at, ended
 
     def features(self):
         """The used features as an array column."""

@@ -131,6 +131,15 @@ def evaluate(scored: DataFrame, *, capacity: float = CAPACITY) -> dict:
     return {"pr_auc": average_precision(scored).first()[0], **rows}
 
 
+def concatenated_scores(validation: DataFrame, test: DataFrame) -> DataFrame:
+    """Scored validation and test rows as one table; refused if the columns differ or an id is in both."""
+    if set(validation.columns) != set(test.columns):
+        raise ValueError("scores of validation and test have different columns")
+    if not validation.join(test.select("transaction_id"), "transaction_id", "left_semi").isEmpty():
+        raise ValueError("a transaction is in validation and in test")
+    return validation.unionByName(test)
+
+
 def alert_reduction(baseline_alerts: int, alerts: int) -> float:
     """Share of the baseline's alerts saved at the same recall (0 without baseline alerts)."""
     return (baseline_alerts - alerts) / baseline_alerts if baseline_alerts else 0.0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from tidegraph.operators.ordering import global_running
 from tidegraph.session import Scratch
 
-#: Distinct values up to which an exact percentile is merged in one task (some 100 MB of counts).
-DISTINCT_IN_ONE_TASK = 2_000_000
 BANDS = ("at_or_below_train_median", "train_median_to_p90", "above_train_p90")
 
 
@@ -20,40 +18,38 @@ def band(c: str, median: float, ninetieth: float) -> Column:
     return F.when(F.col(c) <= median, BANDS[0]).when(F.col(c) <= ninetieth, BANDS[1]).otherwise(BANDS[2])
 
 
-def quantiles(rows: DataFrame, column: str, *shares: float) -> list[float]:
-    """Exact quantiles with linear interpolation between neighbouring values; NULLs are left out.
+def column_quantiles(rows: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns, with linear interpolation between neighbouring values; NULLs are left out.
 
-    Few distinct values go through the built-in exact percentile, whose partial states are value
-    counts. Beyond ``DISTINCT_IN_ONE_TASK`` the counted values are put in a distributed total
-    order and the values at the wanted positions are picked from it.
+    Values are counted per column with map-side combining, the counted values of all columns are put
+    in one distributed total order, and only the values at the wanted positions come back.
     """
-    if rows.agg(F.approx_count_distinct(column)).first()[0] <= DISTINCT_IN_ONE_TASK:
-        found = rows.agg(*(F.percentile(column, s).alias(str(i)) for i, s in enumerate(shares))).first()
-        return [None if x is None else float(x) for x in found]
-    return counted_quantiles(rows, column, *shares)
-
-
-def counted_quantiles(rows: DataFrame, column: str, *shares: float) -> list[float]:
-    """The same out of a total order of the counted values."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    run = Scratch(rows.sparkSession, "quantiles").table(global_running(counts, [F.col("v")], sums={"upto": "n"}), "run")
-    total = run.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
-    if not total:
-        return [None] * len(shares)
-    places = [(total - 1) * s for s in shares]
-    wanted = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
-    hit = F.exists(F.lit(wanted), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))
-    found = sorted((r["upto"], r["v"]) for r in run.filter(hit).select("upto", "v").collect())
+    each = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in wanted))
+    counts = rows.select(F.inline(each)).filter("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(rows.sparkSession, "quantiles")
+    run = scratch.table(global_running(scratch.table(counts, "counts"), [F.col("c"), F.col("v")], sums={"upto": "n"}), "run")
+    ends = {r["c"]: (r["a"], r["b"]) for r in run.groupBy("c").agg(F.min(F.col("upto") - F.col("n")).alias("a"), F.max("upto").alias("b")).collect()}
+    places = {c: [ends[c][0] + (ends[c][1] - ends[c][0] - 1) * q for q in shares] for c, shares in wanted.items() if c in ends}
+    positions = sorted({f(p) for found in places.values() for p in found for f in (math.floor, math.ceil)})
+    hit = F.exists(F.lit(positions), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))
+    found = sorted((r["upto"], r["v"]) for r in run.filter(hit).select("upto", "v").collect()) if positions else []
     at = lambda w: next(v for upto, v in found if w < upto)
-    return [at(math.floor(p)) + (at(math.ceil(p)) - at(math.floor(p))) * (p - math.floor(p)) for p in places]
+    between = lambda p: at(math.floor(p)) + (at(math.ceil(p)) - at(math.floor(p))) * (p - math.floor(p))
+    return {c: [between(p) for p in places[c]] if c in places else [None] * len(shares) for c, shares in wanted.items()}
+
+
+def quantiles(rows: DataFrame, column: str, *shares: float) -> list[float | None]:
+    """The exact quantiles of one column."""
+    return column_quantiles(rows, {column: shares})[column]
 
 
 def slice_families(train: DataFrame, *, graph: bool = True) -> dict[str, tuple[Column, tuple[str, ...] | None]]:
     """Family -> (slice expression, its full list of slices or None where the data decide)."""
-    median, ninetieth = quantiles(train, "amount", 0.5, 0.9)
+    found = column_quantiles(train, {c: (0.5, 0.9) for c in ("amount", *(("specific_shared_transaction_count",) if graph else ()))})
+    median, ninetieth = found["amount"]
     families: dict[str, tuple[Column, tuple[str, ...] | None]] = {"amount_band": (band("amount", median, ninetieth), BANDS)}
     if graph:
-        s50, s90 = quantiles(train, "specific_shared_transaction_count", 0.5, 0.9)
+        s50, s90 = found["specific_shared_transaction_count"]
         families["specific_connectivity"] = (band("specific_shared_transaction_count", s50, s90), BANDS)
         known = ("all_specific_entities_new", "at_least_one_known_specific_entity")
         families["specific_entity_history"] = (F.when(F.col("specific_known_entity_count") == 0, known[0]).otherwise(known[1]), known)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ BROADCAST_BYTES = 32 << 20
 
 _own_folders: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_shared: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 def local_session(cores: str = "8", *, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -81,6 +83,27 @@ class Scratch:
         _delete(self.spark, f"{self.root}/{name}")
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Names, lengths and times of the files of some tables, by which a change of them is seen."""
+    found = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(p))
+    return "|".join(found)
+
+
+def shared_table(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session read: written once for the same input files, until ``clear_scratch``."""
+    key = (spark.sparkContext.applicationId, name, fingerprint(spark, *inputs))
+    if key not in _shared:
+        scratch = Scratch(spark, f"shared-{name}")
+        written = scratch.table(build(), name)
+        _shared[key] = (f"{scratch.root}/{name}", written.schema)
+    path, schema = _shared[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists, on whatever file system the path names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,6 +120,8 @@ def clear_scratch(spark: SparkSession) -> None:
 
     Results are lazy and read them, so call this once the results have been written elsewhere.
     """
+    for key in [k for k in _shared if k[0] == spark.sparkContext.applicationId]:
+        del _shared[key]
     for folder in _written.pop(spark.sparkContext.applicationId, []):
         _delete(spark, folder)
 
