@@ -14,7 +14,7 @@ from tidegraph.operators.attribution import LinearAttributor, TreeAttributor, fi
 from tidegraph.operators.encode import CombinedEncoder, GraphEncoder, TabularEncoder, audit_feature_names, long_form
 from tidegraph.operators.models import BoostedModel, LogisticModel, Tree, select_model
 from tidegraph.operators.ranking import average_precision, evaluate, review_count
-from tidegraph.operators.reasons import ReasonBuilder, reason_counts
+from tidegraph.operators.reasons import THRESHOLDS, ReasonBuilder, reason_counts
 from tidegraph.operators.rules import RulesBaseline
 from tidegraph.operators.temporal_split import assign_splits
 from tidegraph.operators.views import review_bundle
@@ -105,6 +105,26 @@ def test_boosted(parts, boosted):
         select_model({"a": 0.9, "b": 0.1}, "b")
 
 
+def test_boosting_stages_are_one_search(parts):
+    """Trees grown in doubling stages keep the prefix that all trees at once give."""
+    settings = dict(max_trees=24, depth=2, patience=3, step=0.2)
+    staged = BoostedModel(**settings).fit(parts["train"], parts["validation"])
+    whole = BoostedModel(**settings)
+    grow = BoostedModel._grow
+    whole._grow = lambda rows, _: grow(whole, rows, 24)
+    whole.fit(parts["train"], parts["validation"])
+    assert len(staged.trees) < 24 == len(whole.trees) or staged.kept + 3 > 12
+    assert (staged.kept, staged.validation_precision) == (whole.kept, pytest.approx(whole.validation_precision))
+    assert BoostedModel().max_trees == 400 and BoostedModel().step == 0.03 and BoostedModel().patience == 40
+
+
+def test_logistic_optimum(parts):
+    model = LogisticModel().fit(parts["train"])
+    assert model.slope(parts["train"]) < 1e-5
+    model.coefficients = model.coefficients + 0.1
+    assert model.slope(parts["train"]) > 1e-3
+
+
 def brute_shapley(f, x, background):
     m = len(x)
     value = lambda s: np.mean([f(np.where([i in s for i in range(m)], x, z)[None])[0] for z in background])
@@ -140,13 +160,16 @@ def test_attribution_and_reasons(spark, parts, boosted):
     top = global_importance(explained, boosted.encoder.names, 5).collect()
     assert len(top) == 5 and top[0].importance >= top[-1].importance >= 0
     builder = ReasonBuilder().fit(parts["train"])
-    art = builder.artifact(explained, boosted.encoder.names)
-    assert art["status"] == "PASS" and art["review_count"] == review_count(84, 0.05) == 5
-    for a in art["alerts"]:
+    summary, alerts = builder.artifact(explained, boosted.encoder.names)
+    art = summary.first()
+    assert art.status == "PASS" and art.review_count == review_count(84, 0.05) == 5 and len(art.gates) == 7 and all(art.gates.values())
+    assert alerts.count() == 5 and art.capacity_tie_audit.tie_break_rule and art.disclaimer and set(art.thresholds) == set(THRESHOLDS)
+    for a in alerts.collect():
         gained = [r["contribution"] for r in a["reasons"]]
-        assert 1 <= len(gained) <= 3 and gained == sorted(gained, reverse=True)
-    alerts = builder.alerts(explained, boosted.encoder.names)
-    assert reason_counts(alerts).count() == len(art["reason_code_counts"])
+        assert 1 <= len(gained) <= 3 and gained == sorted(gained, reverse=True) and all(r["detail"] and r["title"] for r in a["reasons"])
+    assert dict(reason_counts(alerts).collect()) == art.reason_code_counts
+    twice = builder.artifact(explained.unionByName(explained), boosted.encoder.names)[0].first()
+    assert twice.status == "FAIL" and not twice.gates["transaction_ids_unique"]
     features = {"graph": (parts["test"], ["specific_max_entity_degree"])}
     bundle = review_bundle(alerts, parts["test"].select("transaction_id", "amount", "is_fraud"), features, 5)
     assert "is_fraud" not in bundle.columns and bundle.count() == 5

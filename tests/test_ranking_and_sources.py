@@ -15,7 +15,7 @@ from tidegraph.operators.asof import degree_features, entity_edges
 from tidegraph.operators.attach import align_scores, attach_features, one_to_one_left
 from tidegraph.operators.quality import feature_audit, id_set_difference, quality_profile, times_non_decreasing, validate_transactions, violations
 from tidegraph.operators.rules import RulesBaseline
-from tidegraph.operators.slices import BANDS, exhaustive_gates, slice_families, slice_summary
+from tidegraph.operators.slices import BANDS, column_quantiles, exhaustive_gates, quantiles, slice_families, slice_summary
 from tidegraph.operators.temporal_split import assign_splits
 from tidegraph.operators.views import alerts_with_reason, connection_summary, connection_view, contains_target_key, masked, require_target_free, target_fields
 from tidegraph.schema import CANONICAL_SCHEMA, LABEL_FEATURES, DataValidationError
@@ -279,10 +279,11 @@ def test_views_against_brute_force(spark):
         assert summary[r["transaction_id"]].historical_neighbour_count == len(near)
 
 
-def test_counted_quantiles(spark):
-    from tidegraph.operators.slices import counted_quantiles, quantiles
-
-    df = spark.createDataFrame([(float(v),) for v in (5, 1, 1, 9, 2, 2, 7)] + [(None,)], "v double")
+def test_quantiles(spark):
+    values = (5, 1, 1, 9, 2, 2, 7)
+    df = spark.createDataFrame([(float(v), v * 10) for v in values] + [(None, 4)], "v double, w int")
     shares = (0.0, 0.1, 0.5, 0.9, 0.95, 1.0)
-    assert counted_quantiles(df, "v", *shares) == pytest.approx(quantiles(df, "v", *shares))
-    assert counted_quantiles(df.limit(0), "v", 0.5) == [None] == quantiles(df.limit(0), "v", 0.5)
+    assert quantiles(df, "v", *shares) == pytest.approx(list(np.quantile(values, shares)))
+    both = column_quantiles(df.withColumn("none", F.lit(None).cast("double")), {"w": (0.5,), "v": shares, "none": (0.5,)})
+    assert both == {"w": [pytest.approx(np.quantile([4, *(10 * v for v in values)], 0.5))], "v": pytest.approx(list(np.quantile(values, shares))), "none": [None]}
+    assert quantiles(df.limit(0), "v", 0.5) == [None]

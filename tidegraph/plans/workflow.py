@@ -18,7 +18,7 @@ from tidegraph.operators.reasons import ReasonBuilder
 from tidegraph.operators.rules import RulesBaseline
 from tidegraph.operators.slices import exhaustive_gates, slice_families, slice_summary
 from tidegraph.operators.temporal_split import assign_splits
-from tidegraph.operators.views import connection_summary, connection_view, require_target_free
+from tidegraph.operators.views import connection_summary, connection_view, require_target_free, review_bundle
 from tidegraph.plans.pipeline import Settings, structural_features
 from tidegraph.schema import STRUCTURAL_FEATURES
 from tidegraph.sources import sinks
@@ -45,6 +45,9 @@ def features(spark: SparkSession, folder: str, settings: Settings = Settings())
         "graph": graph_statistics(rows, edges).first().asDict(), "integrity": integrity_audit(rows, edges).first().asDict(),
         "replay": replay_audit(rows).first().asDict(), "features": feature_audit(written, rows, STRUCTURAL_FEATURES).first().asDict(),
     }
+    gates = [v for part in ("integrity",) for v in audit[part].values() if isinstance(v, bool)]
+    clean = audit["features"]["rows_not_finite"] == audit["features"]["rows_negative"] == 0 and audit["features"]["equal_sets"]
+    audit["status"] = "PASS" if all(gates) and clean else "FAIL"
     sinks.write_json(audit, f"{folder}/feature_audit.json")
     return audit
 
@@ -64,7 +67,7 @@ def _models(parts: dict[str, DataFrame], settings: Settings, trees: int) -> dict
     }
 
 
-def evaluate(spark: SparkSession, folder: str, settings: Settings = Settings(), *, trees: int = 40) -> dict[str, Any]:
+def evaluate(spark: SparkSession, folder: str, settings: Settings = Settings(), *, trees: int = BoostedModel.max_trees) -> dict[str, Any]:
     """Fits on train, chooses on validation, reports on test; writes ``metrics.json`` and the test scores.
 
     Thresholds come from validation at capacity. Each model is also compared with the rules at the
@@ -75,12 +78,14 @@ def evaluate(spark: SparkSession, folder: str, settings: Settings = Settings(),
     models = _models(parts, settings, trees)
     scorers = {"rules": rules.rate, **{n: m.score for n, m in models.items()}}
     out: dict[str, Any] = {"models": {}}
-    scored = {}
+    scored, listed = {}, None
     for name, score in scorers.items():
         validation, test = score(parts["validation"]), score(parts["test"])
         n_validation, _ = ranking.check_scores(validation)
         threshold = ranking.threshold_at_capacity(ranking.ranked(validation), n_validation, settings.capacity)
         scored[name] = test
+        both = ranking.concatenated_scores(validation, test).select("transaction_id", "transaction_time", "split", "is_fraud", F.col("score").alias(f"{name}_score"))
+        listed = both if listed is None else listed.join(both.select("transaction_id", f"{name}_score"), "transaction_id")
         out["models"][name] = {
             "validation_pr_auc": ranking.average_precision(validation).first()[0], "test": ranking.evaluate(test, capacity=settings.capacity),
             "at_validation_threshold": ranking.threshold_metrics(test, threshold).first().asDict(),
@@ -104,11 +109,13 @@ def evaluate(spark: SparkSession, folder: str, settings: Settings = Settings(),
     shown = ["kind", "transaction_id", "amount", "product_code", "specific_shared_transaction_count", "matured_neighbor_fraud_ratio", "score"]
     out["worst_cases"] = [r.asDict() for r in ranking.worst_cases(rank, n, settings.capacity).select(*shown).collect()]
     sinks.write_table(rank.select("transaction_id", "transaction_time", "score", "rank"), f"{folder}/test_scores")
+    sinks.write_table(listed, f"{folder}/scores")
     sinks.write_json(out, f"{folder}/metrics.json")
+    sinks.write_text(sinks.evaluation_report(out), f"{folder}/evaluation.md")
     return out
 
 
-def explain(spark: SparkSession, folder: str, settings: Settings = Settings(), *, model: str = "graph_boosted", trees: int = 40) -> dict[str, Any]:
+def explain(spark: SparkSession, folder: str, settings: Settings = Settings(), *, model: str = "graph_boosted", trees: int = BoostedModel.max_trees) -> dict[str, Any]:
     """Alerts with reasons, importance and target-free local views of the test rows; writes ``alerts.json``."""
     parts = _attached(spark, folder)
     train, test = parts["train"], parts["test"]
@@ -126,12 +133,18 @@ def explain(spark: SparkSession, folder: str, settings: Settings = Settings(), *
     if audit["status"] != "PASS":
         raise RuntimeError(f"attributions do not add up: {audit}")
     names = fitted.encoder.names
-    art = ReasonBuilder().fit(train).artifact(explained, names, capacity=settings.capacity, max_reasons=settings.max_reasons)
-    art |= {"model": model, "fidelity": audit, "importance": [r.asDict() for r in global_importance(explained, names).collect()]}
+    summary, alerts = ReasonBuilder().fit(train).artifact(explained, names, model=model, capacity=settings.capacity, max_reasons=settings.max_reasons)
+    sinks.write_table(alerts, f"{folder}/alerts")
+    alerts = spark.read.parquet(f"{folder}/alerts")
+    art = summary.first().asDict(recursive=True) | {"fidelity": audit, "importance": [r.asDict() for r in global_importance(explained, names).collect()]}
     sinks.write_json(art, f"{folder}/alerts.json")
+    sinks.write_text(sinks.alert_report(art, alerts), f"{folder}/alerts.md")
     safe = spark.read.parquet(f"{folder}/transactions").drop("is_fraud")
     require_target_free(safe)
-    chosen = spark.createDataFrame([(a["transaction_id"],) for a in art["alerts"]], "transaction_id string")
+    chosen = alerts.select("transaction_id")
     sinks.write_table(connection_view(safe, chosen), f"{folder}/connection_views")
     sinks.write_table(connection_summary(safe, chosen), f"{folder}/connection_summaries")
+    structural, labels = (spark.read.parquet(f"{folder}/{t}") for t in ("graph_features", "label_history_features"))
+    columns = ("specific_shared_transaction_count", "specific_max_component_transactions", "specific_max_entity_degree")
+    sinks.write_table(review_bundle(alerts, safe, {"graph": (structural, columns), "labels": (labels, ("matured_neighbor_fraud_ratio",))}, art["review_count"]), f"{folder}/review")
     return art
