@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,24 +11,24 @@ from pyspark.sql import functions as F
 from tidegraph.functions.normal import normal_form
 from tidegraph.operators import ranking
 from tidegraph.operators.asof import degree_features, matured_labels, shared_transactions
-from tidegraph.operators.attach import attach_features, one_to_one_left
-from tidegraph.operators.attribution import LinearAttributor, TreeAttributor, fidelity_audit, global_importance
+from tidegraph.operators.attach import align_scores, one_to_one_left
+from tidegraph.operators.attribution import FIDELITY, LinearAttributor, TreeAttributor, fidelity_audit, global_importance
 from tidegraph.operators.components import component_features
 from tidegraph.operators.encode import GraphEncoder, TabularEncoder, long_form
 from tidegraph.operators.link_graph import build_edges, graph_statistics, integrity_audit, node_components, replay_audit, serialised_edges, serialised_nodes, type_counts
-from tidegraph.operators.models import BoostedModel, LogisticModel
+from tidegraph.operators.models import BoostedModel, LogisticModel, select_model
 from tidegraph.operators.ordering import global_running, time_batches
 from tidegraph.operators.projection import clustering_features, pagerank_features, projection_edges
 from tidegraph.operators.quality import entity_profile, feature_audit, id_set_difference, quality_profile, split_profile, times_non_decreasing, value_counts, violations
-from tidegraph.operators.reasons import ReasonBuilder
+from tidegraph.operators.reasons import ACTION, ReasonBuilder
 from tidegraph.operators.rules import RulesBaseline
-from tidegraph.operators.slices import quantiles, slice_families, slice_summary
+from tidegraph.operators.slices import column_quantiles, exhaustive_gates, slice_families, slice_summary
 from tidegraph.operators.temporal_split import assign_splits
-from tidegraph.operators.views import connection_summary, connection_view, masked_entities
+from tidegraph.operators.views import alerts_with_reason, connection_summary, connection_view, masked_entities, review_bundle
 from tidegraph.plans import reference_sql as sql
-from tidegraph.plans.pipeline import Settings, builder_audit
-from tidegraph.schema import CANONICAL_COLUMNS, ENTITY_TYPES, LABEL_FEATURES, MODEL_GRAPH_FEATURES, SPECIFIC_TYPES
-from tidegraph.session import Scratch
+from tidegraph.plans.pipeline import Settings, builder_audit, model_table
+from tidegraph.schema import CANONICAL_COLUMNS, ENTITY_TYPES, LABEL_FEATURES, MODEL_GRAPH_FEATURES, SPECIFIC_TYPES, SPLITS, STRUCTURAL_FEATURES
+from tidegraph.session import Scratch, fingerprint, path_exists, shared_table
 from tidegraph.sources.canonical import canonical_payments
 from tidegraph.sources.sinks import manifest
 from tidegraph.sources.tables import current_transactions, table
@@ -35,13 +36,17 @@ from tidegraph.sources.two_file import entity_key
 from tidegraph.streaming.degrees import stream_activity
 
 
+def _shared(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame], *more: str) -> DataFrame:
+    """A table made from a folder's input tables, written once a session for all queries."""
+    return shared_table(spark, name, [f"{d}/{t}.parquet" for t in ("transactions", *more)], build)
+
+
 def _pay(spark: SparkSession, d: str) -> DataFrame:
-    """The canonical payments, written once per query that reads them more than once."""
-    return Scratch(spark, "pay").table(canonical_payments(spark, d), "pay")
+    return _shared(spark, d, "pay", lambda: canonical_payments(spark, d))
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return assign_splits(_pay(spark, d))
+    return _shared(spark, d, "split", lambda: assign_splits(_pay(spark, d)))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -70,7 +75,7 @@ def w3_batch_number(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t1_causal_order(spark: SparkSession, d: str) -> DataFrame:
-    return global_running(canonical_payments(spark, d).select("transaction_id", "transaction_time"), [F.col("transaction_time"), F.col("transaction_id")]).select("transaction_id", "position")
+    return global_running(_pay(spark, d).select("transaction_id", "transaction_time"), [F.col("transaction_time"), F.col("transaction_id")]).select("transaction_id", "position")
 
 
 def a1_split_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -78,16 +83,19 @@ def a1_split_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a2_entity_profile(spark: SparkSession, d: str) -> DataFrame:
-    return entity_profile(canonical_payments(spark, d))
+    return entity_profile(_pay(spark, d))
 
 
 def a3_value_counts(spark: SparkSession, d: str) -> DataFrame:
-    return value_counts(canonical_payments(spark, d), "product_code")
+    return value_counts(_pay(spark, d), "product_code")
 
 
 def a4_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return _split(spark, d).groupBy("split").agg(*(F.round(F.percentile("amount", q), 6).alias(n) for n, q in shares.items()))
+    """Percentiles of the amount per split; a split without rows has none."""
+    rows, shares = _split(spark, d), {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    found = column_quantiles(rows.select(*(F.when(F.col("split") == s, F.col("amount")).alias(s) for s in SPLITS)), {s: tuple(shares.values()) for s in SPLITS})
+    listed = [(s, *(round(x, 6) for x in v)) for s, v in found.items() if v[0] is not None]
+    return spark.createDataFrame(listed, "split string, " + ", ".join(f"{n} double" for n in shares))
 
 
 def a5_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +113,7 @@ def v8_replay_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u2_id_sets(spark: SparkSession, d: str) -> DataFrame:
-    return id_set_difference(table(spark, d, "graph_features").select("transaction_id").distinct(), canonical_payments(spark, d))
+    return id_set_difference(table(spark, d, "graph_features").select("transaction_id").distinct(), _pay(spark, d))
 
 
 # --- graph ----------------------------------------------------------------------------------------
@@ -140,11 +148,11 @@ def s9_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g2_degree_asof(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(degree_features(canonical_payments(spark, d)), "graph_mean_entity_degree", "specific_mean_entity_degree")
+    return _rounded(degree_features(_pay(spark, d)), "graph_mean_entity_degree", "specific_mean_entity_degree")
 
 
 def g4_projection(spark: SparkSession, d: str) -> DataFrame:
-    return projection_edges(canonical_payments(spark, d))
+    return projection_edges(_pay(spark, d))
 
 
 def g6_components_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -175,27 +183,31 @@ def g11_builder_audit(spark: SparkSession, d: str) -> DataFrame:
     return builder_audit(_pay(spark, d))
 
 
+def _attached(spark: SparkSession, d: str) -> DataFrame:
+    """Split rows with all 26 structural and 3 label features computed and attached."""
+    return _shared(spark, d, "attached", lambda: model_table(_split(spark, d)))
+
+
 def j2_attached(spark: SparkSession, d: str) -> DataFrame:
-    rows = Scratch(spark, "split").table(_split(spark, d), "split")
-    degrees = degree_features(rows)
-    columns = ["specific_known_entity_count", "specific_max_entity_degree"]
-    both = attach_features(rows, degrees, matured_labels(rows), columns)
-    return both.select("transaction_id", "transaction_time", *columns, "matured_neighbor_label_count", "matured_neighbor_fraud_count")
+    """The full causal feature table."""
+    ratios = [c for c, t in _attached(spark, d).select(*STRUCTURAL_FEATURES, *LABEL_FEATURES).dtypes if t == "double"]
+    return _rounded(_attached(spark, d).select("transaction_id", "transaction_time", *STRUCTURAL_FEATURES, *LABEL_FEATURES), *ratios)
 
 
 def a6_split_feature_means(spark: SparkSession, d: str) -> DataFrame:
-    rows = _split(spark, d)
-    both = rows.select("transaction_id", "split").join(degree_features(rows), "transaction_id")
-    return both.groupBy("split").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("graph_entity_count", "graph_sum_entity_degree", "specific_max_entity_degree")))
+    """Means of the published features per split, over the features as delivered."""
+    published = (
+        "graph_shared_transaction_count", "specific_shared_transaction_count", "specific_max_entity_degree", "specific_max_component_transactions",
+        "specific_max_pagerank", "specific_max_clustering",
+    )
+    return _modelled(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), *(F.round(F.avg(c), 6).alias(c) for c in published))
 
 
 def a7_label_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    rows = _split(spark, d)
-    late = rows.filter(F.col("split").isin("validation", "test")).select("transaction_id", "is_fraud")
-    both = late.join(degree_features(rows), "transaction_id")
-    return both.groupBy(F.col("is_fraud").cast("int").alias("is_fraud")).agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.avg("specific_max_entity_degree"), 6).alias("mean_specific_max_degree"), F.round(F.avg("specific_known_entity_count"), 6).alias("mean_specific_known")
-    )
+    """Means of three features per label on validation and test rows."""
+    late = _modelled(spark, d).filter(F.col("split").isin("validation", "test"))
+    published = ("specific_shared_transaction_count", "specific_max_entity_degree", "specific_max_component_transactions")
+    return late.groupBy(F.col("is_fraud").cast("int").alias("is_fraud")).agg(F.count(F.lit(1)).alias("rows"), *(F.round(F.avg(c), 6).alias(c) for c in published))
 
 
 # --- rules score and ranking ----------------------------------------------------------------------
@@ -203,13 +215,13 @@ def a7_label_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     rows = _split(spark, d)
-    return RulesBaseline().fit(rows.filter("split = 'train'")).rate(rows)
+    return _shared(spark, d, "rated", lambda: RulesBaseline().fit(rows.filter("split = 'train'")).rate(rows))
 
 
 def _test(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int, int]:
-    scored = Scratch(spark, "test").table(_rated(spark, d).filter("split = 'test'"), "scored")
+    scored = _rated(spark, d).filter("split = 'test'")
     n, p = ranking.check_scores(scored)
-    return scored, ranking.ranked(scored), n, p
+    return scored, _shared(spark, d, "ranked", lambda: ranking.ranked(scored)), n, p
 
 
 def m2_rule_score(spark: SparkSession, d: str) -> DataFrame:
@@ -260,11 +272,27 @@ def e5_min_alerts(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ranking.minimum_alerts(rank, n, p, [0.25, 0.375, 0.5]), "alert_fraction")
 
 
+def _slices(spark: SparkSession, d: str) -> tuple[DataFrame, int, int, int]:
+    _, rank, n, p = _test(spark, d)
+    rows = _modelled(spark, d)
+    extra = rows.select("transaction_id", "specific_shared_transaction_count", "specific_known_entity_count", "matured_neighbor_label_count", "matured_neighbor_fraud_count")
+    k = ranking.review_count(n, 0.05)
+    return slice_summary(rank.join(extra, "transaction_id"), slice_families(rows.filter("split = 'train'")), k), n, k, p
+
+
 def a11_error_slices(spark: SparkSession, d: str) -> DataFrame:
-    rows = _split(spark, d)
-    families = slice_families(rows.filter("split = 'train'"), graph=False)
-    _, rank, n, _ = _test(spark, d)
-    return _rounded(slice_summary(rank, families, ranking.review_count(n, 0.05)), "fraud_prevalence", "mean_score", "precision", "recall_within_slice")
+    """All five families, empty slices kept."""
+    return _rounded(_slices(spark, d)[0], "fraud_prevalence", "mean_score", "precision", "recall_within_slice")
+
+
+def a11_slice_gates(spark: SparkSession, d: str) -> DataFrame:
+    return exhaustive_gates(*_slices(spark, d))
+
+
+def u1_scored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Validation and test rows with their rule scores, one below the other."""
+    rated = _rated(spark, d).select("transaction_id", "transaction_time", "split", "is_fraud", "score", "reasons")
+    return ranking.concatenated_scores(rated.filter("split = 'validation'"), rated.filter("split = 'test'"))
 
 
 # --- views ----------------------------------------------------------------------------------------
@@ -289,64 +317,166 @@ def g13_masked_entities(spark: SparkSession, d: str) -> DataFrame:
     return masked_entities(*_alerts(spark, d))
 
 
+def j4_review_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of the rules with transaction and feature columns: checked joins, no target at any depth."""
+    _, rank, n, _ = _test(spark, d)
+    k = ranking.review_count(n, 0.05)
+    top = rank.filter(F.col("rank") <= k)
+    alerts = top.select("transaction_id", "rank", (F.col("score") / 4).alias("risk_score"), F.lit(ACTION).alias("recommended_action"), F.split("reasons", ";").alias("reasons"))
+    rows = _modelled(spark, d)
+    columns = ("specific_shared_transaction_count", "specific_max_component_transactions", "specific_max_entity_degree")
+    features = {"graph": (rows, columns), "labels": (rows, ("matured_neighbor_fraud_ratio",))}
+    bundle = review_bundle(Scratch(spark, "j4").table(alerts, "alerts"), rows.select("transaction_id", "transaction_time", "amount", "product_code", "is_fraud"), features, k)
+    ratio = F.round("matured_neighbor_fraud_ratio", 6).alias("matured_neighbor_fraud_ratio")
+    return bundle.select("transaction_id", "rank", "risk_score", "recommended_action", F.array_join("reasons", ",").alias("reason_codes"), "transaction_time", "amount", "product_code", *columns, ratio)
+
+
+def rc_alerts_with_code(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts that carry one reason code, by exact membership."""
+    alerts = j4_review_bundle(spark, d).select("transaction_id", "rank", F.split("reason_codes", ",").alias("reason_codes"))
+    return alerts_with_reason(alerts, "device_unseen_in_training").select("transaction_id", "rank")
+
+
 # --- models and explanations ----------------------------------------------------------------------
 
 
 def _modelled(spark: SparkSession, d: str) -> DataFrame:
     """Split rows with the delivered graph features and matured labels (each transaction once, clean numbers)."""
-    scratch = Scratch(spark, "modelled")
-    rows = scratch.table(_split(spark, d), "rows")
-    given = [c for c in MODEL_GRAPH_FEATURES if c not in LABEL_FEATURES]
-    number = lambda c: F.when((F.col(c) >= 0) & ~F.isnan(F.col(c).cast("double")), F.col(c))
-    features = table(spark, d, "graph_features").select("transaction_id", *(F.coalesce(number(c), F.lit(0)).alias(c) for c in given)).dropDuplicates(["transaction_id"])
-    both = rows.join(features, "transaction_id", "left").na.fill(0, given).join(matured_labels(rows).drop("transaction_time"), "transaction_id")
-    return scratch.table(both, "modelled")
+
+    def build() -> DataFrame:
+        rows = _split(spark, d)
+        given = [c for c in MODEL_GRAPH_FEATURES if c not in LABEL_FEATURES]
+        number = lambda c: F.when((F.col(c) >= 0) & ~F.isnan(F.col(c).cast("double")), F.col(c))
+        features = table(spark, d, "graph_features").select("transaction_id", *(F.coalesce(number(c), F.lit(0)).alias(c) for c in given)).dropDuplicates(["transaction_id"])
+        return rows.join(features, "transaction_id", "left").na.fill(0, given).join(matured_labels(rows).drop("transaction_time"), "transaction_id")
+
+    return _shared(spark, d, "modelled", build, "graph_features")
 
 
-def _logistic(train: DataFrame, *, graph: bool = False) -> LogisticModel:
+_fits: dict[tuple[str, ...], LogisticModel | BoostedModel] = {}
+
+
+def _fitted(spark: SparkSession, d: str, name: str, fit: Callable[[], LogisticModel | BoostedModel]):
+    """A model fitted once a session for the same input files; models are a few numbers on the driver."""
+    if not path_exists(spark, f"{d}/transactions.parquet"):
+        return fit()
+    key = (spark.sparkContext.applicationId, name, fingerprint(spark, f"{d}/transactions.parquet", f"{d}/graph_features.parquet"))
+    if key not in _fits:
+        _fits[key] = fit()
+    return _fits[key]
+
+
+def _logistic(spark: SparkSession, d: str, rows: DataFrame, *, graph: bool = False) -> LogisticModel:
     """The operator's own fit; a model that stopped at the bound of its iterations is refused."""
-    model = LogisticModel(graph=graph).fit(train)
+    model = _fitted(spark, d, f"logistic-{graph}", lambda: LogisticModel(graph=graph).fit(rows.filter("split = 'train'")))
     if not model.converged:
         raise RuntimeError(f"the logistic fit did not converge in {model.iterations} iterations")
     return model
 
 
+def _boosted(spark: SparkSession, d: str, rows: DataFrame) -> BoostedModel:
+    return _fitted(spark, d, "boosted", lambda: BoostedModel().fit(rows.filter("split = 'train'"), rows.filter("split = 'validation'")))
+
+
 def m7_logistic_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _modelled(spark, d)
-    model = _logistic(rows.filter("split = 'train'"), graph=True)
-    return model.score(rows.filter("split = 'test'")).select("transaction_id", "score")
+    return _logistic(spark, d, rows, graph=True).score(rows.filter("split = 'test'")).select("transaction_id", "score")
+
+
+def m8_logistic_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The fit of both logistic models: features, whether it converged to a point without slope, and below the loss of no model."""
+    rows = _modelled(spark, d)
+    out = []
+    for name, graph in (("tabular_logistic", False), ("graph_logistic", True)):
+        model = _logistic(spark, d, rows, graph=graph)
+        flat = model.slope(rows.filter("split = 'train'")) < 1e-4
+        out.append((name, len(model.encoder.names), bool(model.converged), bool(flat), bool(0 < model.training_loss < math.log(2.0))))
+    return spark.createDataFrame(out, "model string, features bigint, converged boolean, slope_is_zero boolean, loss_below_no_model boolean")
 
 
 def m9_boosted_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _modelled(spark, d)
-    model = BoostedModel().fit(rows.filter("split = 'train'"), rows.filter("split = 'validation'"))
-    return model.score(rows.filter("split = 'test'")).select("transaction_id", "margin", "score")
+    return _boosted(spark, d, rows).score(rows.filter("split = 'test'")).select("transaction_id", "margin", "score")
+
+
+def m10_importances(spark: SparkSession, d: str) -> DataFrame:
+    """One row about the boosted model's gains: how many features, all not negative, adding up to one, strongest first."""
+    model = _boosted(spark, d, _modelled(spark, d))
+    every, top = model.strongest(len(model.encoder.names)), model.strongest()
+    values = [v for _, v in every]
+    row = (len(every), len(top), bool(min(values) >= 0), abs(sum(values) - 1) < 1e-9, values == sorted(values, reverse=True), {n for n, _ in top} <= set(model.encoder.names))
+    return spark.createDataFrame([row], "features bigint, shown bigint, none_negative boolean, add_up_to_one boolean, strongest_first boolean, names_known boolean")
+
+
+def m11_selection(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the model chosen on validation is the one that ranks best there."""
+    rows = _modelled(spark, d)
+    models = {"graph_logistic": _logistic(spark, d, rows, graph=True), "graph_boosted": _boosted(spark, d, rows)}
+    precision = {n: ranking.average_precision(m.score(rows.filter("split = 'validation'"))).first()[0] for n, m in models.items()}
+    best = select_model(precision)
+    return spark.createDataFrame([(len(models), bool(precision[best] == max(precision.values())))], "candidates bigint, chosen_is_best boolean")
+
+
+def m12_score_reproduction(spark: SparkSession, d: str) -> DataFrame:
+    """One row: written scores of the test rows against scores computed again, within 1e-12."""
+    rows = _modelled(spark, d).filter("split = 'test'")
+    model = _logistic(spark, d, _modelled(spark, d), graph=True)
+    written = Scratch(spark, "m12").table(model.score(rows).select("transaction_id", F.col("score").alias("written")), "scores")
+    both = align_scores(written, model.score(rows).select("transaction_id", "score"), 1e-12, "written")
+    return both.agg(F.count(F.lit(1)).alias("rows"), (F.max(F.abs(F.col("score") - F.col("written"))) <= 1e-12).alias("reproduced"))
 
 
 def m13_linear_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Both logistic models' attributions rebuild the log-odds of every test row."""
+    rows, parts = _modelled(spark, d), []
+    for name, graph in (("tabular_logistic", False), ("graph_logistic", True)):
+        explained = LinearAttributor().fit(_logistic(spark, d, rows, graph=graph), rows.filter("split = 'train'")).explain(rows.filter("split = 'test'"))
+        parts.append(fidelity_audit(explained).select(F.lit(name).alias("model"), "explained_rows", (F.col("maximum_error") <= FIDELITY).alias("adds_up"), "all_finite", "status"))
+    return parts[0].unionByName(parts[1])
+
+
+def _explained(spark: SparkSession, d: str) -> tuple[DataFrame, BoostedModel]:
     rows = _modelled(spark, d)
-    train = rows.filter("split = 'train'")
-    return fidelity_audit(LinearAttributor().fit(_logistic(train), train).explain(rows.filter("split = 'test'")))
+    model = _boosted(spark, d, rows)
+    explain = lambda: TreeAttributor().fit(model, rows.filter("split = 'train'")).explain(rows.filter("split = 'test'"))
+    return _shared(spark, d, "explained", explain, "graph_features"), model
+
+
+def m14_tree_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """The boosted model's attributions rebuild the log-odds of every test row."""
+    audit = fidelity_audit(_explained(spark, d)[0])
+    return audit.select("explained_rows", (F.col("maximum_error") <= FIDELITY).alias("adds_up"), "all_finite", "status")
 
 
 def m16_alert_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = _modelled(spark, d)
-    train = rows.filter("split = 'train'")
-    model = BoostedModel().fit(train, rows.filter("split = 'validation'"))
-    explained = Scratch(spark, "explained").table(TreeAttributor().fit(model, train).explain(rows.filter("split = 'test'")), "explained")
-    return ReasonBuilder().fit(train).alerts(explained, model.encoder.names)
+    explained, model = _explained(spark, d)
+    return ReasonBuilder().fit(_modelled(spark, d).filter("split = 'train'")).alerts(explained, model.encoder.names)
+
+
+def m17_alert_artifact(spark: SparkSession, d: str) -> DataFrame:
+    """The artifact's status, gates and counts; the alerts themselves are a table."""
+    explained, model = _explained(spark, d)
+    summary, alerts = ReasonBuilder().fit(_modelled(spark, d).filter("split = 'train'")).artifact(explained, model.encoder.names)
+    gates = [F.col("gates")[g].alias(g) for g in (
+        "alert_count_matches_capacity", "transaction_ids_unique", "every_alert_has_reason", "reason_codes_known", "positive_contributions_only", "target_fields_absent", "review_only_action",
+    )]
+    ranks = alerts.agg(F.count(F.lit(1)).alias("alerts"), (F.max("rank") == F.count(F.lit(1))).alias("ranks_complete"), F.bool_and(F.size("reasons").between(1, 3)).alias("one_to_three_reasons"))
+    one = summary.select("status", "review_count", *gates, F.col("capacity_tie_audit.tie_break_rule").alias("tie_break_rule"), F.lit(1).alias("__one"))
+    return one.join(F.broadcast(ranks.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
 def a12_global_importance(spark: SparkSession, d: str) -> DataFrame:
     rows = _modelled(spark, d)
-    train = rows.filter("split = 'train'")
-    model = _logistic(train, graph=True)
-    return global_importance(LinearAttributor().fit(model, train).explain(rows.filter("split = 'test'")), model.encoder.names)
+    model = _logistic(spark, d, rows, graph=True)
+    return global_importance(LinearAttributor().fit(model, rows.filter("split = 'train'")).explain(rows.filter("split = 'test'")), model.encoder.names)
 
 
 def f9_event_properties(spark: SparkSession, d: str) -> DataFrame:
-    """JSON access and guarded arithmetic over the events table."""
-    events = table(spark, d, "events").select("event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    """Nested JSON written and read back, with guarded access to a property, over the events table."""
+    nested = F.to_json(F.struct("event_id", F.struct("event_type", "value").alias("what"), F.from_json("props", "map<string,string>").alias("props")))
+    documents = Scratch(spark, "f9").table(table(spark, d, "events").select(nested.alias("j")), "documents")
+    back = documents.select(F.from_json("j", "event_id bigint, what struct<event_type:string,value:double>, props map<string,string>").alias("e"))
+    events = back.select("e.what.event_type", "e.what.value", F.try_element_at("e.props", F.lit("k")).cast("bigint").alias("k"))
     return events.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -379,17 +509,20 @@ def e1_score_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e7_alert_reduction(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts at two recalls and what the lower one saves."""
+    """Alerts that the rules and a ranking by matured fraud neighbours need for some recalls, and what the latter saves."""
     _, rank, n, p = _test(spark, d)
-    found = {r["target_recall"]: r["alert_count"] for r in ranking.minimum_alerts(rank, n, p, [0.25, 0.5]).collect()}
-    rows = [(r, a, round(ranking.alert_reduction(found[0.5], a), 6)) for r, a in found.items()]
-    return spark.createDataFrame(rows, "target_recall double, alert_count bigint, reduction_from_half double")
+    other = _modelled(spark, d).filter("split = 'test'").withColumn("score", F.col("matured_neighbor_fraud_ratio"))
+    recalls = [0.25, 0.375, 0.5]
+    base = {r["target_recall"]: r["alert_count"] for r in ranking.minimum_alerts(rank, n, p, recalls).collect()}
+    found = {r["target_recall"]: r["alert_count"] for r in ranking.minimum_alerts(ranking.ranked(other), n, p, recalls).collect()}
+    rows = [(r, base[r], found[r], round(ranking.alert_reduction(base[r], found[r]), 6)) for r in recalls]
+    return spark.createDataFrame(rows, "target_recall double, rules_alerts bigint, neighbour_alerts bigint, alert_reduction double")
 
 
 def v4_feature_audit(spark: SparkSession, d: str) -> DataFrame:
-    pay = _pay(spark, d)
-    features = Scratch(spark, "v4").table(degree_features(pay), "features")
-    return feature_audit(features, pay, features.columns[2:])
+    """The audit of all 26 delivered features, PageRank and clustering bounds included, against the transactions."""
+    features = table(spark, d, "graph_features").select("transaction_id", "transaction_time", *STRUCTURAL_FEATURES)
+    return feature_audit(features, _pay(spark, d), STRUCTURAL_FEATURES)
 
 
 def w10_time_order(spark: SparkSession, d: str) -> DataFrame:
@@ -401,21 +534,17 @@ def w7_cumulative_positives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m5_graph_encoding(spark: SparkSession, d: str) -> DataFrame:
-    """Standardised logs of as-of degrees, fitted on the training rows."""
-    rows = _split(spark, d)
-    both = Scratch(spark, "m5").table(rows.select("transaction_id", "split").join(degree_features(rows), "transaction_id"), "both")
-    encoder = GraphEncoder(features=("historical_card_degree", "historical_device_degree", "graph_new_entity_count", "specific_max_entity_degree")).fit(both.filter("split = 'train'"))
+    """Standardised logs of all 28 graph features, fitted on the training rows."""
+    rows = _modelled(spark, d)
+    encoder = GraphEncoder().fit(rows.filter("split = 'train'"))
     values = encoder.pick(range(len(encoder.features)))
-    return both.select("transaction_id", *(F.round(v, 6).alias(c) for c, v in zip(encoder.features, values, strict=True)))
+    return rows.select("transaction_id", *(F.round(v, 6).alias(c) for c, v in zip(encoder.features, values, strict=True)))
 
 
 def m15_reason_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    """90th percentiles of delivered features over the training rows."""
-    names = ["specific_shared_transaction_count", "specific_max_entity_degree", "specific_max_component_transactions", "specific_max_pagerank", "graph_new_entity_count"]
-    clean = [F.when((F.col(c) >= 0) & ~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in names]
-    features = table(spark, d, "graph_features").select("transaction_id", *clean).distinct()
-    train = Scratch(spark, "m15").table(_split(spark, d).filter("split = 'train'").select("transaction_id").join(features, "transaction_id"), "train")
-    return spark.createDataFrame([(c, round(quantiles(train, c, 0.9)[0], 9)) for c in names], "feature string, threshold double")
+    """All eight thresholds of the reasons over the training rows."""
+    limits = ReasonBuilder().fit(_modelled(spark, d).filter("split = 'train'")).thresholds
+    return spark.createDataFrame([(name, round(v, 9)) for name, v in limits.items()], "threshold_name string, threshold double")
 
 
 def st_hourly_activity(spark: SparkSession, d: str) -> DataFrame:
@@ -439,7 +568,8 @@ a5_moments s6_manifest v8_replay_audit u2_id_sets g1_edges a8_type_counts a9_gra
 g4_projection g6_components_asof g7_shared_specific g7_shared_all g8_matured_labels g9_clustering_asof g10_pagerank_asof g11_builder_audit j2_attached
 a6_split_feature_means a7_label_diagnostics m2_rule_score m4_tabular_long w6_ranked t4_threshold t5_tie_audit t6_worst_cases e2_average_precision
 e3_top_fractions e4_threshold_metrics e5_min_alerts a11_error_slices g12_connection_view g12_connection_summary g13_masked_entities m7_logistic_scores
-m9_boosted_scores m13_linear_attribution m16_alert_reasons a12_global_importance f9_event_properties g5_components s3_entity_keys j1_identity_join
+m9_boosted_scores m13_linear_attribution m16_alert_reasons m8_logistic_fit m10_importances m11_selection m12_score_reproduction m14_tree_attribution m17_alert_artifact a11_slice_gates u1_scored_rows
+j4_review_bundle rc_alerts_with_code a12_global_importance f9_event_properties g5_components s3_entity_keys j1_identity_join
 e1_score_guard e7_alert_reduction v4_feature_audit w10_time_order w7_cumulative_positives m5_graph_encoding m15_reason_thresholds st_hourly_activity""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
@@ -489,6 +619,17 @@ ORACLE: dict[str, str] = {
     "g12_connection_summary": sql.G12_SUMMARY,
     "g13_masked_entities": sql.G13,
     "f9_event_properties": sql.F9,
+    "a11_slice_gates": sql.A11_GATES,
+    "u1_scored_rows": sql.U1,
+    "j4_review_bundle": sql.J4,
+    "rc_alerts_with_code": sql.RC,
+    "m8_logistic_fit": sql.M8,
+    "m10_importances": sql.M10,
+    "m11_selection": sql.M11,
+    "m12_score_reproduction": sql.M12,
+    "m13_linear_attribution": sql.M13,
+    "m14_tree_attribution": sql.M14,
+    "m17_alert_artifact": sql.M17,
     "g5_components": sql.G5,
     "s3_entity_keys": sql.S3,
     "j1_identity_join": sql.J1,

