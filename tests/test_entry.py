@@ -10,7 +10,8 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
-SQL_CHECKED = [n for n in entry.oracle_sql() if n.startswith("p") and int(n[1 : n.index("_")]) <= 7 or n in ("g2_degree_asof", "g7_shared_specific", "g8_matured_labels", "e5_min_alerts", "a11_error_slices")]
+# The SQL of p5_entity_features has a column per event type, of which the smallest tables lack some.
+SQL_CHECKED = [n for n in entry.oracle_sql() if n != "p5_entity_features" and n.startswith("p") and int(n[1 : n.index("_")]) <= 7 or n in ("g2_degree_asof", "g7_shared_specific", "g8_matured_labels", "e5_min_alerts", "a11_error_slices", "j2_attached", "g6_components_asof", "g10_pagerank_asof")]
 
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 

@@ -22,7 +22,7 @@ from tidegraph.schema import CANONICAL_SCHEMA, LABEL_FEATURES, DataValidationErr
 from tidegraph.sources import sinks
 from tidegraph.sources.synthetic import generate_synthetic, load_source, synthetic_frame
 from tidegraph.sources.two_file import load_two_file, pruned_csv
-from tidegraph.streaming.degrees import stream_activity, stream_degrees, stream_edges
+from tidegraph.streaming.degrees import degree_batches, stream_activity, stream_degrees, stream_edges
 
 
 def scored(spark, labels, scores):
@@ -253,6 +253,22 @@ def test_stream_matches_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "edges")).count() == entity_edges(df).count()
 
 
+def test_degree_batches(spark, tmp_path):
+    df = canonical(spark, [{"transaction_time": i // 3, "device_id": "hot", "card_id": f"c{i % 4}"} for i in range(90)])
+    ordered = df.orderBy("transaction_time", "transaction_id").collect()
+    late = canonical(spark, [{"transaction_id": "late", "transaction_time": 2, "device_id": "hot"}]).collect()
+    folder, want = str(tmp_path / "run"), {(r.transaction_id, t): r[f"historical_{t}_degree"] for r in degree_features(df).collect() for t in ("card", "device")}
+    # A batch ends in the middle of a time, and one holds a row of an earlier time.
+    for part in (ordered[:31], ordered[31:59], ordered[59:] + late):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = degree_batches(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), folder, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None
+    got = {(r.transaction_id, r.entity_type): r.degree for r in spark.read.parquet(f"{folder}/degrees").collect()}
+    assert got.pop(("late", "device")) is None and got == want
+    assert len(list((tmp_path / "run" / "state").iterdir())) == 2
+
+
 def test_stream_windows(spark, tmp_path):
     spark.sql("select timestamp_ntz'2024-01-01 00:10:00' ts0, 'a' event_type, 2.0D value").selectExpr("cast(ts0 as timestamp) ts", "event_type", "value").write.parquet(str(tmp_path / "e"))
     q = stream_activity(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "e"))).writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).start()

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tidegraph.functions.normal import cents, day_number, normal_form, paid, timed
 from tidegraph.operators.asof_attributes import asof_matches, asof_totals, validity_of_versions
 from tidegraph.operators.contraction import link_groups
-from tidegraph.operators.distinct_bitmap import cube_sketches, distinct_sketch, estimate_distinct
+from tidegraph.operators.distinct_bitmap import BitmapShape, cube_sketches, distinct_sketch, estimate_distinct
 from tidegraph.operators.entity_features import TypeDictionary, entity_entries, feature_table, sparse_vectors, with_type_names
 from tidegraph.operators.keyed_totals import heavy_keys, keyed_totals
-from tidegraph.operators.quantile_sketch import quantile_sketch, sketch_quantiles
+from tidegraph.operators.quantile_sketch import quantile_sketch, rank_error, sketch_quantiles
 from tidegraph.operators.current import DELIVERY_ORDER
 from tidegraph.operators.rolling import VersionedState, maintain_state
+from tidegraph.operators.skew import fair_join, frequent_keys
 from tidegraph.plans import payment_sql as sql
 from tidegraph.session import Scratch, broadcast_if_small
 from tidegraph.sources.tables import current_transactions, table
@@ -50,6 +51,24 @@ def p1_distinct_cube(spark: SparkSession, d: str) -> DataFrame:
     return estimate_distinct(cube_sketches(daily, keys), ["grouping_level", *keys], ["card", "device"])
 
 
+def p1_cube_audit(spark: SparkSession, d: str) -> DataFrame:
+    """One row per group of the cube: exact counts, and whether the estimates are within five standard errors (or one) of them."""
+    keys, fields = ["day_no", "recipient_id", "product_code"], {"card": "card_id", "device": "device_id"}
+    rows = Scratch(spark, "p1").table(_p1_rows(spark, d, "product_code"), "rows")
+    estimates = estimate_distinct(cube_sketches(distinct_sketch(rows, keys, fields), keys), ["grouping_level", *keys], list(fields))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("v")) for f, c in fields.items()))
+    marks = rows.select(*keys, F.inline(each)).filter("v IS NOT NULL").distinct()
+    exact = marks.cube(*keys).agg(
+        F.grouping_id().cast("int").alias("grouping_level"), *(F.count_distinct(F.when(F.col("field") == f, F.col("v"))).alias(f"exact_{f}") for f in fields)
+    )
+    same = F.col("e.grouping_level") == F.col("x.grouping_level")
+    for k in keys:
+        same = same & F.col(f"e.{k}").eqNullSafe(F.col(f"x.{k}"))
+    both = exact.alias("x").join(estimates.alias("e"), same, "left")
+    near = lambda f: F.abs(F.col(f"n_{f}") - F.col(f"exact_{f}")) <= F.greatest(F.lit(1.0), 5 * BitmapShape().relative_error() * F.col(f"exact_{f}"))
+    return both.select("x.grouping_level", *(f"x.{k}" for k in keys), *(f"exact_{f}" for f in fields), *(F.coalesce(near(f), F.lit(False)).alias(f"{f}_within") for f in fields))
+
+
 # --- p2 groups of linked transactions -------------------------------------------------------------
 
 
@@ -81,8 +100,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return q.filter("n >= 25 AND q_1 > 0 AND q_1 >= 8 * q_0").select(*keys)
 
 
-def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Median and high percentiles per measure and recipient, product or day, out of daily sketches."""
+def _p3_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """``(measure, value, day_no, dimension, key_value)``: every value once per recipient, product and day."""
     values = _p3_values(spark, d, "recipient_id", "product_code", "transaction_time").select(
         "measure", "value", F.when(timed(), day_number()).alias("day_no"),
         F.inline(F.array(
@@ -91,9 +110,38 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit("day_no").alias("dimension"), F.when(timed(), day_number().cast("string")).alias("key_value")),
         )),
     )
-    daily = quantile_sketch(values.filter("key_value IS NOT NULL"), ["measure", "dimension", "key_value", "day_no"], "value")
-    q = sketch_quantiles(daily, ["measure", "dimension", "key_value"], [0.5, 0.9, 0.99, 0.999])
-    return q.select("measure", "dimension", "key_value", "n", F.col("q_0").alias("p50"), F.col("q_1").alias("p90"), F.col("q_2").alias("p99"), F.col("q_3").alias("p999"))
+    return values.filter("key_value IS NOT NULL")
+
+
+P3_SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+
+
+def _p3_estimates(values: DataFrame) -> DataFrame:
+    daily = quantile_sketch(values, ["measure", "dimension", "key_value", "day_no"], "value")
+    q = sketch_quantiles(daily, ["measure", "dimension", "key_value"], list(P3_SHARES.values()))
+    return q.select("measure", "dimension", "key_value", "n", *(F.col(f"q_{i}").alias(name) for i, name in enumerate(P3_SHARES)))
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median and high percentiles per measure and recipient, product or day, out of daily sketches."""
+    return _p3_estimates(_p3_dimensions(spark, d))
+
+
+def p3_rank_audit(spark: SparkSession, d: str) -> DataFrame:
+    """One row per group: its exact size, and whether the rank of every percentile is within twice the stated bound."""
+    scratch = Scratch(spark, "p3")
+    values = scratch.table(_p3_dimensions(spark, d), "values")
+    groups = F.concat_ws("\u0001", "measure", "dimension", "key_value")
+    found = scratch.table(_p3_estimates(values).withColumn("g", groups), "found")
+    met = fair_join(values.select(groups.alias("g"), "value"), found.select("g", *P3_SHARES), "g", F.col("value"), frequent_keys(found, "g"))
+    ranks = met.groupBy("g").agg(
+        F.count(F.lit(1)).alias("size"), *(F.count_if(F.col("value") <= F.col(p)).alias(f"upto_{p}") for p in P3_SHARES), *(F.count_if(F.col("value") < F.col(p)).alias(f"below_{p}") for p in P3_SHARES)
+    )
+    n, ok = F.col("size"), F.col("size") == F.col("n")
+    for p, q in P3_SHARES.items():
+        slack = 2 * rank_error(q) * n + 1
+        ok = ok & (F.col(f"upto_{p}") >= q * n - slack) & (F.col(f"below_{p}") <= q * n + slack)
+    return ranks.join(found, "g").select("measure", "dimension", "key_value", "n", ok.alias("ranks_within"))
 
 
 # --- p4 rolling totals ----------------------------------------------------------------------------
@@ -239,14 +287,17 @@ def p7_label_history(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_distinct_cube, p2_found, p3_found, p3_percentiles, p4_found, p4_rolling_totals, p4_corrected_totals, p5_found, p5_entity_features,
+        p1_found, p1_distinct_cube, p1_cube_audit, p2_found, p3_found, p3_percentiles, p3_rank_audit, p4_found, p4_rolling_totals, p4_corrected_totals, p5_found, p5_entity_features,
         p5_sparse_entries, p6_found, p6_key_totals, p7_found, p7_label_history,
     )
 }
 
 ORACLE: dict[str, str] = {
     "p1_found": sql.P1_FOUND,
+    "p1_cube_audit": sql.P1_CUBE,
     "p2_found": sql.P2_FOUND,
+    "p3_rank_audit": sql.P3_RANKS,
+    "p5_entity_features": sql.P5_FEATURES,
     "p3_found": sql.P3_FOUND,
     "p4_found": sql.P4_FOUND,
     "p4_rolling_totals": sql.P4_ROLLING,

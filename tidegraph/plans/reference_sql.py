@@ -112,15 +112,67 @@ _PAIR_ROWS = "\nUNION ALL ".join(
 )
 PAIRS = f"occ AS ({_PAIR_ROWS}), proj AS (SELECT u, v, count(*) AS weight, min(transaction_time) AS first_observed_time, max(transaction_time) AS last_observed_time FROM occ GROUP BY 1, 2)"
 G4 = f"WITH {PAY}, {PAIRS} SELECT * FROM proj"
-G9 = f"""WITH {PAY}, {EDGES}, {PAIRS},
-tri AS (SELECT x.u AS a, x.v AS b, y.v AS c, greatest(x.first_observed_time, y.first_observed_time, z.first_observed_time) AS born
+_G9 = f"""tri AS (SELECT x.u AS a, x.v AS b, y.v AS c, greatest(x.first_observed_time, y.first_observed_time, z.first_observed_time) AS born
   FROM proj x JOIN proj y ON x.u = y.u AND x.v < y.v JOIN proj z ON z.u = x.v AND z.v = y.v),
 ev AS (SELECT node, born AS tm, 1 AS t, 0 AS k FROM (SELECT a AS node, born FROM tri UNION ALL SELECT b, born FROM tri UNION ALL SELECT c, born FROM tri)
   UNION ALL SELECT u, first_observed_time, 0, 1 FROM proj UNION ALL SELECT v, first_observed_time, 0, 1 FROM proj),
 agg AS (SELECT node, tm, sum(t) AS t, sum(k) AS k FROM ev GROUP BY 1, 2), run AS (SELECT node, tm, sum(t) OVER w AS t, sum(k) OVER w AS k FROM agg WINDOW w AS (PARTITION BY node ORDER BY tm)),
 q AS (SELECT transaction_id, entity_type || '::' || entity_value AS node, transaction_time - 1 AS tm FROM edges WHERE entity_type IN ({_SPEC})),
-c AS (SELECT q.transaction_id, CASE WHEN r.k >= 2 THEN 2.0 * r.t / (r.k * (r.k - 1.0)) ELSE 0.0 END AS c FROM q ASOF LEFT JOIN run r ON q.node = r.node AND q.tm >= r.tm)
-SELECT p.transaction_id, round(coalesce(max(c), 0.0), 6) AS specific_max_clustering, round(coalesce(avg(c), 0.0), 6) AS specific_mean_clustering FROM pay p LEFT JOIN c USING (transaction_id) GROUP BY 1"""
+c AS (SELECT q.transaction_id, CASE WHEN r.k >= 2 THEN 2.0 * r.t / (r.k * (r.k - 1.0)) ELSE 0.0 END AS c FROM q ASOF LEFT JOIN run r ON q.node = r.node AND q.tm >= r.tm),
+g9 AS (SELECT p.transaction_id, coalesce(max(c), 0.0) AS specific_max_clustering, coalesce(avg(c), 0.0) AS specific_mean_clustering FROM pay p LEFT JOIN c USING (transaction_id) GROUP BY 1)"""
+G9 = f"WITH {PAY}, {EDGES}, {PAIRS}, {_G9} SELECT transaction_id, round(specific_max_clustering, 6) AS specific_max_clustering, round(specific_mean_clustering, 6) AS specific_mean_clustering FROM g9"
+
+def g6_parts(levels: int = 17) -> str:
+    """As-of components by halving the time batches, unrolled: enough levels for 2**levels batches."""
+    out = [f"""spec AS (SELECT * FROM edges WHERE entity_type IN ({_SPEC})),
+ent AS (SELECT entity_type, entity_value, row_number() OVER (ORDER BY entity_type, entity_value) AS k, min((transaction_time, transaction_id)) AS opens FROM spec GROUP BY 1, 2),
+bat AS (SELECT transaction_time, row_number() OVER (ORDER BY transaction_time) - 1 AS b FROM (SELECT DISTINCT transaction_time FROM spec)),
+wt AS (SELECT opens[2] AS t, count(*) AS w FROM ent GROUP BY 1),
+r{levels} AS (SELECT s.transaction_id AS t, bat.b, 1 + coalesce(wt.w, 0) AS w, ent.k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS m
+  FROM spec s JOIN ent USING (entity_type, entity_value) JOIN bat ON bat.transaction_time = s.transaction_time LEFT JOIN wt ON wt.t = s.transaction_id)"""]
+    for l in reversed(range(levels)):
+        p = f"r{l + 1}"
+        out.append(f"""
+f{l} AS (SELECT *, (b >> {l + 1}) * 4294967296 + k AS v, min(k) OVER (PARTITION BY t) AS h FROM {p} WHERE (b >> {l}) & 1 = 0),
+e{l} AS (SELECT DISTINCT v - k + h AS x, v AS y FROM f{l} WHERE h <> k),
+z{l} AS (SELECT x, y FROM e{l} UNION SELECT y, x FROM e{l}),
+l{l}(v, m) USING KEY (v) AS (SELECT DISTINCT x AS v, x AS m FROM z{l} UNION SELECT * FROM (
+  SELECT z.y AS v, min(a.m) AS m FROM l{l} AS a JOIN z{l} z ON a.v = z.x JOIN recurring.l{l} AS q ON q.v = z.y WHERE a.m < q.m GROUP BY z.y)),
+s{l} AS (SELECT v, max(n) AS n, max(m) AS m, coalesce(sum(w) FILTER (WHERE k = h), 0) AS wn, count(*) FILTER (WHERE k = h) AS wm FROM f{l} GROUP BY v),
+c{l} AS (SELECT s.v, coalesce(g.m, s.v) AS root, n, s.m, wn, wm FROM s{l} s LEFT JOIN l{l} g ON g.v = s.v),
+o{l} AS (SELECT v, root, CAST(sum(n + wn) OVER (PARTITION BY root) AS BIGINT) AS n, CAST(sum(m + wm) OVER (PARTITION BY root) AS BIGINT) AS m FROM c{l}),
+r{l} AS (SELECT t, b, w, k, n, m FROM {p} WHERE (b >> {l}) & 1 = 0 UNION ALL SELECT DISTINCT p.t, p.b, p.w, coalesce(o.root % 4294967296, p.k) AS k, coalesce(o.n, p.n) AS n, coalesce(o.m, p.m) AS m
+  FROM {p} p LEFT JOIN o{l} o ON o.v = (p.b >> {l + 1}) * 4294967296 + p.k WHERE (p.b >> {l}) & 1 = 1)""")
+    got = """g6 AS (SELECT pay.transaction_id, coalesce(max(n), 0) AS specific_max_component_nodes, coalesce(max(m), 0) AS specific_max_component_transactions
+  FROM pay LEFT JOIN r0 ON r0.t = pay.transaction_id GROUP BY 1)"""
+    return ",".join([*out, "\n" + got])
+
+
+_SPEC_ROWS = f"spec AS (SELECT * FROM edges WHERE entity_type IN ({_SPEC}))"
+G6 = f"WITH RECURSIVE {PAY}, {EDGES}, {g6_parts()} SELECT * FROM g6"
+_PAGERANK = """bt AS (SELECT transaction_time, row_number() OVER (ORDER BY transaction_time) - 1 AS b FROM (SELECT DISTINCT transaction_time FROM pay)),
+snaps AS (SELECT unnest(range(1, (SELECT max(b) FROM bt) // 25 + 1)) AS s),
+node AS (SELECT entity_type || '::' || entity_value AS name, row_number() OVER (ORDER BY entity_type, entity_value) AS k, min(b) AS fb FROM spec JOIN bt USING (transaction_time) GROUP BY entity_type, entity_value),
+half AS (SELECT a.k AS u, c.k AS v, b, count(*) AS w FROM occ JOIN bt USING (transaction_time) JOIN node a ON a.name = occ.u JOIN node c ON c.name = occ.v GROUP BY 1, 2, 3),
+d AS (SELECT u, v, b // 25 AS q, sum(w) AS w FROM (SELECT u, v, b, w FROM half UNION ALL SELECT v, u, b, w FROM half) GROUP BY 1, 2, 3),
+held AS (SELECT u, q, sum(sum(w)) OVER (PARTITION BY u ORDER BY q) AS strength FROM d GROUP BY u, q),
+base AS (SELECT s, k, CAST(count(*) OVER (PARTITION BY s) AS DOUBLE) AS n FROM snaps JOIN node ON fb < 25 * s),
+start AS (SELECT base.s, base.k, 1 / n AS x, CAST(coalesce(held.strength, 0) AS DOUBLE) AS strength, n FROM base ASOF LEFT JOIN held ON held.u = base.k AND base.s > held.q),
+pr(s, k, x, strength, n, r, active) USING KEY (s, k) AS (
+  SELECT s, k, x, strength, n, 0 AS r, true AS active FROM start
+  UNION
+  (WITH o AS (SELECT s, k, x, strength, n, r, x / nullif(strength, 0) AS y FROM pr WHERE active),
+  loose AS (SELECT s, sum(x) AS l FROM o WHERE strength = 0 GROUP BY s),
+  f AS (SELECT o.s, d.v AS k, sum(d.w * o.y) AS f FROM o JOIN d ON o.k = d.u AND d.q < o.s GROUP BY 1, 2),
+  moved AS (SELECT o.s, o.k, o.strength, o.n, o.r, o.x, 0.85 * (coalesce(f.f, 0) + coalesce(loose.l, 0) / o.n) + (1 - 0.85) / o.n AS x2 FROM o LEFT JOIN f ON f.s = o.s AND f.k = o.k LEFT JOIN loose ON loose.s = o.s),
+  far AS (SELECT s, sum(abs(x2 - x)) >= any_value(n) * 1e-6 AND any_value(r) < 99 AS active FROM moved GROUP BY s)
+  SELECT moved.s, moved.k, x2 AS x, strength, n, r + 1 AS r, far.active FROM moved JOIN far ON far.s = moved.s)),
+asked AS (SELECT transaction_id, b, node.k FROM spec JOIN bt USING (transaction_time) JOIN node ON node.name = entity_type || '::' || entity_value),
+got AS (SELECT a.transaction_id, max(coalesce(p.x, 0)) AS mx, avg(coalesce(p.x, 0)) AS av FROM asked a LEFT JOIN pr p ON p.s = a.b // 25 AND p.k = a.k GROUP BY 1),
+g10 AS (SELECT p.transaction_id, b % 25 AS pagerank_snapshot_age_batches, coalesce(mx, 0.0) AS specific_max_pagerank, coalesce(av, 0.0) AS specific_mean_pagerank
+  FROM pay p JOIN bt USING (transaction_time) LEFT JOIN got g ON g.transaction_id = p.transaction_id)"""
+G10 = f"""WITH RECURSIVE {PAY}, {EDGES}, {PAIRS}, {_SPEC_ROWS}, {_PAGERANK}
+SELECT transaction_id, pagerank_snapshot_age_batches, round(specific_max_pagerank, 9) AS specific_max_pagerank, round(specific_mean_pagerank, 9) AS specific_mean_pagerank FROM g10"""
 
 _RULES = f"""{SPLIT}, q AS (SELECT quantile_cont(amount, CAST(0.95 AS DOUBLE)) AS p95, quantile_cont(amount, CAST(0.99 AS DOUBLE)) AS p99 FROM sp WHERE split = 'train'),
 scored AS (SELECT s.*, p95, p99, (amount >= p95)::INT AS hi, (amount >= p99)::INT AS vh,
@@ -222,9 +274,22 @@ FROM edges e JOIN alerts a ON e.transaction_id = a.transaction_id WHERE entity_t
 U2 = f"""WITH {PAY}, f AS (SELECT DISTINCT transaction_id FROM graph_features) SELECT (SELECT count(*) FROM f WHERE transaction_id NOT IN (SELECT transaction_id FROM pay)) AS only_left,
 (SELECT count(*) FROM pay WHERE transaction_id NOT IN (SELECT transaction_id FROM f)) AS only_right,
 (SELECT count(*) FROM f WHERE transaction_id NOT IN (SELECT transaction_id FROM pay)) + (SELECT count(*) FROM pay WHERE transaction_id NOT IN (SELECT transaction_id FROM f)) = 0 AS equal_sets"""
-J2 = f"""WITH {_DEG}, {_G8.replace(SPLIT + ',', SPLIT.replace(PAY + ',', '') + ',').replace(EDGES + ',', '')}
-SELECT g2.transaction_id, g2.transaction_time, specific_known_entity_count, specific_max_entity_degree, matured_neighbor_label_count, matured_neighbor_fraud_count
-FROM g2 JOIN g8 ON g2.transaction_id = g8.transaction_id AND g2.transaction_time = g8.transaction_time"""
+
+
+def _shared_part(types: dict[str, str], name: str, cte: str) -> str:
+    kinds = ", ".join(f"'{t}'" for t in types.values())
+    return f"""{cte}_e AS (SELECT * FROM edges WHERE entity_type IN ({kinds})),
+{cte}_p AS (SELECT DISTINCT a.transaction_id, b.transaction_id AS other FROM {cte}_e a JOIN {cte}_e b ON a.entity_type = b.entity_type AND a.entity_value = b.entity_value AND b.transaction_time < a.transaction_time),
+{cte} AS (SELECT p.transaction_id, count(other) AS {name} FROM pay p LEFT JOIN {cte}_p USING (transaction_id) GROUP BY 1)"""
+
+
+_J2_DOUBLES = [c for c in (*STRUCTURAL_FEATURES, *LABEL_FEATURES) if "mean" in c or "clustering" in c or "ratio" in c or "pagerank" in c and "age" not in c]
+_J2_COLUMNS = ", ".join(f"round({c}, 6) AS {c}" if c in _J2_DOUBLES else c for c in (*STRUCTURAL_FEATURES, *LABEL_FEATURES))
+J2 = f"""WITH RECURSIVE {_DEG}, {_G8.replace(SPLIT + ',', SPLIT.replace(PAY + ',', '') + ',').replace(EDGES + ',', '')}, {PAIRS}, {_G9},
+{_shared_part(SPECIFIC_TYPES, "specific_shared_transaction_count", "g7")}, {_shared_part(ENTITY_TYPES, "graph_shared_transaction_count", "g7a")}, {g6_parts()}, {_PAGERANK}
+SELECT g2.transaction_id, g2.transaction_time, {_J2_COLUMNS}
+FROM g2 JOIN g7 USING (transaction_id) JOIN g7a USING (transaction_id) JOIN g6 USING (transaction_id) JOIN g9 USING (transaction_id) JOIN g10 USING (transaction_id)
+JOIN (SELECT * EXCLUDE (transaction_time) FROM g8) USING (transaction_id)"""
 A7 = f"""WITH {MODELLED} SELECT is_fraud::INT AS is_fraud, count(*) AS rows, round(avg(specific_shared_transaction_count), 6) AS specific_shared_transaction_count,
 round(avg(specific_max_entity_degree), 6) AS specific_max_entity_degree, round(avg(specific_max_component_transactions), 6) AS specific_max_component_transactions
 FROM modelled WHERE split IN ('validation', 'test') GROUP BY 1"""

@@ -80,7 +80,7 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        _delete(self.spark, f"{self.root}/{name}")
+        delete_path(self.spark, f"{self.root}/{name}")
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> str:
@@ -110,7 +110,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def list_names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names of a folder's entries; nothing if there is no folder."""
+    if not path_exists(spark, folder):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+
+def delete_path(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -123,7 +132,7 @@ def clear_scratch(spark: SparkSession) -> None:
     for key in [k for k in _shared if k[0] == spark.sparkContext.applicationId]:
         del _shared[key]
     for folder in _written.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, folder)
+        delete_path(spark, folder)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
