@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidegraph.sources.canonical import canonical_payments
 
 DATA = Path("/root/testdata/sf0.001")
 # The SQL of p5_entity_features has a column per event type, of which the smallest tables lack some.
@@ -48,11 +49,16 @@ def test_same_as_sql(spark, tables, name):
 
 @needs_data
 def test_scan_is_pruned_and_joins_are_equi(spark):
-    for name in ("p1_found", "p3_found", "p4_found", "p5_found", "p6_key_totals", "g4_projection"):
-        plan = entry.queries()[name](spark, str(DATA))._jdf.queryExecution().toString()
+    """Of plans that scan the deliveries themselves; the others read tables that the canonical view was written to."""
+    frames = {n: entry.queries()[n](spark, str(DATA)) for n in ("p1_found", "p3_found", "p5_found", "p6_key_totals", "p4_found", "g4_projection")}
+    frames["canonical"] = canonical_payments(spark, str(DATA))
+    for name, df in frames.items():
+        plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        if name in ("p4_found", "g4_projection"):
+            continue
         scan = next(x for x in plan.splitlines() if "FileScan parquet" in x and "transactions.parquet" in x)
-        assert "is_fraud" in scan or name != "g4_projection"
+        assert "is_fraud" in scan or name != "canonical"
         assert "raw_event_type" not in scan or name == "p5_found"
 
 

@@ -7,6 +7,8 @@ executor never loses an intermediate result.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -61,6 +63,7 @@ def scratch_folder(spark: SparkSession) -> str:
     key = spark.sparkContext.applicationId
     if key not in _own_folders:
         _own_folders[key] = tempfile.mkdtemp(prefix="tidegraph-")
+        atexit.register(shutil.rmtree, _own_folders[key], ignore_errors=True)
     return "file://" + _own_folders[key]
 
 
@@ -96,7 +99,7 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
 def shared_table(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries of a session read: written once for the same input files, until ``clear_scratch``."""
     key = (spark.sparkContext.applicationId, name, fingerprint(spark, *inputs))
-    if key not in _shared:
+    if key not in _shared or not path_exists(spark, _shared[key][0]):
         scratch = Scratch(spark, f"shared-{name}")
         written = scratch.table(build(), name)
         _shared[key] = (f"{scratch.root}/{name}", written.schema)
