@@ -58,9 +58,10 @@ def p1_cube_audit(spark: SparkSession, d: str) -> DataFrame:
     estimates = estimate_distinct(cube_sketches(distinct_sketch(rows, keys, fields), keys), ["grouping_level", *keys], list(fields))
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("v")) for f, c in fields.items()))
     marks = rows.select(*keys, F.inline(each)).filter("v IS NOT NULL").distinct()
-    exact = marks.cube(*keys).agg(
-        F.grouping_id().cast("int").alias("grouping_level"), *(F.count_distinct(F.when(F.col("field") == f, F.col("v"))).alias(f"exact_{f}") for f in fields)
-    )
+    # Every identifier once per group of the cube, then counted: both steps combine map-side.
+    level = lambda mask: F.struct(F.lit(mask).alias("grouping_level"), *(F.when(F.lit(not mask >> (len(keys) - 1 - i) & 1), F.col(k)).alias(k) for i, k in enumerate(keys)))
+    wide = marks.select(F.explode(F.array(*map(level, range(1 << len(keys))))).alias("g"), "field", "v").select("g.*", "field", "v").distinct()
+    exact = wide.groupBy("grouping_level", *keys).agg(*(F.count_if(F.col("field") == f).alias(f"exact_{f}") for f in fields))
     same = F.col("e.grouping_level") == F.col("x.grouping_level")
     for k in keys:
         same = same & F.col(f"e.{k}").eqNullSafe(F.col(f"x.{k}"))
