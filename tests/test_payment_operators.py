@@ -179,6 +179,22 @@ def test_rank_error_bound(spark, shape):
         assert gap <= qs.rank_error(q) + 1 / n, (q, gap)
 
 
+def test_many_groups_in_runs(spark):
+    """Groups leave a task as their runs end; the result does not depend on where."""
+    rng = np.random.default_rng(4)
+    rows = [(f"k{int(rng.integers(300))}" if rng.random() < 0.7 else None, float(x)) for x in rng.lognormal(2, 1, 6_000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    whole = sorted(qs.sketch_quantiles(qs.quantile_sketch(df, ["k"], "v"), ["k"], [0.5, 0.9]).collect(), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        cut = qs.sketch_quantiles(qs.quantile_sketch(df, ["k"], "v"), ["k"], [0.5, 0.9], merge_rows=40)
+        assert sorted(cut.collect(), key=str) == whole and len(whole) == 301
+        merged = qs.merge_quantile_sketches(qs.quantile_sketch(df, ["k"], "v"), ["k"], merge_rows=40)
+        assert sorted(qs.sketch_quantiles(merged, ["k"], [0.5, 0.9]).collect(), key=str) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_sketch_edges(spark):
     empty = spark.createDataFrame([], "k string, v double")
     assert qs.sketch_quantiles(qs.quantile_sketch(empty, ["k"], "v"), ["k"], [0.5]).count() == 0

@@ -21,12 +21,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_K = 32
 FLUSH_ITEMS = 1_000_000
+#: Rows of sketches, of whole keys, that are merged at once.
+MERGE_ROWS = 100_000
 SKETCH_FIELDS = [
     T.StructField("level", T.IntegerType()),
     T.StructField("state", T.LongType()),
@@ -128,9 +131,11 @@ class _Task:
         self.keys, self.k, self.schema = list(keys), k, schema
         self.held: list[pa.Table] = []
         self.waiting = 0
+        self.rows = 0
 
     def add(self, table: pa.Table, items: int) -> None:
         self.held.append(table)
+        self.rows += table.num_rows
         self.waiting += items
         if self.waiting >= FLUSH_ITEMS:
             self.fold()
@@ -215,23 +220,24 @@ def _arrow_schema(incoming: pa.Schema, names: list[str]) -> pa.Schema:
     return pa.schema([*fields, pa.field("level", pa.int32()), pa.field("state", pa.int64()), pa.field("items", pa.list_(pa.float64()))])
 
 
-def merge_quantile_sketches(sketches: DataFrame, keys: Sequence[str], k: int = DEFAULT_K) -> DataFrame:
+def merge_quantile_sketches(sketches: DataFrame, keys: Sequence[str], k: int = DEFAULT_K, *, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """One sketch per group of ``keys`` (which may be coarser than those the sketches were made for)."""
-    return _merged(sketches, keys, k, None)
+    return _merged(sketches, keys, k, None, merge_rows)
 
 
-def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], quantiles: Sequence[float], k: int = DEFAULT_K) -> DataFrame:
+def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], quantiles: Sequence[float], k: int = DEFAULT_K, *, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """Merges and evaluates: ``(*keys, n, q_0, q_1, ...)`` in the order of ``quantiles``.
 
     ``q_i`` is the smallest kept value that at least that share of the values does not exceed.
     """
-    return _merged(sketches, keys, k, list(quantiles))
+    return _merged(sketches, keys, k, list(quantiles), merge_rows)
 
 
-def _merged(sketches: DataFrame, keys: Sequence[str], k: int, quantiles: list[float] | None) -> DataFrame:
+def _merged(sketches: DataFrame, keys: Sequence[str], k: int, quantiles: list[float] | None, merge_rows: int) -> DataFrame:
     names = list(keys)
-    chosen = sketches.select(*names, "level", "state", "items")
-    chosen = chosen.repartition(*names) if names else chosen.coalesce(1)
+    chosen = sketches.select(*names, "level", "state", "items", (F.xxhash64(*names) if names else F.lit(0).cast("bigint")).alias("__h"))
+    # Sorted runs of a key: a task holds the sketches of the keys at hand, not those of all its keys.
+    chosen = (chosen.repartition("__h") if names else chosen.coalesce(1)).sortWithinPartitions("__h")
     key_fields = [chosen.schema[c] for c in names]
     if quantiles is None:
         schema = T.StructType([*key_fields, *SKETCH_FIELDS])
@@ -240,36 +246,58 @@ def _merged(sketches: DataFrame, keys: Sequence[str], k: int, quantiles: list[fl
             [*key_fields, T.StructField("n", T.LongType()), *(T.StructField(f"q_{i}", T.DoubleType()) for i in range(len(quantiles)))]
         )
 
+    def finished(task: _Task) -> Iterator[pa.RecordBatch]:
+        if quantiles is None:
+            yield from _batches(task.result())
+        elif task.held:
+            yield from _batches(_evaluated(task, names, quantiles, schema.names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = None
+        task, last = None, None
         for b in batches:
             if not b.num_rows:
                 continue
             if task is None:
                 task = _Task(names, k, _arrow_schema(b.schema, names))
+            hashes = b.column(b.schema.get_field_index("__h")).to_numpy(zero_copy_only=False)
             columns = [b.column(b.schema.get_field_index(c)) for c in task.schema.names]
             table = pa.Table.from_arrays([a.cast(f.type) for a, f in zip(columns, task.schema, strict=True)], schema=task.schema)
-            task.add(table, len(table["items"].combine_chunks().flatten()))
-        if task is None:
-            return
-        if quantiles is None:
-            yield from _batches(task.result())
-            return
-        key_rows, levels = task.fold()
-        g = np.concatenate([x[0] for x in levels])
-        v = np.concatenate([x[1] for x in levels])
-        w = np.concatenate([np.full(len(x[0]), 1 << h, np.int64) for h, x in enumerate(levels)])
-        order = np.lexsort((v, g))
-        g, v, w = g[order], v[order], w[order]
-        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        total = np.add.reduceat(w, starts)
-        running = np.cumsum(w)
-        before = running[starts] - w[starts]
-        columns = [key_rows[c].take(pa.array(g[starts])).combine_chunks() for c in names] + [pa.array(total)]
-        for q in quantiles:
-            target = before + np.maximum(1, np.ceil(np.round(q * total, 9))).astype(np.int64)
-            columns.append(pa.array(v[np.searchsorted(running, target, side="left")]))
-        arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in columns]
-        yield from _batches(pa.Table.from_arrays(arrays, names=schema.names))
+            # The keys before the batch's last one are complete.
+            cut = int(np.searchsorted(hashes, hashes[-1], side="left"))
+            if cut and task.rows + cut >= merge_rows:
+                task.add(table.slice(0, cut), _items(table.slice(0, cut)))
+                yield from finished(task)
+                task = _Task(names, k, task.schema)
+                table = table.slice(cut)
+            elif not cut and last is not None and hashes[-1] != last and task.rows >= merge_rows:
+                yield from finished(task)
+                task = _Task(names, k, task.schema)
+            task.add(table, _items(table))
+            last = hashes[-1]
+        if task is not None:
+            yield from finished(task)
 
     return chosen.mapInArrow(run, schema)
+
+
+def _items(table: pa.Table) -> int:
+    return int(pc.sum(pc.list_value_length(table["items"])).as_py() or 0)
+
+
+def _evaluated(task: _Task, names: list[str], quantiles: list[float], columns_out: list[str]) -> pa.Table:
+    """One row per group of a task: its size and quantiles."""
+    key_rows, levels = task.fold()
+    g = np.concatenate([x[0] for x in levels])
+    v = np.concatenate([x[1] for x in levels])
+    w = np.concatenate([np.full(len(x[0]), 1 << h, np.int64) for h, x in enumerate(levels)])
+    order = np.lexsort((v, g))
+    g, v, w = g[order], v[order], w[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    total = np.add.reduceat(w, starts)
+    running = np.cumsum(w)
+    before = running[starts] - w[starts]
+    columns = [key_rows[c].take(pa.array(g[starts])).combine_chunks() for c in names] + [pa.array(total)]
+    for q in quantiles:
+        target = before + np.maximum(1, np.ceil(np.round(q * total, 9))).astype(np.int64)
+        columns.append(pa.array(v[np.searchsorted(running, target, side="left")]))
+    return pa.Table.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in columns], names=columns_out)
