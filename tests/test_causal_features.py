@@ -56,6 +56,33 @@ def test_shared_transactions(data, types):
         assert got[r["transaction_id"]].n == sum(shares(r, x, types) for x in rows if x["transaction_time"] < r["transaction_time"])
 
 
+@pytest.mark.parametrize("group_rows", [1, 20, 1_000])
+def test_shared_transactions_wherever_values_are_counted(data, group_rows):
+    rows, df = data
+    got = by_id(shared_transactions(df, ENTITY_TYPES, "n", group_rows=group_rows))
+    assert {r["transaction_id"]: got[r["transaction_id"]].n for r in rows} == {
+        r["transaction_id"]: sum(shares(r, x, ENTITY_TYPES) for x in rows if x["transaction_time"] < r["transaction_time"]) for r in rows
+    }
+
+
+def test_shared_transactions_send_a_row_once_per_value(spark):
+    df = canonical(spark, [{**{c: f"{c}{i % 5}" for c in ENTITY_TYPES}, "transaction_time": i} for i in range(300)]).repartition(2).cache()
+    df.count()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in stage_list(spark)}
+    before = stages()
+    got = shared_transactions(df, ENTITY_TYPES, "n").agg(F.sum("n"), F.max("n")).first()
+    sent = sum(n for k, n in stages().items() if k not in before)
+    assert tuple(got) == (sum(i // 5 for i in range(300)), 59)
+    # 127 subsets a row would be 38,100 records each time they are sent.
+    assert 300 * 7 <= sent < 300 * 25
+
+
+def stage_list(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
 @pytest.mark.parametrize("delay", [0, 1, 30_000, 86_400])
 def test_matured_labels(data, delay):
     rows, df = data

@@ -14,7 +14,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.schema import ENTITY_TYPES, SPECIFIC_TYPES
+from tidegraph.operators.overlap import GROUP_ROWS, frequent_values, home_terms
+from tidegraph.schema import ENTITY_TYPES, HUB_TYPES, SPECIFIC_TYPES
+from tidegraph.session import Scratch
 
 BUCKET_SECONDS = 86_400
 
@@ -127,14 +129,31 @@ def subset_keys(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) ->
     return hashed.select(*keep, F.explode(F.array_compact(F.array(*each))).alias("__k")).select(*keep, "__k.*")
 
 
-def shared_transactions(rows: DataFrame, types: Mapping[str, str] = SPECIFIC_TYPES, name: str = "specific_shared_transaction_count") -> DataFrame:
+def shared_transactions(
+    rows: DataFrame, types: Mapping[str, str] = SPECIFIC_TYPES, name: str = "specific_shared_transaction_count", *, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """``(transaction_id, name)``: distinct strictly earlier transactions sharing at least one entity.
 
-    No pairs are built: one term per column subset, each a prefix count.
+    No pairs are built. Subsets of frequent entities alone are prefix counts, all others are counted
+    at one of their other entities (``overlap``), some types at a time, whose shuffle files are
+    deleted before the next.
     """
-    spread = subset_keys(rows, list(types), ["transaction_id", "transaction_time"]).withColumn("__n", F.lit(1).cast("bigint"))
-    counted = strictly_earlier(spread, ["k1", "k2"], "transaction_time", ["__n"])
-    shared = counted.filter("__n <> 0").groupBy("transaction_id").agg(F.sum(F.col("sign") * F.col("__n")).alias(name))
+    scratch = Scratch(rows.sparkSession, "shared-transactions")
+    columns = sorted(types, key=lambda c: c in HUB_TYPES)
+    frequent = frequent_values(rows, columns, scratch, group_rows)
+    terms = [
+        scratch.table(home_terms(rows, columns, homes, frequent), f"homes-{homes[0]}")
+        for homes in (range(a, min(b, len(columns))) for a, b in ((0, 1), (1, 3), (3, len(columns)))) if homes
+    ]
+    if any(frequent.values()):
+        only = rows.select("transaction_id", "transaction_time", *(F.when(F.col(c).isin(v), F.col(c)).alias(c) for c, v in frequent.items() if v))
+        spread = subset_keys(only, [c for c, v in frequent.items() if v], ["transaction_id", "transaction_time"]).withColumn("__n", F.lit(1).cast("bigint"))
+        counted = strictly_earlier(spread, ["k1", "k2"], "transaction_time", ["__n"]).filter("__n <> 0")
+        terms.append(scratch.table(counted.select("transaction_id", (F.col("sign") * F.col("__n")).alias("n")), "frequent-only"))
+    found = terms[0]
+    for t in terms[1:]:
+        found = found.unionByName(t)
+    shared = found.groupBy("transaction_id").agg(F.sum("n").alias(name))
     return rows.select("transaction_id").join(shared, "transaction_id", "left").select("transaction_id", F.coalesce(name, F.lit(0)).alias(name))
 
 
