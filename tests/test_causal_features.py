@@ -97,6 +97,17 @@ def test_matured_labels(data, delay):
         assert g.matured_neighbor_fraud_ratio == pytest.approx(fraud / len(near) if near else 0.0)
 
 
+@pytest.mark.parametrize("group_rows", [5, 1_000])
+def test_matured_labels_wherever_values_are_counted(data, group_rows):
+    rows, df = data
+    split = df.withColumn("split", F.when(F.col("transaction_time") < 200_000, "train").otherwise("test"))
+    got = by_id(matured_labels(split, delay=30_000, group_rows=group_rows))
+    for r in rows:
+        near = [x for x in rows if x["transaction_time"] < 200_000 and x["transaction_time"] + 30_000 <= r["transaction_time"] and shares(r, x)]
+        g = got[r["transaction_id"]]
+        assert (g.matured_neighbor_label_count, g.matured_neighbor_fraud_count) == (len(near), sum(x["is_fraud"] for x in near))
+
+
 def test_label_delay_case(spark):
     rows = [{"device_id": "d", "transaction_time": t, "is_fraud": y} for t, y in ((100, 1), (100, 0), (149, 0), (150, 0))]
     got = matured_labels(canonical(spark, rows).withColumn("split", F.lit("train")), delay=50).orderBy("transaction_id").collect()

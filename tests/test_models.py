@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators.attribution import LinearAttributor, TreeAttributor, fidelity_audit, global_importance, leaf_paths
 from tidegraph.operators.encode import CombinedEncoder, GraphEncoder, TabularEncoder, audit_feature_names, long_form
-from tidegraph.operators.models import BoostedModel, LogisticModel, Tree, select_model
+from tidegraph.operators.boosting import binned, grow
+from tidegraph.operators.models import BoostedModel, LogisticModel, Tree, balanced, select_model
 from tidegraph.operators.ranking import average_precision, evaluate, review_count
 from tidegraph.operators.reasons import THRESHOLDS, ReasonBuilder, reason_counts
 from tidegraph.operators.rules import RulesBaseline
 from tidegraph.operators.temporal_split import assign_splits
 from tidegraph.operators.views import review_bundle
 from tidegraph.plans.pipeline import builder_audit, model_table
+from tidegraph.session import Scratch
 from tidegraph.sources.synthetic import generate_synthetic
 
 
@@ -105,6 +107,27 @@ def test_boosted(parts, boosted):
         select_model({"a": 0.9, "b": 0.1}, "b")
 
 
+def test_boosting_does_not_grow_a_stage_again(parts):
+    """Later stages keep the trees there are, a tree is no Spark job, and its first split is the best of all bins."""
+    model, jobs = BoostedModel(max_trees=12, depth=2, patience=2, step=0.2, column_share=1.0), parts["train"].sparkSession.sparkContext.statusTracker()
+    model.fit(parts["train"], parts["validation"])
+    few, rows = list(model.grown[:4]), parts["train"].count()
+    assert len(model.grown) in (4, 8, 12)
+    trees = parts["train"].sparkSession
+    trees.sparkContext.setJobGroup("grow", "grow")
+    table = Scratch(trees, "grow").table(binned(balanced(parts["train"]), model.encoder, model.bins), "binned")
+    more = grow(table, model.bins, few, 30, model.label_weights, step=0.2, depth=2, min_leaf=15, column_share=1.0, seed=42)
+    trees.sparkContext._jsc.sc().clearJobGroup()
+    assert more[:4] == few and len(more) == 30 and len(jobs.getJobIdsForGroup("grow")) < 10
+    picked = balanced(parts["train"]).select(F.array(*model.encoder.pick(range(len(model.encoder.names)))).alias("x"), "label", "weight").toPandas()
+    x, y, w = np.stack(picked["x"]), 2 * picked["label"].to_numpy() - 1, picked["weight"].to_numpy()
+    fall = lambda left: sum((w[s] * y[s]).sum() ** 2 / w[s].sum() for s in (left, ~left)) - (w * y).sum() ** 2 / w.sum()
+    masks = [x[:, f] <= t for f, t in ((int(f), t) for f, ts in zip(model.bins.number_features, model.bins.thresholds, strict=True) for t in ts)]
+    best = max(fall(m) for m in masks if 15 <= m.sum() <= rows - 15)
+    tree = few[0]
+    assert fall(x[:, tree.feature[0]] <= tree.threshold[0]) >= best * (1 - 1e-6)
+
+
 def test_boosting_stages_are_one_search(parts):
     """Trees grown in doubling stages keep the prefix that all trees at once give."""
     settings = dict(max_trees=24, depth=2, patience=3, step=0.2)

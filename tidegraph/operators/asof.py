@@ -129,35 +129,46 @@ def subset_keys(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) ->
     return hashed.select(*keep, F.explode(F.array_compact(F.array(*each))).alias("__k")).select(*keep, "__k.*")
 
 
-def shared_transactions(
-    rows: DataFrame, types: Mapping[str, str] = SPECIFIC_TYPES, name: str = "specific_shared_transaction_count", *, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """``(transaction_id, name)``: distinct strictly earlier transactions sharing at least one entity.
+def sharing_sums(rows: DataFrame, columns: Sequence[str], values: Sequence[str], *, delay: int = 1, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``(transaction_id, *values)``: sums of ``values`` over the distinct rows at least ``delay`` older that share a value; rows without any are left out.
 
-    No pairs are built. Subsets of frequent entities alone are prefix counts, all others are counted
+    No pairs are built. Subsets of frequent entities alone are prefix sums, all others are counted
     at one of their other entities (``overlap``), some types at a time, whose shuffle files are
     deleted before the next.
     """
-    scratch = Scratch(rows.sparkSession, "shared-transactions")
-    columns = sorted(types, key=lambda c: c in HUB_TYPES)
+    scratch = Scratch(rows.sparkSession, "sharing-sums")
+    columns = sorted(columns, key=lambda c: c in HUB_TYPES)
     frequent = frequent_values(rows, columns, scratch, group_rows)
     terms = [
-        scratch.table(home_terms(rows, columns, homes, frequent), f"homes-{homes[0]}")
+        scratch.table(home_terms(rows, columns, homes, frequent, values, delay), f"homes-{homes[0]}")
         for homes in (range(a, min(b, len(columns))) for a, b in ((0, 1), (1, 3), (3, len(columns)))) if homes
     ]
-    if any(frequent.values()):
-        only = rows.select("transaction_id", "transaction_time", *(F.when(F.col(c).isin(v), F.col(c)).alias(c) for c, v in frequent.items() if v))
-        spread = subset_keys(only, [c for c, v in frequent.items() if v], ["transaction_id", "transaction_time"]).withColumn("__n", F.lit(1).cast("bigint"))
-        counted = strictly_earlier(spread, ["k1", "k2"], "transaction_time", ["__n"]).filter("__n <> 0")
-        terms.append(scratch.table(counted.select("transaction_id", (F.col("sign") * F.col("__n")).alias("n")), "frequent-only"))
-    found = terms[0]
+    often = [c for c, v in frequent.items() if v]
+    if often:
+        only = rows.select("transaction_id", "transaction_time", *values, *(F.when(F.col(c).isin(frequent[c]), F.col(c)).alias(c) for c in often))
+        if delay == 1:
+            found = strictly_earlier(subset_keys(only, often, ["transaction_id", "transaction_time", *values]), ["k1", "k2"], "transaction_time", values)
+        else:
+            events = subset_keys(only, often, ["transaction_time", *values]).groupBy("k1", "k2", "transaction_time").agg(*(F.sum(v).alias(v) for v in values))
+            lookups = subset_keys(only, often, ["transaction_id", "transaction_time"]).withColumn("transaction_time", F.col("transaction_time") - delay)
+            found = sums_until(events, lookups, ["k1", "k2"], "transaction_time", values)
+        some = found.filter(" OR ".join(f"{v} <> 0" for v in values))
+        terms.append(scratch.table(some.select("transaction_id", *((F.col("sign") * F.col(v)).alias(v) for v in values)), "frequent-only"))
+    union = terms[0]
     for t in terms[1:]:
-        found = found.unionByName(t)
-    shared = found.groupBy("transaction_id").agg(F.sum("n").alias(name))
+        union = union.unionByName(t)
+    return union.groupBy("transaction_id").agg(*(F.sum(v).alias(v) for v in values))
+
+
+def shared_transactions(
+    rows: DataFrame, types: Mapping[str, str] = SPECIFIC_TYPES, name: str = "specific_shared_transaction_count", *, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """``(transaction_id, name)``: distinct strictly earlier transactions sharing at least one entity."""
+    shared = sharing_sums(rows.withColumn("__n", F.lit(1).cast("bigint")), list(types), ["__n"], group_rows=group_rows).withColumnRenamed("__n", name)
     return rows.select("transaction_id").join(shared, "transaction_id", "left").select("transaction_id", F.coalesce(name, F.lit(0)).alias(name))
 
 
-def matured_labels(rows: DataFrame, *, delay: int = 86_400, eligible_split: str = "train") -> DataFrame:
+def matured_labels(rows: DataFrame, *, delay: int = 86_400, eligible_split: str = "train", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Matured neighbour labels per transaction: ``(transaction_id, transaction_time, count, fraud count, ratio)``.
 
     A neighbour shares a specific entity, belongs to ``eligible_split``, is strictly earlier and at
@@ -171,13 +182,9 @@ def matured_labels(rows: DataFrame, *, delay: int = 86_400, eligible_split: str
         raise ValueError(f"no rows of the eligible split {eligible_split}")
     if bad["bad"]:
         raise ValueError("labels of the eligible split must be binary")
-    columns = list(SPECIFIC_TYPES)
-    events = subset_keys(pool, columns, ["transaction_time", "is_fraud"]).groupBy("k1", "k2", "transaction_time").agg(
-        F.count(F.lit(1)).alias("labels"), F.sum(F.col("is_fraud").cast("bigint")).alias("frauds")
-    )
-    lookups = subset_keys(rows, columns, ["transaction_id", "transaction_time"]).withColumn("transaction_time", F.col("transaction_time") - max(delay, 1))
-    found = sums_until(events, lookups, ["k1", "k2"], "transaction_time", ["labels", "frauds"])
-    per = found.filter("labels <> 0").groupBy("transaction_id").agg(F.sum(F.col("sign") * F.col("labels")).alias("n"), F.sum(F.col("sign") * F.col("frauds")).alias("f"))
+    counted = F.coalesce(F.col("split") == eligible_split, F.lit(False))
+    valued = rows.withColumns({"n": counted.cast("bigint"), "f": F.when(counted, F.col("is_fraud").cast("bigint")).otherwise(0)})
+    per = sharing_sums(valued, list(SPECIFIC_TYPES), ["n", "f"], delay=max(delay, 1), group_rows=group_rows)
     joined = rows.select("transaction_id", "transaction_time").join(per, "transaction_id", "left")
     n, f = F.coalesce("n", F.lit(0)), F.coalesce("f", F.lit(0))
     return joined.select(

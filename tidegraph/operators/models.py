@@ -1,4 +1,4 @@
-"""Scoring models on pyspark.ml: class-balanced logistic regression and boosted trees."""
+"""Scoring models: class-balanced logistic regression (pyspark.ml) and boosted trees (``boosting``)."""
 
 from __future__ import annotations
 
@@ -6,15 +6,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.operators.boosting import Grown, binned, fit_bins, grow
 from tidegraph.operators.encode import CombinedEncoder, TabularEncoder
-from tidegraph.operators.ordering import global_running
 from tidegraph.session import Scratch
 
+#: Prefixes of boosted trees whose validation margins are written at once, and ranges they are ranked in.
+PREFIXES, RANGES = 40, 16
+
 
 def balanced(rows: DataFrame) -> DataFrame:
     """Adds ``label`` and class-balancing ``weight``; raises unless both classes occur."""
@@ -111,7 +113,7 @@ class BoostedModel:
 
     Up to ``max_trees`` are grown; the search ends when ``patience`` further trees bring no gain. A
     tree depends only on those before it, so trees are grown in doubling stages, and no more of them
-    than the search looks at or a stage holds. Leaves are bounded by ``depth``: growth is level-wise.
+    than the search looks at or a stage holds; a stage goes on from the trees there are. Leaves are bounded by ``depth``: growth is level-wise.
     """
 
     max_trees: int = 400
@@ -122,71 +124,109 @@ class BoostedModel:
     patience: int = 40
     seed: int = 42
     trees: list[Tree] = field(default_factory=list, repr=False)
+    grown: list[Grown] = field(default_factory=list, repr=False)
 
     def fit(self, train: DataFrame, validation: DataFrame) -> BoostedModel:
         if self.max_trees <= 0 or self.step <= 0 or self.depth <= 0 or self.min_leaf <= 0 or self.patience <= 0 or not 0 < self.column_share <= 1:
             raise ValueError("boosting settings are out of range")
         balanced(validation)
         self.encoder = CombinedEncoder().fit(train)
-        rows = self.encoder.vectors(balanced(train), ["label", "weight"])
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        grown, self.trees = min(2 * self.patience, self.max_trees), []
+        rows = balanced(train)
+        self.label_weights = tuple(rows.groupBy("is_fraud").agg(F.first("weight")).sort("is_fraud").toPandas().iloc[:, 1])
+        self.bins = fit_bins(rows, self.encoder)
+        rows = Scratch(train.sparkSession, "boosted").table(binned(rows, self.encoder, self.bins), "binned")
+        grown, self.trees, self.grown, self.precision = min(2 * self.patience, self.max_trees), [], [], {}
         while True:
             self._grow(rows, grown)
             self.kept, ended = self._best_prefix(validation)
             if ended or grown == self.max_trees:
                 break
             grown = min(2 * grown, self.max_trees)
-        rows.unpersist()
         return self
 
     def _grow(self, rows: DataFrame, count: int) -> None:
-        learner = GBTClassifier(
-            featuresCol="x", labelCol="label", weightCol="weight", maxIter=count, stepSize=self.step, maxDepth=self.depth,
-            minInstancesPerNode=self.min_leaf, featureSubsetStrategy=str(self.column_share), seed=self.seed,
+        """Grows trees after those there are, up to ``count``."""
+        self.grown = grow(
+            rows, self.bins, self.grown, count, self.label_weights, step=self.step, depth=self.depth, min_leaf=self.min_leaf, column_share=self.column_share, seed=self.seed
         )
-        model = learner.fit(rows)
-        self.importances = np.array(model.featureImportances.toArray())
-        scratch = Scratch(rows.sparkSession, "boosted")
-        model.write().overwrite().save(f"{scratch.root}/model")
-        nodes = rows.sparkSession.read.parquet(f"{scratch.root}/model/data").select("treeID", "nodeData.*").toPandas()
-        trees = [_tree(part, float(w)) for (_, part), w in zip(nodes.groupby("treeID", sort=True), model.treeWeights, strict=True)]
+        gains = np.zeros(len(self.encoder.names))
+        for t in self.grown:
+            for f, gain in t.gains.items():
+                gains[f] += gain
+        self.importances = gains / gains.sum() if gains.sum() else gains
         # Trees read few of the features: only those are sent to Python, renumbered.
-        self.used = sorted({int(f) for t in trees for f in t.feature if f >= 0}) or [0]
+        self.used = sorted({f for t in self.grown for f in t.feature if f >= 0}) or [0]
         place = {f: i for i, f in enumerate(self.used)}
-        for t in trees:
-            t.feature = np.array([place.get(int(f), -1) for f in t.feature], np.int64)
-        self.trees = trees
+        self.trees = [
+            Tree(np.array([place.get(f, -1) for f in t.feature], np.int64), np.array(t.threshold), np.array(t.left), np.array(t.right), np.array(t.value), t.weight) for t in self.grown
+        ]
 
     def _best_prefix(self, validation: DataFrame) -> tuple[int, bool]:
-        """(trees kept, whether patience ended the search): average precision of every prefix in one total order."""
-        trees = self.trees
-
-        def run(frames):
-            for f in frames:
-                x = np.stack(f["features"].to_numpy())
-                prefix = np.cumsum(np.stack([t.predict(x) for t in trees], 1), 1)
-                n, k = prefix.shape
-                yield pd.DataFrame({"kept": np.tile(np.arange(1, k + 1), n), "margin": prefix.ravel(), "label": np.repeat(f["label"].to_numpy(), k)})
-
-        rows = validation.select(self.features(), F.col("is_fraud").cast("bigint").alias("label"))
-        each = rows.mapInPandas(run, "kept bigint, margin double, label bigint").groupBy("kept", "margin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("tp"))
-        run_ = global_running(each, [F.col("kept"), F.col("margin").desc()], sums={"cn": "n", "ctp": "tp"})
-        size = validation.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_fraud").cast("bigint")).alias("p")).first()
-        # Every prefix ranks the same rows, so those of the prefixes before are whole multiples.
-        cn, ctp = F.col("cn") - (F.col("kept") - 1) * size["n"], F.col("ctp") - (F.col("kept") - 1) * size["p"]
-        found = run_.groupBy("kept").agg((F.sum(F.col("tp") * ctp / cn) / F.sum("tp")).alias("ap")).collect()
-        precision = {r["kept"]: r["ap"] for r in found}
+        """(trees kept, whether patience ended the search): exact average precision of every prefix, some new ones at a time."""
         best, at, ended = -1.0, 1, False
-        for k in sorted(precision):
-            if precision[k] > best + 1e-12:
-                best, at = precision[k], k
+        for k in range(1, len(self.trees) + 1):
+            if k not in self.precision:
+                self.precision |= self._prefix_precision(validation, k, min(k + PREFIXES, len(self.trees) + 1))
+            if self.precision[k] > best + 1e-12:
+                best, at = self.precision[k], k
             elif k - at >= self.patience:
                 ended = True
                 break
         self.validation_precision = best
         return at, ended
 
+    def _prefix_precision(self, validation: DataFrame, first: int, end: int) -> dict[int, float]:
+        """Average precision of the prefixes from ``first`` to before ``end``, equal margins as one.
+
+        Margins are packed by prefix and range; a range is ranked in one task, after the counts of the ranges above it.
+        """
+        trees = self.trees[: end - 1]
+
+        def pack(frames):
+            for f in frames:
+                x, label = np.stack(f["features"].to_numpy()), f["label"].to_numpy(np.int8)
+                margin, out = np.zeros(len(x)), []
+                for k, t in enumerate(trees, 1):
+                    margin = margin + t.predict(x)
+                    if k < first:
+                        continue
+                    order = np.argsort(-margin, kind="stable")
+                    m, y = margin[order], label[order]
+                    # Ranges of the probability, the highest first: a function of the margin alone.
+                    place = np.minimum(RANGES - 1, (RANGES / (1.0 + np.exp(2.0 * m))).astype(np.int64))
+                    edges = np.searchsorted(place, np.arange(RANGES + 1))
+                    out += [(k, r, b - a, int(y[a:b].sum()), m[a:b].tobytes(), y[a:b].tobytes()) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                yield pd.DataFrame(out, columns=["kept", "place", "n", "tp", "margins", "labels"])
+
+        rows = validation.select(self.features(), F.col("is_fraud").cast("bigint").alias("label"))
+        scratch = Scratch(validation.sparkSession, "prefixes")
+        packed = scratch.table(rows.mapInPandas(pack, "kept bigint, place bigint, n bigint, tp bigint, margins binary, labels binary"), "packed")
+        sizes = {(r.kept, r.place): (r.n, r.tp) for r in packed.groupBy("kept", "place").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp")).collect()}
+        above, totals = {}, {}
+        for k in range(first, end):
+            n = tp = 0
+            for r in range(RANGES):
+                above[k, r] = (n, tp)
+                n, tp = n + sizes.get((k, r), (0, 0))[0], tp + sizes.get((k, r), (0, 0))[1]
+            totals[k] = tp
+
+        def rank(f: pd.DataFrame) -> pd.DataFrame:
+            k, r = int(f["kept"].iloc[0]), int(f["place"].iloc[0])
+            margin, label = np.frombuffer(b"".join(f["margins"])), np.frombuffer(b"".join(f["labels"]), np.int8)
+            order = np.argsort(-margin, kind="stable")
+            margin, ones = margin[order], np.cumsum(label[order], dtype=np.int64)
+            last = np.flatnonzero(np.r_[margin[1:] != margin[:-1], True])
+            n, tp = above[k, r]
+            found = np.diff(np.r_[0, ones[last]])
+            return pd.DataFrame({"kept": [k], "part": [float((found * (tp + ones[last]) / (n + last + 1.0)).sum())]})
+
+        parts = scratch.table(packed.groupBy("kept", "place").applyInPandas(rank, "kept bigint, part double"), "parts").collect()
+        sums: dict[int, list[float]] = {}
+        for r in sorted(parts):
+            sums.setdefault(r["kept"], []).append(r["part"])
+        scratch.drop("packed")
+        return {k: sum(v) / totals[k] for k, v in sums.items()}
+
     def features(self):
         """The used features as an array column."""
         return F.array(*self.encoder.pick(self.used)).alias("features")
@@ -213,21 +253,6 @@ class BoostedModel:
         return [(self.encoder.names[i], float(self.importances[i])) for i in order]
 
 
-def _tree(nodes: pd.DataFrame, weight: float) -> Tree:
-    nodes = nodes.sort_values("id")
-    place = {int(i): k for k, i in enumerate(nodes["id"])}
-    inner = nodes["leftChild"].to_numpy() >= 0
-    split = nodes["split"].tolist()
-    return Tree(
-        np.array([s["featureIndex"] if ok else -1 for s, ok in zip(split, inner, strict=True)], np.int64),
-        np.array([s["leftCategoriesOrThreshold"][0] if ok else 0.0 for s, ok in zip(split, inner, strict=True)]),
-        np.array([place[int(c)] if ok else 0 for c, ok in zip(nodes["leftChild"], inner, strict=True)], np.int64),
-        np.array([place[int(c)] if ok else 0 for c, ok in zip(nodes["rightChild"], inner, strict=True)], np.int64),
-        nodes["prediction"].to_numpy(float),
-        weight,
-    )
-
-
 def select_model(validation_precision: dict[str, float], configured: str | None = None) -> str:
     """The model with the best validation average precision (ties: by name); a configured choice must agree."""
     best = min(validation_precision, key=lambda m: (-validation_precision[m], m))
