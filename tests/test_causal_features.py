@@ -108,6 +108,11 @@ def test_matured_labels_wherever_values_are_counted(data, group_rows):
         assert (g.matured_neighbor_label_count, g.matured_neighbor_fraud_count) == (len(near), sum(x["is_fraud"] for x in near))
 
 
+def test_clustering_reads_written_events(data):
+    """Wedges and sums are separate jobs, so their shuffle files never exist together."""
+    assert any("/events/" in f for f in clustering_features(data[1]).inputFiles())
+
+
 def test_label_delay_case(spark):
     rows = [{"device_id": "d", "transaction_time": t, "is_fraud": y} for t, y in ((100, 1), (100, 0), (149, 0), (150, 0))]
     got = matured_labels(canonical(spark, rows).withColumn("split", F.lit("train")), delay=50).orderBy("transaction_id").collect()
