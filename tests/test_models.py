@@ -10,7 +10,7 @@ import pytest
 from helpers import canonical
 from pyspark.sql import functions as F
 
-from tidegraph.operators.attribution import LinearAttributor, TreeAttributor, fidelity_audit, global_importance, leaf_paths
+from tidegraph.operators.attribution import LinearAttributor, TreeAttributor, all_patterns, fidelity_audit, global_importance, leaf_paths
 from tidegraph.operators.encode import CombinedEncoder, GraphEncoder, TabularEncoder, audit_feature_names, long_form
 from tidegraph.operators.boosting import binned, grow
 from tidegraph.operators.models import BoostedModel, LogisticModel, Tree, balanced, select_model
@@ -202,6 +202,30 @@ def test_attribution_and_reasons(spark, parts, boosted):
         review_bundle(alerts, parts["test"].select("transaction_id", "amount"), features, 6)
 
 
+def test_short_attributions_are_those_of_the_features_read(parts, boosted):
+    """One number per feature that trees read, however many categories there are; the same sums, alerts and reasons as in full."""
+    attributor = TreeAttributor().fit(boosted, parts["train"])
+    full, short = attributor.explain(parts["test"]).cache(), attributor.explain(parts["test"], short=True).cache()
+    names = boosted.used_names()
+    assert 0 < len(names) < len(boosted.encoder.names)
+    a, b = ({r.transaction_id: np.array(r.phi) for r in x.select("transaction_id", "phi").collect()} for x in (full, short))
+    at = [boosted.encoder.names.index(n) for n in names]
+    assert all(len(b[i]) == len(names) and np.array_equal(a[i][at], b[i]) and np.count_nonzero(a[i]) == np.count_nonzero(b[i]) for i in a)
+    assert fidelity_audit(short).first().status == "PASS"
+    builder = ReasonBuilder().fit(parts["train"])
+    assert sorted(builder.alerts(short, names).collect()) == sorted(builder.alerts(full, boosted.encoder.names).collect())
+
+
+def test_patterns_at_once():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random((300, 4)), 1)
+    x[0, 0] = np.nan
+    tree = Tree(np.array([0, 1, 0, -1, -1, -1, -1]), np.array([0.5, 0.3, 0.8, 0, 0, 0, 0]), np.array([1, 3, 5, 0, 0, 0, 0]), np.array([2, 4, 6, 0, 0, 0, 0]), np.arange(7.0), 1.0)
+    paths = leaf_paths(tree)
+    for p, found in zip(paths, all_patterns(paths, x), strict=True):
+        assert np.array_equal(found, p.patterns(x))
+
+
 def test_reason_gate_and_fallback(spark, parts):
     builder = ReasonBuilder().fit(parts["train"])
     names = ["log1p_standardized_matured_neighbor_fraud_count", "log1p_standardized_specific_max_clustering", "has_card"]

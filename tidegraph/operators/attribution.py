@@ -5,12 +5,13 @@ one leaf and one (row, background row) pair only two bit patterns matter - which
 features the row satisfies, and which the background row does - so the background is reduced, in
 one distributed pass, to counts of patterns per leaf (at most 2**depth each). From those, the
 contribution of every path feature is tabulated per row pattern, and explaining a row is a lookup
-per leaf, whatever the size of the background.
+per leaf, whatever the size of the background. Features that no tree reads have no contribution, so
+attributions can be kept for the features read alone, whose number does not grow with the categories.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
 
@@ -39,6 +40,20 @@ class LeafPath:
         return ok @ (1 << np.arange(len(self.features)))
 
 
+def all_patterns(paths: Sequence[LeafPath], x: np.ndarray) -> Iterator[np.ndarray]:
+    """The patterns of every path; a comparison that several paths share is made once."""
+    columns, above, upto = np.ascontiguousarray(x.T), {}, {}
+    for p in paths:
+        out = np.zeros(len(x), np.uint8 if len(p.features) <= 8 else np.int64)
+        for i, (f, low, high) in enumerate(zip(p.features, p.low, p.high, strict=True)):
+            if (f, low) not in above:
+                above[f, low] = columns[f] > low
+            if (f, high) not in upto:
+                upto[f, high] = columns[f] <= high
+            out |= (above[f, low] & upto[f, high]).astype(out.dtype) << i
+        yield out
+
+
 def leaf_paths(tree: Tree) -> list[LeafPath]:
     out, todo = [], [(0, {})]
     while todo:
@@ -85,9 +100,8 @@ class TreeAttributor:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums = [np.zeros(1 << len(p.features), np.int64) for p in paths]
             for f in frames:
-                x = np.stack(f["features"].to_numpy())
-                for s, p in zip(sums, paths, strict=True):
-                    s += np.bincount(p.patterns(x), minlength=len(s))
+                for s, found in zip(sums, all_patterns(paths, np.stack(f["features"].to_numpy())), strict=True):
+                    s += np.bincount(found, minlength=len(s))
             rows = [(i, int(j), int(s[j])) for i, s in enumerate(sums) for j in np.flatnonzero(s)]
             yield pd.DataFrame(rows, columns=["leaf", "pattern", "n"])
 
@@ -101,19 +115,25 @@ class TreeAttributor:
         self.base = float(sum(2.0 * p.value * c[f] / c.sum() for p, c, f in zip(paths, counts, full, strict=True)))
         return self
 
-    def explain(self, rows: DataFrame) -> DataFrame:
-        """Adds ``base``, ``phi`` (array in the encoder's order), ``margin`` and ``score``."""
-        paths, tables, width, used = self.paths, self.tables, len(self.model.encoder.names), np.array(self.model.used)
+    def explain(self, rows: DataFrame, *, short: bool = False) -> DataFrame:
+        """Adds ``base``, ``phi`` (array in the encoder's order, or if ``short`` in that of the model's ``used_names``), ``margin`` and ``score``."""
+        paths, tables, used = self.paths, self.tables, np.array(self.model.used)
+        width = len(used) if short else len(self.model.encoder.names)
 
         @F.pandas_udf("array<double>")
         def phi(features: pd.Series) -> pd.Series:
             if not len(features):
                 return pd.Series([], dtype=object)
             x = np.stack(features.to_numpy())
-            out = np.zeros((len(x), width))
-            for p, t in zip(paths, tables, strict=True):
-                out[:, used[p.features]] += t[p.patterns(x)]
-            return pd.Series(list(out))
+            out = np.zeros((len(used), len(x)))
+            for p, t, found in zip(paths, tables, all_patterns(paths, x), strict=True):
+                for i, f in enumerate(p.features):
+                    out[f] += t[:, i][found]
+            if short:
+                return pd.Series(list(np.ascontiguousarray(out.T)))
+            full = np.zeros((len(x), width))
+            full[:, used] = out.T
+            return pd.Series(list(full))
 
         return self.model.score(rows).withColumn("phi", phi(self.model.features())).withColumn("base", F.lit(self.base))
 

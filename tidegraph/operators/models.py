@@ -227,6 +227,10 @@ class BoostedModel:
         scratch.drop("packed")
         return {k: sum(v) / totals[k] for k, v in sums.items()}
 
+    def used_names(self) -> list[str]:
+        """The features that trees read: their number is bounded by the trees, not by the categories."""
+        return [self.encoder.names[i] for i in self.used]
+
     def features(self):
         """The used features as an array column."""
         return F.array(*self.encoder.pick(self.used)).alias("features")

@@ -436,11 +436,12 @@ def m13_linear_attribution(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _explained(spark: SparkSession, d: str) -> tuple[DataFrame, BoostedModel]:
+def _explained(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Explained test rows, and the names of the features that their attributions are for: those that trees read."""
     rows = _modelled(spark, d)
     model = _boosted(spark, d, rows)
-    explain = lambda: TreeAttributor().fit(model, rows.filter("split = 'train'")).explain(rows.filter("split = 'test'"))
-    return _shared(spark, d, "explained", explain, "graph_features"), model
+    explain = lambda: TreeAttributor().fit(model, rows.filter("split = 'train'")).explain(rows.filter("split = 'test'"), short=True)
+    return _shared(spark, d, "explained", explain, "graph_features"), model.used_names()
 
 
 def m14_tree_attribution(spark: SparkSession, d: str) -> DataFrame:
@@ -450,14 +451,14 @@ def m14_tree_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m16_alert_reasons(spark: SparkSession, d: str) -> DataFrame:
-    explained, model = _explained(spark, d)
-    return ReasonBuilder().fit(_modelled(spark, d).filter("split = 'train'")).alerts(explained, model.encoder.names)
+    explained, names = _explained(spark, d)
+    return ReasonBuilder().fit(_modelled(spark, d).filter("split = 'train'")).alerts(explained, names)
 
 
 def m17_alert_artifact(spark: SparkSession, d: str) -> DataFrame:
     """The artifact's status, gates and counts; the alerts themselves are a table."""
-    explained, model = _explained(spark, d)
-    summary, alerts = ReasonBuilder().fit(_modelled(spark, d).filter("split = 'train'")).artifact(explained, model.encoder.names)
+    explained, names = _explained(spark, d)
+    summary, alerts = ReasonBuilder().fit(_modelled(spark, d).filter("split = 'train'")).artifact(explained, names)
     gates = [F.col("gates")[g].alias(g) for g in (
         "alert_count_matches_capacity", "transaction_ids_unique", "every_alert_has_reason", "reason_codes_known", "positive_contributions_only", "target_fields_absent", "review_only_action",
     )]
