@@ -126,6 +126,29 @@ def test_held_out_accuracy(spark):
     assert np.allclose(SourceClassifier(["a", "b"]).fit([]).posteriors(["x"]), 0.5)
 
 
+def test_classifier_is_fitted_on_all_labelled_documents(spark):
+    """A word that only documents beyond any bound of a sample have is learnt; a source without documents stays finite."""
+    rng = np.random.default_rng(7)
+    rows = [(i, vocabulary_text(rng, i % 2, 12) + (" rare" if i % 2 and i >= 700 else ""), i % 2) for i in range(900)]
+    # The two kinds of documents look alike but for the word.
+    rows = [(i, t.replace("w0x", "wx").replace("w1x", "wx"), s) for i, t, s in rows]
+    docs = spark.createDataFrame([*rows, (900, None, 1), (901, "wx1", None)], "doc_id bigint, text string, source_no int")
+    model = fit_classifier(docs, ["a", "b", "none"])
+    with_word, without = model.posteriors(["wx1 common2 rare", "wx1 common2"])
+    assert with_word[1] > 0.7 > without[1] and 0 < with_word[2] < 0.05
+    assert np.isfinite(model.weights).all() and np.isfinite(model.bias).all()
+    seen = []
+    plain = SourceClassifier.fit
+    try:
+        SourceClassifier.fit = lambda self, rows: (seen.append(rows.count()), plain(self, rows))[1]
+        mix(docs.select("doc_id", "text", F.lit(10).alias("size"), F.when(F.col("source_no") == 0, "a").when(F.col("source_no") == 1, "b").alias("source")), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int"), steps=2)
+    finally:
+        SourceClassifier.fit = plain
+    assert seen == [901]
+    one = fit_classifier(docs.filter("source_no = 0"), ["a", "b"])
+    assert one.posteriors(["x"])[0, 0] > 0.99 and np.allclose(fit_classifier(docs.limit(0), ["a", "b"]).posteriors(["x"]), 0.5)
+
+
 def test_whole_copies():
     rng = np.random.default_rng(3)
     n = 4_000
