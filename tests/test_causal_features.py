@@ -12,6 +12,7 @@ from tidegraph.operators.components import component_features
 from tidegraph.operators.link_graph import append_batch, build_edges, graph_statistics, integrity_audit, replay_audit, serialised_edges
 from tidegraph.operators.ordering import global_running, time_batches, values_at_positions
 from tidegraph.operators.projection import clustering_features, pagerank_features, pagerank_snapshots, power_iteration, projection_edges
+from tidegraph.operators.snapshots import Growth, Snapshots
 from tidegraph.plans.pipeline import Settings, structural_features
 from tidegraph.schema import ENTITY_TYPES, SPECIFIC_TYPES, STRUCTURAL_FEATURES, GraphBuildError
 from tidegraph.sources.synthetic import generate_synthetic
@@ -253,3 +254,30 @@ def test_total_order(spark):
     assert values_at_positions(df.select((F.col("id") * 1000).alias("t")), "t", [0, 500, 999]) == [0, 500_000, 999_000]
     batches = time_batches(spark.createDataFrame([(5,), (5,), (9,), (1,)], "transaction_time bigint")).orderBy("batch_no").collect()
     assert [tuple(b) for b in batches] == [(1, 1, 0), (5, 2, 1), (9, 1, 2)]
+
+
+@pytest.mark.parametrize(("tolerance", "needed"), [(3e-3, {1}), (1e-3, {1, 2}), (4.4e-4, {2, 3})])
+def test_snapshots_one_after_another_are_those_of_whole_iterations(tolerance, needed):
+    draw = np.random.default_rng(7)
+    nodes_at, edges_at, u, v = [0], [0], [], []
+    for _ in range(120):
+        nodes_at.append(nodes_at[-1] + int(draw.integers(3, 9)))
+        for _ in range(int(draw.integers(4, 16))):
+            # Low numbers are hubs; some of the nodes have no edge for a while.
+            a = int(draw.integers(0, 6)) if draw.random() < 0.3 else int(draw.integers(0, nodes_at[-1]))
+            b = int(draw.integers(0, nodes_at[-1]))
+            if a % nodes_at[-1] != b:
+                u.append(min(a % nodes_at[-1], b)), v.append(max(a % nodes_at[-1], b))
+        edges_at.append(len(u))
+    # And an edge after the last snapshot, with a node of its own.
+    u, v, w = np.array([*u, 0]), np.array([*v, nodes_at[-1]]), draw.integers(1, 4, len(u) + 1)
+    walk = Snapshots(Growth.of(u, v, w, nodes_at, edges_at, hubs=5), 0.85, tolerance=tolerance, whole_edges=0)
+    taken = set()
+    for s in range(40, 121):
+        moves: list[float] = []
+        whole = power_iteration(u[: edges_at[s]], v[: edges_at[s]], w[: edges_at[s]], nodes_at[s], 0.85, tolerance=tolerance, moves=moves)
+        wanted = np.unique(np.r_[np.arange(6), draw.integers(0, nodes_at[s], 20)])
+        np.testing.assert_allclose(walk.scores(s, wanted), whole[wanted], rtol=1e-10)
+        taken.add(len(moves))
+    assert taken == needed
+    assert needed != {1} or walk.iterated == 0
