@@ -242,3 +242,13 @@ def test_empty_rows_can_be_scored(spark, parts, boosted):
     none = parts["test"].limit(0)
     assert boosted.score(none).count() == 0
     assert canonical(spark, []).count() == 0
+
+
+def test_logistic_fit_takes_few_passes_to_the_optimum_of_the_other_fit(parts):
+    model = LogisticModel(graph=True).fit(parts["train"])
+    assert model.converged and model.iterations <= 30
+    assert model.slope(parts["train"]) < 1e-8
+    other = LogisticModel(graph=True)
+    other.encoder = model.encoder
+    weights, intercept, _ = other._quasi_newton(balanced(parts["train"]))
+    np.testing.assert_allclose(np.r_[model.coefficients, model.intercept], np.r_[weights, intercept], atol=2e-2)
