@@ -15,6 +15,7 @@ from tidegraph.operators.projection import clustering_features, pagerank_feature
 from tidegraph.operators.snapshots import Growth, Snapshots
 from tidegraph.plans.pipeline import Settings, structural_features
 from tidegraph.schema import ENTITY_TYPES, SPECIFIC_TYPES, STRUCTURAL_FEATURES, GraphBuildError
+from tidegraph.session import list_names, scratch_folder
 from tidegraph.sources.synthetic import generate_synthetic
 
 
@@ -151,6 +152,23 @@ def test_components(data, segment_rows):
         assert g.specific_max_component_transactions == max(map(txns, mine), default=0)
 
 
+@pytest.mark.parametrize("task_edges", [0, 5, 1_000])
+def test_components_do_not_depend_on_where_contraction_ends(data, task_edges):
+    _, df = data
+    assert sorted(component_features(df, segment_rows=17, task_edges=task_edges).collect()) == sorted(component_features(df).collect())
+
+
+def test_feature_tables_leave_nothing_else_behind(data):
+    """Every part is written before the next begins, and what it needed on the way is gone."""
+    _, df = data
+    folder = scratch_folder(df.sparkSession)
+    before = set(list_names(df.sparkSession, folder, ""))
+    built = structural_features(df, Settings(refresh_batches=4))
+    made = set(list_names(df.sparkSession, folder, "")) - before
+    assert {n.rpartition("-")[0] for n in made} == {"structural", "numbered"}
+    assert built.count() == df.count()
+
+
 def test_projection_and_clustering(spark):
     rows = random_rows(np.random.default_rng(2), 60, values=6, null_share=0.35)
     df = canonical(spark, rows)

@@ -21,7 +21,7 @@ from tidegraph.operators.current import current_rows
 from tidegraph.operators.entity_features import TypeDictionary, entity_entries, feature_table, merge_entries, sparse_vectors, with_type_names
 from tidegraph.operators.keyed_totals import heavy_keys, keyed_totals
 from tidegraph.operators.rolling import advance_day, correct_state, daily_corrections, daily_totals, expand_days, latest_version, maintain_state, rolling_state
-from tidegraph.session import Scratch
+from tidegraph.session import Scratch, list_names
 
 
 def test_normal_form(spark):
@@ -109,6 +109,19 @@ def test_contraction(spark, kind):
     assert len({(got[v], want[v]) for v in want}) == len(set(want.values())) == len(set(got.values()))
 
 
+@pytest.mark.parametrize("task_edges", [1, 60, 100_000])
+def test_last_edges_are_joined_in_one_task(spark, task_edges):
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(400) if i % 97] + [(int(a), int(b)) for a, b in rng.integers(500, 900, (250, 2))] + [(1_000, i) for i in range(1_001, 1_090)]
+    scratch = Scratch(spark, "t")
+    got = {r.vertex: r.label for r in connected_labels(spark.createDataFrame(edges, "u bigint, v bigint"), scratch, task_edges=task_edges).collect()}
+    want = components([e for e in edges if e[0] != e[1]])
+    assert set(got) == set(want)
+    assert len({(got[v], want[v]) for v in want}) == len(set(want.values())) == len(set(got.values()))
+    # With all edges in a task there is no round at all.
+    assert bool(list_names(spark, scratch.root, "map-")) == (task_edges < 100_000)
+
+
 def test_link_groups(spark):
     rows = [("t3", "a", None, None), ("t1", "a", "x", None), ("t2", None, "x", None), ("t9", None, None, None), ("t5", "x", None, "q"), ("t4", None, None, "q"), ("t8", "b", "b", "b")]
     df = spark.createDataFrame(rows, "id string, label string, vertex string, u string")
